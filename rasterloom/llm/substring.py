@@ -300,13 +300,14 @@ def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             columns[at_text] = pa.array(texts_, pa.binary()).cast(pa.string())
             if at_chars is not None:
                 columns[at_chars] = pa.array(chars, b.column(at_chars).type)
-            out = pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            out = pa.RecordBatch.from_arrays(columns, names=own)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    names = [*docs.columns, "__key"]
+    own = docs.columns
+    names = [*own, "__key"]
     at_text, at_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     spans = scratch.write(repeated_spans(docs, scratch, window, gram).select(F.col("key").alias("__key"), F.col("starts").alias("__starts")), "spans")
-    rows = docs.mapInArrow(keyed, StructType(docs.schema.fields).add("__key", BinaryType()))
+    rows = docs.mapInArrow(keyed, StructType([*docs.schema.fields]).add("__key", BinaryType()))
     return rows.join(spans, "__key", "left").select(*docs.columns, "__key", "__starts").mapInArrow(cut, docs.schema)
 
 
