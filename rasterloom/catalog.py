@@ -1,4 +1,618 @@
-"""Queries of the raster operators: name to Spark callable and to DuckDB SQL."""
+"""Queries of the raster operators: name to Spark callable, and to DuckDB SQL over the same tables.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Values are rounded to six places on both sides, since sums run in any order.
+The SQL spells stencils and searches out as joins, independent of the windows
+that the operators use.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from math import comb
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import align, exposure, lens, merge, repair, reshape, stats, stencil, tone, wiener
+from .sources import adapters, files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+SIDE, WHITE, BLACK = 16, adapters.WHITE, adapters.BLACK
+SPAN = WHITE - BLACK
+CLIP, HIGH = 0.98 * SPAN, 0.92 * SPAN
+
+# ---------------------------------------------------------------- SQL parts
+
+_CELLS = f"""cells AS (SELECT l_linenumber - 1 AS frame, CAST(l_orderkey % {SIDE * SIDE} AS INTEGER) AS idx, count(*) AS n,
+  sum(l_quantity) AS p0, sum(round(l_extendedprice / 1000)) AS p1, sum(round(l_discount * 100)) AS p2, sum(round(l_tax * 100)) AS p3
+  FROM lineitem GROUP BY 1, 2),
+grid AS (SELECT CAST(f.f AS INTEGER) AS frame, CAST(i.i AS INTEGER) AS idx FROM range(7) f(f), range({SIDE * SIDE}) i(i))"""
+
+
+def _px(planes: int = 1) -> str:
+    pick = " ".join(f"WHEN {c} THEN p{c}" for c in range(planes))
+    rows = ", ".join(f"({c})" for c in range(planes))
+    return f"""{_CELLS},
+px AS (SELECT 0 AS burst, g.frame, g.idx // {SIDE} AS y, g.idx % {SIDE} AS x, k.c AS c, coalesce((CASE k.c {pick} END) / n, 0.0) AS v
+  FROM grid g CROSS JOIN (VALUES {rows}) k(c) LEFT JOIN cells USING (frame, idx))"""
+
+
+_FRAMES = """frames AS (SELECT 0 AS burst, f AS frame, CAST(ev AS DOUBLE) AS ev FROM (VALUES (0, 1.0), (1, 0.25), (2, 4.0), (3, 1.0), (4, 1.0), (5, 1.25), (6, 0.0)) t(f, ev)),
+rf AS (SELECT CASE WHEN max(ev) FILTER (ev > 0) > 1.4 * min(ev) FILTER (ev > 0) THEN arg_min(frame, ev) FILTER (ev > 0) ELSE CAST(count(*) // 2 AS INTEGER) END AS ref FROM frames),
+sc AS (SELECT f.burst, f.frame, rf.ref, CASE WHEN f.ev > 0 AND r.ev > 0 THEN r.ev / f.ev ELSE 1.0 END AS scale FROM frames f CROSS JOIN rf JOIN frames r ON r.frame = rf.ref),
+norm AS (SELECT px.burst, px.frame, y, x, c, (v - 2) * CASE WHEN px.frame <> ref AND abs(scale - 1) > 0.001 THEN scale ELSE 1 END AS v, ref, scale, 1 / scale AS wn FROM px JOIN sc ON sc.frame = px.frame)"""
+
+_BOX = lambda r: {k: 1.0 for k in range(-r, r + 1)}
+_FIVE = {-2: 1.0, -1: 4.0, 0: 6.0, 1: 4.0, 2: 1.0}
+_SIXTEEN = {k: float(comb(32, 16 + k)) for k in range(-5, 6)}
+
+
+def _stencil(src: str, dst: str, taps: dict[int, float], clamp: bool = True, more: str = "") -> str:
+    """CTE dst: src with b, the weighted mean of the cells around; clamped to the frame or cropped."""
+    w = ", ".join(f"({k}, {v:.1f}e0)" for k, v in taps.items())
+    at = (lambda a: f"greatest(0, least({SIDE - 1}, p.{a} + w{a}.k))") if clamp else (lambda a: f"p.{a} + w{a}.k")
+    extra = "".join(f", any_value(p.{c}) AS {c}" for c in more.split())
+    return f"""{dst} AS (SELECT p.burst, p.frame, p.y, p.x, p.c, any_value(p.v) AS v{extra}, sum(wy.w * wx.w * s.v) / sum(wy.w * wx.w) AS b
+  FROM {src} p CROSS JOIN (VALUES {w}) wy(k, w) CROSS JOIN (VALUES {w}) wx(k, w)
+  JOIN {src} s ON s.burst = p.burst AND s.frame = p.frame AND s.c = p.c AND s.y = {at("y")} AND s.x = {at("x")}
+  GROUP BY p.burst, p.frame, p.y, p.x, p.c)"""
+
+
+def _sql(*ctes: str, select: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+def _same_rounding(sql: str) -> str:
+    """round(x, 6) as floor(x * 1e6 + 0.5) / 1e6, which both engines compute alike."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[at + 6 : end - 1]
+        if inner.endswith(", 6"):
+            sql = sql[:at] + f"(floor(({inner[:-3]}) * 1e6 + 0.5) / 1e6)" + sql[end:]
+        at += 6
+    return sql
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = _same_rounding(sql)
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, as _same_rounding() does."""
+    return df.select(*((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+_P = "burst, frame, y, x, c"
+_OUT = f"SELECT {_P}, round(v, 6) + 0.0 AS v FROM "
+
+# ---------------------------------------------------------------- inputs
+
+
+def px(spark: SparkSession, d: str, planes: int = 1) -> DataFrame:
+    return adapters.lineitem_pixels(adapters.read(spark, d, "lineitem"), SIDE, SIDE, planes)
+
+
+def scaled_frames(spark: SparkSession) -> DataFrame:
+    frames = adapters.frame_table(spark)
+    return exposure.scales(frames, exposure.select_reference(frames))
+
+
+def normal(spark: SparkSession, d: str, planes: int = 1) -> DataFrame:
+    frames = scaled_frames(spark)
+    return merge.with_frames(reshape.normalize(px(spark, d, planes), frames), frames)
+
+
+# ---------------------------------------------------------------- reshape
+
+
+@query("q_mosaic_to_planes", _sql(_px(), select=f"SELECT burst, frame, y // 2 AS y, x // 2 AS x, y % 2 * 2 + x % 2 AS c, round(v, 6) AS v FROM px"))
+def _(spark, d):
+    return rounded(reshape.mosaic_to_planes(px(spark, d), 2))
+
+
+@query("q_planes_to_mosaic", _sql(_px(4), select=f"SELECT burst, frame, y * 2 + c // 2 AS y, x * 2 + c % 2 AS x, 0 AS c, round(v, 6) AS v FROM px WHERE y * 2 + c // 2 < 31 AND x * 2 + c % 2 < 30"))
+def _(spark, d):
+    return rounded(reshape.planes_to_mosaic(px(spark, d, 4), 2, 30, 31))
+
+
+@query("q_gray_gamma", _sql(_px(4), "g AS (SELECT burst, frame, y, x, avg(v) AS v FROM px GROUP BY ALL)", select="SELECT burst, frame, y, x, 0 AS c, round(CASE WHEN v <= 0 THEN 0 WHEN v >= 50 THEN 50 ELSE pow(50, 1 - 0.6) * pow(v, 0.6) END, 6) AS v FROM g"))
+def _(spark, d):
+    return rounded(reshape.gray_gamma(px(spark, d, 4), 0.6, WHITE))
+
+
+@query("q_normalize", _sql(_px(), _FRAMES, select=_OUT + "norm"))
+def _(spark, d):
+    return rounded(reshape.normalize(px(spark, d), scaled_frames(spark)))
+
+
+@query("q_snap_to_period", "SELECT event_id, CAST(trunc(round(value) / 3) * 3 AS INTEGER) AS snapped, least(greatest(value, 0.0), 1.0) AS clamped FROM events")
+def _(spark, d):
+    e = adapters.read(spark, d, "events")
+    return e.select("event_id", reshape.snap_to_period(F.round("value"), 3).alias("snapped"), F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0)).alias("clamped"))
+
+
+# ---------------------------------------------------------------- exposure
+
+
+@query("q_classify_exposure", _sql(_FRAMES.split(",\nrf AS")[0], select="SELECT burst, count(*) AS n_frames, count(*) FILTER (ev > 0) > 0 AS has_exposure, max(ev) FILTER (ev > 0) > 1.4 * min(ev) FILTER (ev > 0) AS is_bracketed, max(ev) FILTER (ev > 0) > 2 * min(ev) FILTER (ev > 0) AS needs_chained, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY ev, frame) FILTER (ev > 0) AS frame_order FROM frames GROUP BY burst"))
+def _(spark, d):
+    return exposure.classify(adapters.frame_table(spark)).withColumn("frame_order", F.array_join(F.transform("exposure_order", lambda x: x["frame"].cast("string")), ",")).drop("exposure_order")
+
+
+@query("q_select_reference", _sql("f AS (SELECT label AS burst, vec_id AS frame FROM embeddings)", select="SELECT burst, (list(frame ORDER BY frame))[count(*) // 2 + 1] AS ref FROM f GROUP BY burst"))
+def _(spark, d):
+    return exposure.select_reference(adapters.read(spark, d, "embeddings").select(F.col("label").alias("burst"), F.col("vec_id").alias("frame"), F.lit(0.0).alias("ev")))
+
+
+@query("q_exposure_scales", _sql(_FRAMES.split(",\nnorm AS")[0], select="SELECT burst, frame, ref, scale, 1 / scale AS wn FROM sc"))
+def _(spark, d):
+    return scaled_frames(spark).select("burst", "frame", "ref", "scale", "wn")
+
+
+# ---------------------------------------------------------------- stencils
+
+
+@query("q_box_blur", _sql(_px(), _stencil("px", "o", _BOX(2)), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
+def _(spark, d):
+    return rounded(stencil.box_blur(px(spark, d), 2))
+
+
+@query("q_binomial5", _sql(_px(), _stencil("px", "o", _FIVE), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
+def _(spark, d):
+    return rounded(stencil.binomial5(px(spark, d)))
+
+
+@query("q_binomial16", _sql(_px(), _stencil("px", "o", _SIXTEEN, False), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
+def _(spark, d):
+    return rounded(stencil.binomial16(px(spark, d)))
+
+
+@query("q_block_mean", _sql(_px(4), select=f"SELECT {_P}, round(v, 6) AS v, round(avg(CASE WHEN c = 0 THEN v END) OVER (PARTITION BY burst, frame, y // 4, x // 4), 6) AS guide FROM px"))
+def _(spark, d):
+    return rounded(stencil.block_mean(px(spark, d, 4), 4))
+
+
+@query("q_downsample2", _sql(_px(), select="SELECT burst, frame, y // 2 AS y, x // 2 AS x, c, round(avg(v), 6) AS v FROM px WHERE y < 14 GROUP BY ALL"))
+def _(spark, d):
+    return rounded(stencil.downsample(px(spark, d), 2, SIDE, SIDE - 1))
+
+
+@query("q_downsample4", _sql(_px(), select="SELECT burst, frame, y // 4 AS y, x // 4 AS x, c, round(avg(v), 6) AS v FROM px GROUP BY ALL"))
+def _(spark, d):
+    return rounded(stencil.downsample(px(spark, d), 4, SIDE, SIDE))
+
+
+@query("q_pyramid", _sql(_px(), "l1 AS (SELECT burst, frame, y // 2 AS y, x // 2 AS x, c, avg(v) AS v FROM px GROUP BY ALL)", select="SELECT 0 AS level, burst, frame, y, x, c, round(v, 6) AS v FROM px UNION ALL SELECT 1, burst, frame, y, x, c, round(v, 6) FROM l1"))
+def _(spark, d):
+    levels = stencil.pyramid(px(spark, d), SIDE, SIDE, 4)[:2]
+    return rounded(levels[0].select(F.lit(0).alias("level"), "*").unionByName(levels[1].select(F.lit(1).alias("level"), "*")))
+
+
+@query("q_warp_translate", _sql(_px(), select=f"SELECT p.burst, p.frame, p.y, p.x, p.c, round(s.v, 6) AS v FROM px p JOIN px s ON s.frame = p.frame AND s.c = p.c AND s.x = greatest(0, least({SIDE - 1}, CAST(round(p.x - 2.4) AS INTEGER))) AND s.y = greatest(0, least({SIDE - 1}, CAST(round(p.y + 1.6) AS INTEGER)))"))
+def _(spark, d):
+    return rounded(stencil.warp_translate(px(spark, d), 2.4, -1.6, SIDE, SIDE))
+
+
+def _field(p: DataFrame, n: int) -> DataFrame:
+    tiles = p.select("burst", "frame").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tx"))
+    return tiles.select("*", ((F.col("frame") + 3 * F.col("tx") + F.col("ty")) % 5 - 2).alias("dx"), ((2 * F.col("frame") + F.col("tx") + 5 * F.col("ty")) % 5 - 2).alias("dy"))
+
+
+_FIELD = "field AS (SELECT CAST(f AS INTEGER) AS frame, CAST(a AS INTEGER) AS ty, CAST(b AS INTEGER) AS tx, CAST((f + 3 * b + a) % 5 - 2 AS INTEGER) AS dx, CAST((2 * f + b + 5 * a) % 5 - 2 AS INTEGER) AS dy FROM range(7) r(f), range(4) s(a), range(4) t(b))"
+
+
+@query(
+    "q_warp_tilefield",
+    _sql(
+        _px(), _FIELD,
+        "w AS (SELECT *, (x + 0.5) / 4 - 1 AS fx, (y + 0.5) / 4 - 1 AS fy FROM px)",
+        f"k AS (SELECT w.frame, w.y, w.x, w.c, i.i, j.j, CAST(floor(fx) AS INTEGER) AS x0, CAST(floor(fy) AS INTEGER) AS y0, fx - floor(fx) AS tx_, fy - floor(fy) AS ty_ FROM w CROSS JOIN (VALUES (0), (1)) i(i) CROSS JOIN (VALUES (0), (1)) j(j))",
+        select=f"SELECT 0 AS burst, k.frame, k.y, k.x, k.c, round(sum((CASE WHEN i = 1 THEN tx_ ELSE 1 - tx_ END) * (CASE WHEN j = 1 THEN ty_ ELSE 1 - ty_ END) * s.v), 6) AS v FROM k JOIN field f ON f.frame = k.frame AND f.tx = greatest(0, least(3, x0 + i)) AND f.ty = greatest(0, least(3, y0 + j)) JOIN px s ON s.frame = k.frame AND s.c = k.c AND s.x = greatest(0, least({SIDE - 1}, k.x - f.dx)) AND s.y = greatest(0, least({SIDE - 1}, k.y - f.dy)) GROUP BY k.frame, k.y, k.x, k.c",
+    ),
+)
+def _(spark, d):
+    p = px(spark, d)
+    return rounded(stencil.warp_aligned(p, _field(p, 4), 4, SIDE, SIDE))
+
+
+# ---------------------------------------------------------------- statistics
+
+
+@query("q_noise_floor", _sql(_px(), _stencil("px", "o", _BOX(2)), select="SELECT burst, frame, round(greatest(0.5, sqrt(avg((v - b) * (v - b)))), 6) AS noise, round(greatest(8.0, sqrt(avg((v - b) * (v - b)))), 6) AS noise8 FROM o WHERE y % 4 = 0 AND x % 4 = 0 GROUP BY burst, frame"))
+def _(spark, d):
+    p = px(spark, d)
+    blur = stencil.box_blur(p, 2, out="b").where("y % 4 = 0 AND x % 4 = 0").groupBy("burst", "frame").agg(F.greatest(F.lit(0.5), F.sqrt(F.avg((F.col("v") - F.col("b")) ** 2))).alias("noise"))
+    return rounded(blur.join(stats.noise_floor(p).withColumnRenamed("noise", "noise8"), ["burst", "frame"]))
+
+
+@query("q_linear_noise", _sql(_px(4), _stencil("px", "o", _SIXTEEN, False), "e AS (SELECT burst, frame, y, x, sum(abs(v - b)) AS d FROM o WHERE y % 4 = 0 AND x % 4 = 0 GROUP BY ALL)", select="SELECT burst, frame, round(greatest(1.0, avg(d)), 6) AS noise FROM e GROUP BY burst, frame"))
+def _(spark, d):
+    return rounded(stats.linear_noise(px(spark, d, 4)))
+
+
+@query("q_frame_compare", _sql(_px(), "a AS (SELECT * FROM px WHERE frame = 0)", "b AS (SELECT * FROM px WHERE frame = 3)", select="SELECT a.burst, round(avg(abs(a.v - b.v)), 6) AS mad, round(max(abs(a.v - b.v)), 6) AS max_diff, count(*) FILTER (abs(a.v - b.v) > 0) AS n_diff, round(avg(a.v), 6) AS mean_a, round(avg(b.v), 6) AS mean_b, round(avg(abs(a.v - b.v)) / avg(a.v), 6) AS rel_mad FROM a JOIN b USING (y, x, c) GROUP BY a.burst"))
+def _(spark, d):
+    p = px(spark, d)
+    return rounded(stats.compare(p.where("frame = 0").drop("frame"), p.where("frame = 3").drop("frame")))
+
+
+@query("q_channel_stats", _sql(_px(4), select="SELECT burst, frame, c, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v, round(avg(v), 6) AS mean_v, round(stddev_pop(v), 6) AS std_v FROM px GROUP BY burst, frame, c"))
+def _(spark, d):
+    return rounded(stats.channel_stats(px(spark, d, 4)))
+
+
+@query("q_max_value", _sql(_px(4), select="SELECT burst, frame, round(max(v), 6) AS max_v FROM px GROUP BY burst, frame"))
+def _(spark, d):
+    return rounded(stats.max_value(px(spark, d, 4)))
+
+
+@query("q_region_dump", _sql(_px(), "top AS (SELECT burst, frame, arg_max(y, struct_pack(v := v, y := -y, x := -x)) AS ty FROM px GROUP BY burst, frame)", select="SELECT px.burst, px.frame, x, y, round(v, 6) AS raw_value FROM px JOIN top ON top.frame = px.frame WHERE y BETWEEN ty - 1 AND ty + 1"))
+def _(spark, d):
+    p = px(spark, d)
+    top = p.groupBy("burst", "frame").agg(F.max_by("y", F.struct("v", -F.col("y"), -F.col("x"))).alias("ty"))
+    return rounded(p.join(F.broadcast(top), ["burst", "frame"]).where("y BETWEEN ty - 1 AND ty + 1").select("burst", "frame", "x", "y", F.col("v").alias("raw_value")))
+
+
+# ---------------------------------------------------------------- repair
+
+_WIDE4 = "w AS (SELECT burst, frame, y, x, max(v) FILTER (c = 0) AS c0, max(v) FILTER (c = 1) AS c1, max(v) FILTER (c = 2) AS c2, max(v) FILTER (c = 3) AS c3 FROM px GROUP BY ALL)"
+_BLEND = lambda g, e, span: f"((0.9 - 4.5 * greatest(0, least(1 - {g} / {span}, 0.2))) * greatest({e}, {g}) + (1 - (0.9 - 4.5 * greatest(0, least(1 - {g} / {span}, 0.2)))) * {g})"
+HL_SPAN, HL_R, HL_B = 9.0, 0.9, 0.7  # small, so that part of the driver's values is saturated
+
+
+@query(
+    "q_highlight_linear",
+    _sql(
+        _px(4), _WIDE4,
+        f"o AS (SELECT burst, frame, y, x, c0, CASE WHEN c1 / {HL_SPAN} > 0.8 AND (c0 / {HL_SPAN} > 0.99 * {HL_R} OR c2 / {HL_SPAN} > 0.99 * {HL_B}) THEN {_BLEND('c1', f'(c0 / {HL_R} + c2 / {HL_B}) / 2', HL_SPAN)} ELSE c1 END AS c1, c2 FROM w)",
+        select="SELECT burst, frame, y, x, k.c AS c, round(CASE k.c WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END, 6) AS v FROM o CROSS JOIN (VALUES (0), (1), (2)) k(c)",
+    ),
+)
+def _(spark, d):
+    return rounded(repair.recover_linear(px(spark, d, 4).where("c < 3"), HL_SPAN, HL_R, HL_B))
+
+
+def _bayer_sql() -> str:
+    def e(parts):
+        return f"({' + '.join(f'coalesce({p}, 0) / {f}' for p, f in parts)}) / ({' + '.join(f'CAST({p} IS NOT NULL AS INTEGER)' for p, _ in parts)})"
+
+    def hit(parts):
+        return f"greatest({', '.join(f'coalesce({p}, 0) / {HL_SPAN} / {f}' for p, f in parts)}) > 0.99"
+
+    g1 = [("w.c0", HL_R), ("r.c0", HL_R), ("w.c3", HL_B), ("u.c3", HL_B)]
+    g2 = [("w.c3", HL_B), ("l.c3", HL_B), ("w.c0", HL_R), ("n.c0", HL_R)]
+    new = lambda g, parts: f"CASE WHEN {g} / {HL_SPAN} > 0.8 AND {hit(parts)} THEN {_BLEND(g, e(parts), HL_SPAN)} ELSE {g} END"
+    at = lambda a, dy, dx: f"LEFT JOIN w {a} ON {a}.frame = w.frame AND {a}.y = w.y + {dy} AND {a}.x = w.x + {dx}"
+    return _sql(
+        _px(4), _WIDE4,
+        f"o AS (SELECT w.burst, w.frame, w.y, w.x, w.c0, {new('w.c1', g1)} AS c1, {new('w.c2', g2)} AS c2, w.c3 FROM w {at('r', 0, 1)} {at('l', 0, -1)} {at('u', -1, 0)} {at('n', 1, 0)})",
+        select="SELECT burst, frame, y, x, k.c AS c, round(CASE k.c WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END, 6) AS v FROM o CROSS JOIN (VALUES (0), (1), (2), (3)) k(c)",
+    )
+
+
+@query("q_highlight_bayer", _bayer_sql())
+def _(spark, d):
+    return rounded(repair.recover_bayer(px(spark, d, 4), HL_SPAN, HL_R, HL_B))
+
+
+@query(
+    "q_highlight_mosaic",
+    _sql(
+        _px(4), f"o AS (SELECT *, CASE c WHEN 0 THEN v / {HL_R} WHEN 3 THEN v / {HL_B} END AS e FROM px)",
+        "m AS (SELECT burst, frame, y, x, avg(e) AS e, max(e) AS top FROM o GROUP BY ALL)",
+        select=f"SELECT burst, frame, y, x, c, round(CASE WHEN c IN (1, 2) AND v / {HL_SPAN} > 0.8 AND top / {HL_SPAN} > 0.99 THEN {_BLEND('v', 'm.e', HL_SPAN)} ELSE v END, 6) AS v FROM px JOIN m USING (burst, frame, y, x)",
+    ),
+)
+def _(spark, d):
+    return rounded(repair.recover_mosaic(px(spark, d, 4), HL_SPAN, HL_R, HL_B, (0, 1, 1, 2)))
+
+
+@query(
+    "q_hot_pixel",
+    _sql(
+        _px(4), "mp AS (SELECT y, x, c, avg(v * v * v) AS v FROM px GROUP BY ALL)",
+        "lv AS (SELECT c, avg(v) AS level FROM mp GROUP BY c)",
+        "nb AS (SELECT p.y, p.x, p.c, any_value(p.v) AS v, sum(k.w * s.v) / 12 AS around FROM mp p CROSS JOIN (VALUES (-2, -2, 1), (-2, 2, 1), (2, -2, 1), (2, 2, 1), (0, -2, 2), (0, 2, 2), (-2, 0, 2), (2, 0, 2)) k(dy, dx, w) JOIN mp s ON s.c = p.c AND s.y = p.y + k.dy AND s.x = p.x + k.dx GROUP BY p.y, p.x, p.c HAVING count(*) = 8)",
+        "ra AS (SELECT nb.*, level, greatest(1, v - 1) / greatest(1, around - 1) AS ratio FROM nb JOIN lv USING (c))",
+        "ho AS (SELECT y, x, c, CASE WHEN ratio >= 2 AND v >= 2 * level THEN greatest(0, least(0.5 * least(2, ratio - 2), 1)) ELSE 0 END AS w FROM ra)",
+        "vt AS (SELECT y, x, count(*) FILTER (w > 0.001) AS n FROM ho GROUP BY y, x)",
+        select="SELECT 0 AS burst, mp.y, mp.x, mp.c, round(CASE WHEN n >= 2 THEN 0 ELSE coalesce(w, 0) END, 6) AS w FROM mp LEFT JOIN ho USING (y, x, c) LEFT JOIN vt USING (y, x)",
+    ),
+)
+def _(spark, d):
+    return rounded(repair.hot_pixels(px(spark, d, 4).withColumn("v", F.col("v") * F.col("v") * F.col("v")), 1.0))
+
+
+# ---------------------------------------------------------------- merges
+
+_PIX = "burst, y, x, c"
+_MOUT = f"SELECT {_PIX}, round(v, 6) + 0.0 AS v FROM "
+_TOP = f"tp AS (SELECT *, max(v) OVER (PARTITION BY burst, frame, y, x) AS top FROM norm)"
+
+
+@query("q_temporal_average", _sql(_px(), _FRAMES, select=f"SELECT {_PIX}, round(avg(v), 6) + 0.0 AS v FROM norm GROUP BY ALL"))
+def _(spark, d):
+    return rounded(merge.temporal_average(normal(spark, d)))
+
+
+@query(
+    "q_temporal_average_weighted",
+    _sql(
+        _px(), _FRAMES, _stencil("norm", "o", _BOX(2), more="ref scale"),
+        f"l AS (SELECT *, 1 / greatest(1e-6, scale) AS ef, greatest(0, least((b - 2) / {SPAN}, 1)) AS lum FROM o)",
+        "u AS (SELECT *, CASE WHEN lum < 0.25 THEN ef ELSE ef + (1 - ef) * greatest(0, least((lum - 0.25) / 0.74, 1)) END AS w0 FROM l)",
+        "z AS (SELECT *, CASE WHEN frame = ref THEN 1 ELSE greatest(1, w0) * greatest(0, least(0.99 / 0.74 - lum / 0.74, 1)) END AS w FROM u)",
+        select=f"SELECT {_PIX}, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM z GROUP BY ALL",
+    ),
+)
+def _(spark, d):
+    return rounded(merge.temporal_average_weighted(normal(spark, d), WHITE, BLACK))
+
+
+@query(
+    "q_temporal_median",
+    """WITH e AS (SELECT label AS burst, vec_id AS frame, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+rf AS (SELECT label AS burst, min(vec_id) AS ref FROM embeddings GROUP BY label),
+g AS (SELECT e.burst, CAST(pos // 8 AS INTEGER) AS y, CAST(pos % 8 AS INTEGER) AS x, 0 AS c, CAST(v AS DOUBLE) AS v, frame = ref AS own FROM e JOIN rf USING (burst))
+SELECT burst, y, x, c, round(CASE WHEN max(v) FILTER (own) >= 0.2 THEN max(v) FILTER (own) ELSE median(v) FILTER (own OR v < 0.2) END, 6) + 0.0 AS v, count(v) FILTER (own OR v < 0.2) AS n_kept
+FROM g GROUP BY burst, y, x, c""",
+)
+def _(spark, d):
+    e = adapters.read(spark, d, "embeddings")
+    frames = e.groupBy(F.col("label").alias("burst")).agg(F.min("vec_id").alias("ref"))
+    p = adapters.embedding_pixels(e).join(F.broadcast(frames), "burst").withColumn("scale", F.lit(1.0))  # one row a burst
+    return rounded(merge.temporal_median(p, 0.2))
+
+
+@query("q_temporal_median_bracketed", _sql(_px(4), _FRAMES, _TOP, select=f"SELECT {_PIX}, round(CASE WHEN max(v) FILTER (frame = ref) >= {CLIP} THEN max(v) FILTER (frame = ref) ELSE median(v) FILTER (frame = ref OR top < {CLIP} * scale) END, 6) + 0.0 AS v, count(v) FILTER (frame = ref OR top < {CLIP} * scale) AS n_kept FROM tp GROUP BY ALL"))
+def _(spark, d):
+    return rounded(merge.temporal_median(normal(spark, d, 4), CLIP))
+
+
+@query("q_expbracket_average", _sql(_px(4), _FRAMES, _TOP, f"u AS (SELECT *, CASE WHEN frame = ref THEN 1 WHEN top >= {CLIP} * scale THEN 0 ELSE wn END AS w FROM tp)", select=f"SELECT {_PIX}, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM u GROUP BY ALL"))
+def _(spark, d):
+    return rounded(merge.expbracket_average(normal(spark, d, 4), CLIP))
+
+
+def _spatial_sql(noise: float, rho: float, multi: bool, linear: bool, weighted: bool, chroma: bool) -> str:
+    if multi:
+        ctes = [_px(4), _FRAMES, _stencil("norm", "o", _SIXTEEN if linear else _BOX(2), not linear, "ref scale wn")]
+        ctes.append("gd AS (SELECT * EXCLUDE (b), b AS guide FROM o)")
+    else:
+        ctes = [_px(), _FRAMES, "gd AS (SELECT *, avg(v) OVER (PARTITION BY burst, frame, y // 2, x // 2) AS guide FROM norm)"]
+    ctes.append("rr AS (SELECT burst, y, x, c, guide AS rg, v AS rv FROM gd WHERE frame = ref)")
+    by = "burst, frame, y, x" if multi else "burst, frame, y, x, c"
+    ctes.append(f"dd AS (SELECT gd.*, rg, max(abs(guide - rg)) OVER w AS d, max(v) OVER w AS top, max(rv) OVER w AS topr FROM gd JOIN rr USING (burst, y, x, c) WINDOW w AS (PARTITION BY {by}))")
+    unit = lambda e: f"greatest(0, least({e}, 1))"
+    if linear:
+        one, mild = unit(f"1 - d / {max(1.0, noise / rho)}"), unit(f"1 - d / {2.5 * max(1.0, noise / rho)}")
+    else:
+        one, mild = (f"greatest(0.08, 1 / (1 + (d / {n}) * (d / {n}) * {rho}))" for n in (noise, max(1.0, 2.5 * noise)))
+    clipped = f"top >= {CLIP} * scale" if multi else f"v / scale >= {CLIP}"
+    bright = f"top >= {HIGH} OR topr >= {HIGH}" if multi else f"guide >= {HIGH} OR rg >= {HIGH}"
+    w = f"CASE WHEN {clipped} THEN 0 WHEN {bright} THEN {mild} ELSE {one} END"
+    src = "dd"
+    if chroma:
+        half = lambda g: f"sum({g} * CASE WHEN c IN (0, 3) THEN 0.5 ELSE -0.5 END) OVER (PARTITION BY burst, frame, y, x)"
+        ctes.append(f"ch AS (SELECT *, abs({half('guide')} - {half('rg')}) AS chi FROM dd)")
+        t, src = max(2.0, 0.35 * noise), "ch"
+        w = f"({w}) * CASE WHEN chi <= {t} THEN 1 ELSE greatest({0.04 if linear else 0.08}, 1 - {unit(f'(chi - {t}) / {max(1.0, t)}')}) END"
+    ctes.append(f"ww AS (SELECT *, CASE WHEN frame = ref THEN 1 ELSE {w}{' * wn' if weighted else ''} END AS w FROM {src})")
+    return _sql(*ctes, select=f"SELECT {_PIX}, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM ww GROUP BY ALL")
+
+
+for _name, _args in {
+    "q_spatial_1ch": (8.0, 0.9, False, False, True, False),
+    "q_spatial_multi": (8.0, 1.3, True, False, False, False),
+    "q_spatial_multi_chroma": (4.0, 1.3, True, False, True, True),
+    "q_spatial_linear": (6.0, 0.8, True, True, False, False),
+    "q_spatial_linear_chroma": (6.0, 0.8, True, True, True, True),
+}.items():
+    def _spatial(spark, d, a=_args):
+        return rounded(merge.spatial(normal(spark, d, 4 if a[2] else 1), a[0], a[1], WHITE, BLACK, multi=a[2], linear=a[3], weighted=a[4], chroma=a[5]))
+
+    query(_name, _spatial_sql(*_args))(_spatial)
+
+
+@query(
+    "q_laplacian",
+    _sql(
+        _px(), _FRAMES, _stencil("norm", "o", _BOX(2), more="ref wn"),
+        "h AS (SELECT *, v - b AS high, CASE WHEN frame = ref THEN 1 ELSE wn END AS w, CASE WHEN frame = ref THEN -1 ELSE frame END AS o FROM o)",
+        select=f"SELECT {_PIX}, round(sum(w * b) / sum(w) + first(high ORDER BY round(abs(high), 9) DESC, o), 6) + 0.0 AS v FROM h GROUP BY ALL",
+    ),
+)
+def _(spark, d):
+    return rounded(merge.laplacian(normal(spark, d), 32))
+
+
+# ---------------------------------------------------------------- motion
+
+_SHIFTS = lambda r: f"(SELECT CAST(a AS INTEGER) AS dy, CAST(b AS INTEGER) AS dx FROM range(-{r}, {r + 1}) s(a), range(-{r}, {r + 1}) t(b))"
+
+
+def _motion_refs(spark) -> DataFrame:
+    return spark.createDataFrame([(0, 3)], "burst int, ref int")
+
+
+@query(
+    "q_sparse_sad_argmin",
+    _sql(
+        _px(),
+        f"k AS (SELECT m.frame, s.dy, s.dx, avg(abs(r.v - m.v)) AS sad FROM {_SHIFTS(2)} s CROSS JOIN px r JOIN px m ON m.frame <> 3 AND m.y = r.y - s.dy AND m.x = r.x - s.dx WHERE r.frame = 3 AND r.x >= abs(s.dx) AND r.x < {SIDE} - abs(s.dx) AND r.y >= abs(s.dy) AND r.y < {SIDE} - abs(s.dy) AND (r.x - abs(s.dx)) % 2 = 0 AND (r.y - abs(s.dy)) % 2 = 0 GROUP BY ALL)",
+        "n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(sad, 6), dy, dx) AS i FROM k)",
+        select="SELECT 0 AS burst, frame, dx, dy, round(sad, 6) AS sad FROM n WHERE i = 1",
+    ),
+)
+def _(spark, d):
+    return rounded(align.sparse_sad(px(spark, d), _motion_refs(spark), 2, SIDE, SIDE, 2))
+
+
+def _tile_sql(tile: int, stride: int, n: int, squared: bool, radius: int, candidates: str = "") -> str:
+    d = "coalesce(abs(r.v - m.v), 65504.0)"
+    return f"""t AS (SELECT CAST(a AS INTEGER) AS ty, CAST(b AS INTEGER) AS tx FROM range({n}) s(a), range({n}) u(b)),
+fr AS (SELECT DISTINCT frame FROM px WHERE frame <> 3),
+k AS (SELECT fr.frame, t.ty, t.tx, s.dy, s.dx, sum({d}{f' * {d}' if squared else ''}) AS cost FROM t CROSS JOIN fr CROSS JOIN {_SHIFTS(radius)} s
+  JOIN px r ON r.frame = 3 AND r.y >= t.ty * {stride} AND r.y < t.ty * {stride} + {tile} AND r.x >= t.tx * {stride} AND r.x < t.tx * {stride} + {tile}
+  LEFT JOIN px m ON m.frame = fr.frame AND m.y = r.y - s.dy AND m.x = r.x - s.dx GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY frame, ty, tx ORDER BY round(cost, 6), dy, dx) AS i FROM k)"""
+
+
+@query("q_tile_cost_argmin", _sql(_px(), _tile_sql(8, 8, 2, False, 1), select="SELECT 0 AS burst, frame, ty, tx, dx, dy, round(cost, 6) AS cost FROM n WHERE i = 1"))
+def _(spark, d):
+    p, refs = px(spark, d), _motion_refs(spark)
+    return rounded(align.tile_search(p, refs, align.around(align.zero_field(p, refs, (2, 2)), 1), 8, 8, (2, 2)))
+
+
+@query("q_dense_level", _sql(_px(), _tile_sql(8, 4, 3, True, 3), select="SELECT 0 AS burst, frame, ty, tx, dx, dy, round(cost, 6) AS cost FROM n WHERE i = 1"))
+def _(spark, d):
+    p, refs = px(spark, d), _motion_refs(spark)
+    return rounded(align.tile_search(p, refs, align.around(align.zero_field(p, refs, (3, 3)), 3), 8, 4, (3, 3), squared=True))
+
+
+@query("q_dense_field", _sql(_px(), _tile_sql(16, 8, 1, False, 3), select="SELECT 0 AS burst, frame, ty, tx, dx, dy FROM n WHERE i = 1"))
+def _(spark, d):
+    return align.dense_field(px(spark, d), _motion_refs(spark), 16, SIDE, SIDE)
+
+
+@query("q_freq_align", _sql(_px(), _tile_sql(16, 8, 1, False, 3), select="SELECT 0 AS burst, frame, ty, tx, dx, dy FROM n WHERE i = 1"))
+def _(spark, d):
+    return align.dense_field(px(spark, d), _motion_refs(spark), 16, SIDE, SIDE, frequency=True)
+
+
+@query("q_dense_field_pyramid")
+def _(spark, d):
+    return align.dense_field(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE)
+
+
+@query("q_refine_wavefront")
+def _(spark, d):
+    return align.standard_field(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE)
+
+
+@query("q_smooth_field", _sql(_FIELD, "nb AS (SELECT a.frame, a.ty, a.tx, list(b.dx ORDER BY b.dx) AS xs, list(b.dy ORDER BY b.dy) AS ys FROM field a JOIN field b ON b.frame = a.frame AND abs(b.ty - a.ty) <= 1 AND abs(b.tx - a.tx) <= 1 GROUP BY ALL)", select="SELECT 0 AS burst, frame, ty, tx, xs[len(xs) // 2 + 1] AS dx, ys[len(ys) // 2 + 1] AS dy FROM nb"))
+def _(spark, d):
+    return align.smooth_field(_field(spark.range(7).select(F.lit(0).alias("burst"), F.col("id").cast("int").alias("frame")), 4))
+
+
+# ---------------------------------------------------------------- tone and output
+
+_MERGED = "mg AS (SELECT burst, y, x, c, avg(v) AS v FROM px GROUP BY ALL)"
+
+
+def _merged(spark, d, planes=1) -> DataFrame:
+    return merge.temporal_average(px(spark, d, planes))
+
+
+@query("q_bit_depth", _sql(_px(4), _MERGED, "b AS (SELECT burst, y, x, c, v, v * (4095.0 / 50) + round(2.0 * (4095.0 / 50)) AS v12 FROM mg)", select=f"SELECT {_PIX}, round(v * (255.0 / 50), 6) AS v8, round(v12, 6) AS v12, round(v12 + (CASE c WHEN 0 THEN round((1.5 - 2.0) * (4095.0 / 50)) WHEN 2 THEN round((2.5 - 2.0) * (4095.0 / 50)) ELSE 0 END), 6) AS v12_delta FROM b"))
+def _(spark, d):
+    v = F.col("v")
+    m = _merged(spark, d, 4).select("burst", "y", "x", "c", tone.bit_depth(v, 8, WHITE, BLACK).alias("v8"), tone.bit_depth(v, 12, WHITE, BLACK).alias("v12"))
+    return rounded(m.withColumn("v12_delta", tone.black_delta(F.col("v12"), F.col("c"), [1.5, 0.0, 2.5, 2.0], BLACK, 4095.0 / WHITE)))
+
+
+@query("q_exposure_linear", _sql(_px(), _MERGED, "e AS (SELECT burst, y, x, c, greatest(0, v * pow(2, 1.3)) AS v FROM mg)", "t AS (SELECT max(v) AS top FROM e)", select=f"SELECT {_PIX}, round(CASE WHEN top > 50 THEN v * 50 / top ELSE v END, 6) AS v FROM e CROSS JOIN t"))
+def _(spark, d):
+    return rounded(tone.exposure_linear(_merged(spark, d), 1.3, WHITE))
+
+
+@query("q_exposure_curve", _sql(_px(), _MERGED, "e AS (SELECT burst, y, x, c, greatest(0, v * pow(2, 1.3)) AS v FROM mg)", select=f"SELECT {_PIX}, round(50 * v / (v + 50), 6) AS v FROM e"))
+def _(spark, d):
+    return rounded(_merged(spark, d).withColumn("v", tone.exposure_curve(F.col("v"), 1.3, WHITE)))
+
+
+@query(
+    "q_reinhard_local",
+    _sql(
+        _px(4), "m0 AS (SELECT burst, 0 AS frame, y, x, c, avg(v) AS v FROM px GROUP BY ALL)", _stencil("m0", "b1", _BOX(1)),
+        "b1v AS (SELECT burst, frame, y, x, c, b AS v FROM b1)", _stencil("b1v", "b2", _BOX(1)),
+        "gd AS (SELECT m0.burst, m0.y, m0.x, m0.c, m0.v, max(b2.b) OVER (PARTITION BY m0.y, m0.x) AS g, max(m0.v) OVER () AS top FROM m0 JOIN b2 USING (y, x, c))",
+        "s0 AS (SELECT *, greatest(1, least(0.9 * (50 - 1.5) / (greatest(2.5, top) - 1.5), 16)) AS lg, greatest(1e-12, least((g - 2) / 48.5, 1)) AS lum FROM gd)",
+        "s1 AS (SELECT *, greatest(0, least(2.0 - log2(lg), 4)) AS gs FROM s0)",
+        "s2 AS (SELECT *, pow(2, gs - 0.05 * greatest(0, gs - 1.5)) AS g0, pow(2, gs / 1.4) AS g1 FROM s1)",
+        "s3 AS (SELECT *, lg * g0 * lum AS a0, lg * g1 * lum AS a1, g1 * (0.4 + 1 / g1) / (0.4 + g1) AS lm FROM s2)",
+        "s4 AS (SELECT *, a0 * (1 + a0 / (g0 * g0)) / (1 + a0) AS k0, a1 * (0.4 + a1 / (g1 * g1)) / ((0.4 + a1) * lm) AS k1 FROM s3)",
+        select=f"SELECT {_PIX}, round(greatest(0, least(greatest(0, least((v - 1.5) / 48.5, 1)) * ((k0 + (k1 - k0) * greatest(0, least(0.25 * gs, 1))) / lum) * 48.5 + 1.5, 50)), 6) AS v FROM s4",
+    ),
+)
+def _(spark, d):
+    return rounded(tone.reinhard_local(_merged(spark, d, 4), 2.0, WHITE, 1.5, BLACK))
+
+
+@query("q_quantize", _sql(_px(), _MERGED, "s AS (SELECT burst, y, x, c, round(v, 4) AS v FROM mg)", select=f"SELECT {_PIX}, CAST(round(greatest(0, least(v, 20))) AS INTEGER) AS raw, CAST(round(greatest(0, least(v * 65535.0 / 50, 65535))) AS INTEGER) AS png16, CAST(round(greatest(0, least(v * 255.0 / 50, 255))) AS INTEGER) AS jpeg8 FROM s"))
+def _(spark, d):
+    v = F.round("v", 4)
+    return _merged(spark, d).select("burst", "y", "x", "c", tone.quantize(v, 20.0).alias("raw"), tone.quantize(v, WHITE, 65535.0).alias("png16"), tone.quantize(v, WHITE, 255.0).alias("jpeg8"))
+
+
+# ---------------------------------------------------------------- sources, lens, frequency merges
+
+
+@query(
+    "q_classify_inputs",
+    "WITH e AS (SELECT p_size AS burst, lower(regexp_extract(p_brand || '/img' || p_partkey || (CASE p_partkey % 5 WHEN 0 THEN '.DNG' WHEN 1 THEN '.arw' WHEN 2 THEN '.tif' WHEN 3 THEN '.JPG' ELSE '.txt' END), '\\.([^.]*)$', 1)) AS x FROM part), k AS (SELECT burst, x IN ('dng', 'arw') AS raw, x IN ('tif', 'jpg') AS rgb FROM e) SELECT burst, CASE WHEN bool_or(NOT raw AND NOT rgb) THEN 'unknown' WHEN bool_or(raw) AND bool_or(rgb) THEN 'mixed' WHEN bool_or(raw) THEN 'raw' ELSE 'rgb' END AS kind, count(*) FILTER (raw) AS n_raw FROM k GROUP BY burst",
+)
+def _(spark, d):
+    p = adapters.read(spark, d, "part")
+    end = F.element_at(F.array(*map(F.lit, (".DNG", ".arw", ".tif", ".JPG", ".txt"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return files.classify(p.select(F.col("p_size").alias("burst"), F.concat("p_brand", F.lit("/img"), F.col("p_partkey").cast("string"), end).alias("path")))
+
+
+def _knots(spark, d) -> DataFrame:
+    e = adapters.read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("e"))
+    return e.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * 4096).cast("int")).alias("knots"))
+
+
+_KNOTS = "kn AS (SELECT vec_id, [CAST(floor(CAST(z AS DOUBLE) * 4096) AS INTEGER) FOR z IN embedding[1:16]] AS k FROM embeddings)"
+
+
+@query(
+    "q_lens_distortion_moments",
+    _sql(
+        _KNOTS, "pt AS (SELECT vec_id, pow((i - 1) / 15.0, 2) AS x, (1 + k[i] / 16384.0) / (1 + k[16] / 16384.0) AS y FROM kn CROSS JOIN range(1, 17) r(i))",
+        select="SELECT vec_id, " + ", ".join(f"round(sum(pow(x, {k})), 6) AS s{k}" for k in range(7)) + ", " + ", ".join(f"round(sum(pow(x, {k}) * y), 6) AS t{k}" for k in range(4)) + " FROM pt GROUP BY vec_id",
+    ),
+)
+def _(spark, d):
+    points = _knots(spark, d).select("vec_id", F.explode(lens.distortion_points(F.col("knots"))).alias("p")).select("vec_id", "p.*")
+    return rounded(lens.moments(points, "vec_id", 3))
+
+
+@query("q_lens_fit_solve")
+def _(spark, d):
+    points = _knots(spark, d).select("vec_id", F.explode(lens.distortion_points(F.col("knots"))).alias("p")).select("vec_id", "p.*")
+    return lens.solve(lens.moments(points, "vec_id", 3), "vec_id", 3)
+
+
+@query("q_lens_vignette_solve")
+def _(spark, d):
+    points = _knots(spark, d).select("vec_id", F.explode(lens.vignette_points(F.col("knots"))).alias("p")).select("vec_id", "p.*")
+    return lens.solve(lens.moments(points, "vec_id", 5), "vec_id", 5, constant=False)
+
+
+@query("q_lens_gain", "SELECT event_id, round(1.0 + 0.1 * pow(r, 2) - 0.05 * pow(r, 4), 6) AS warp, round(1 + 0.3 * pow(r, 2) + 0.2 * pow(r, 4), 6) AS gain FROM (SELECT event_id, abs(value) / (1 + abs(value)) AS r FROM events)")
+def _(spark, d):
+    e = adapters.read(spark, d, "events").select("event_id", (F.abs("value") / (1 + F.abs("value"))).alias("r"))
+    return rounded(e.select("event_id", lens.warp_factor(F.col("r"), [1.0, 0.1, -0.05]).alias("warp"), lens.vignette_gain(F.col("r"), [0.3, 0.2]).alias("gain")))
+
+
+def _wiener(robust: bool):
+    def run(spark, d):
+        return wiener.merge(normal(spark, d, 4), 13, robust, bracketed=not robust, white=WHITE, black=BLACK)
+
+    return run
+
+
+query("q_wiener_std")(_wiener(False))
+query("q_wiener_robust")(_wiener(True))
