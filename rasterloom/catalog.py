@@ -64,7 +64,7 @@ def _sql(*ctes: str, select: str) -> str:
 
 
 def _same_rounding(sql: str) -> str:
-    """round(x, 6) as floor(x * 1e6 + 0.5) / 1e6, which both engines compute alike."""
+    """round(x, 6) as floor(x * 1e6 + 0.53) / 1e6, which both engines compute alike."""
     at = 0
     while (at := sql.find("round(", at)) >= 0:
         depth, end = 1, at + 6
@@ -73,7 +73,7 @@ def _same_rounding(sql: str) -> str:
             end += 1
         inner = sql[at + 6 : end - 1]
         if inner.endswith(", 6"):
-            sql = sql[:at] + f"(floor(({inner[:-3]}) * 1e6 + 0.5) / 1e6)" + sql[end:]
+            sql = sql[:at] + f"(floor(({inner[:-3]}) * 1e6 + 0.53) / 1e6)" + sql[end:]
         at += 6
     return sql
 
@@ -90,7 +90,7 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, as _same_rounding() does."""
-    return df.select(*((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.floor(F.col(c) * 1e6 + 0.53) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 _P = "burst, frame, y, x, c"

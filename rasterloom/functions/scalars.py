@@ -1,0 +1,10 @@
+"""Scalar functions of the engine as columns, gathered for reuse."""
+
+from ..operators.exposure import scale_of
+from ..operators.lens import parse_knots, vignette_gain, warp_factor
+from ..operators.repair import green_blend
+from ..operators.reshape import gamma, snap_to_period
+from ..operators.stats import mean_positive, min_positive, robustness
+from ..operators.tone import bit_depth, black_delta, exposure_curve, quantize
+
+__all__ = ["bit_depth", "black_delta", "exposure_curve", "gamma", "green_blend", "mean_positive", "min_positive", "parse_knots", "quantize", "robustness", "scale_of", "snap_to_period", "vignette_gain", "warp_factor"]
