@@ -205,8 +205,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram
                 if words:
                     yield record_batch({"key": list(map(content_key, words)), "data": list(map(zip_, words))}, text_schema)
 
+    # Both sides of the two joins below come straight from an exchange (the right
+    # one is a written table), so that adaptive execution can split a very common
+    # hash or window over many tasks; an aggregate in between would forbid that.
     text = docs.select(text_col)
-    mine = text.mapInArrow(hits, "key binary, h long").join(index.repeated(), "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
+    repeated = scratch.write(index.repeated(), "repeated")
+    mine = text.mapInArrow(hits, "key binary, h long").join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
     once = text.mapInArrow(packed, "key binary, data binary").groupBy("key").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
     some = scratch.write(once.join(mine, "key").withColumn("id", F.monotonically_increasing_id()), "candidates")
     index.drop_runs()
@@ -227,7 +231,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram
                     yield record_batch({"w1": digest[:, 0].copy(), "w2": digest[:, 1].copy(), "id": np.full(len(at), id_), "start": at.astype(np.int32), "n": np.full(len(at), copies)}, window_schema)
 
     each = some.select("id", "data", "copies", "hs").mapInArrow(windows, "w1 long, w2 long, id long, start int, n long")
-    twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
+    twice = scratch.write(each.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2"), "twice")
     starts = each.drop("n").join(twice, ["w1", "w2"]).groupBy("id").agg(F.collect_list("start").alias("starts"))
     return some.drop("hs").join(starts, "id").select("key", "data", "copies", "starts")
 
