@@ -28,7 +28,8 @@ def _square(radius: int) -> Column:
 
 
 def _first_best(cost: str) -> Column:
-    return F.min(F.struct(F.round(cost, 6).alias("cost"), "dy", "dx"))
+    """Cheapest candidate; costs that agree to six places tie, but the unrounded cost is returned."""
+    return F.min(F.struct(F.round(cost, 6).alias("key"), "dy", "dx", F.col(cost).alias("cost")))
 
 
 def sparse_sad(px: DataFrame, refs: DataFrame, radius: int, width: int, height: int, step: int = 1) -> DataFrame:
