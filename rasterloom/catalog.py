@@ -459,6 +459,30 @@ def _(spark, d):
     return rounded(align.sparse_sad(px(spark, d), _motion_refs(spark), 2, SIDE, SIDE, 2))
 
 
+def _search_sql(name: str, cells: str, side: int, step: int, start: str) -> str:
+    """Argmin of the shifts within 3 of each frame's start, on a grid of step."""
+    dx, dy = "(b.dx + s.dx)", "(b.dy + s.dy)"
+    return f"""{name}_all AS (SELECT m.frame, {dy} AS dy, {dx} AS dx, avg(abs(r.v - m.v)) AS sad FROM {start} b CROSS JOIN {_SHIFTS(3)} s JOIN {cells} m ON m.frame = b.frame JOIN {cells} r ON r.frame = 3 AND r.y = m.y + {dy} AND r.x = m.x + {dx}
+WHERE r.x >= abs({dx}) AND r.x < {side} - abs({dx}) AND r.y >= abs({dy}) AND r.y < {side} - abs({dy}) AND (r.x - abs({dx})) % {step} = 0 AND (r.y - abs({dy})) % {step} = 0 GROUP BY ALL),
+{name} AS (SELECT * FROM {name}_all QUALIFY row_number() OVER (PARTITION BY frame ORDER BY round(sad, 6), dy, dx) = 1)"""
+
+
+@query(
+    "q_global_search",
+    _sql(
+        _px(),
+        "half AS (SELECT frame, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM px GROUP BY ALL)",
+        "zero AS (SELECT DISTINCT frame, 0 AS dx, 0 AS dy FROM px WHERE frame <> 3)",
+        _search_sql("coarse", "half", SIDE // 2, 4, "zero"),
+        "doubled AS (SELECT frame, 2 * dx AS dx, 2 * dy AS dy FROM coarse)",
+        _search_sql("fine", "px", SIDE, 8, "doubled"),
+        select="SELECT 0 AS burst, frame, dx, dy, round(sad, 6) AS sad, round(1 / (1 + sad), 6) AS confidence FROM fine",
+    ),
+)
+def _(spark, d):
+    return rounded(align.global_search(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE))
+
+
 def _tile_sql(tile: int, stride: int, n: int, squared: bool, radius: int, candidates: str = "") -> str:
     d = "coalesce(abs(r.v - m.v), 65504.0)"
     return f"""t AS (SELECT CAST(a AS INTEGER) AS ty, CAST(b AS INTEGER) AS tx FROM range({n}) s(a), range({n}) u(b)),

@@ -32,16 +32,36 @@ def _first_best(cost: str) -> Column:
     return F.min(F.struct(F.round(cost, 6).alias("key"), "dy", "dx", F.col(cost).alias("cost")))
 
 
-def sparse_sad(px: DataFrame, refs: DataFrame, radius: int, width: int, height: int, step: int = 1) -> DataFrame:
-    """Best whole-frame shift of each frame by the mean absolute difference over the common area, on a grid of step."""
-    ref, cmp = _sides(px, refs)
-    moved = cmp.withColumn("o", F.explode(_square(radius))).select("burst", "frame", (F.col("y") + F.col("o.oy")).alias("y"), (F.col("x") + F.col("o.ox")).alias("x"), F.col("o.oy").alias("dy"), F.col("o.ox").alias("dx"), "v")
-    on = (F.col("x") >= F.abs("dx")) & (F.col("x") < width - F.abs("dx")) & (F.col("y") >= F.abs("dy")) & (F.col("y") < height - F.abs("dy"))
-    grid = ((F.col("x") - F.abs("dx")) % step == 0) & ((F.col("y") - F.abs("dy")) % step == 0)
-    cost = moved.where(on & grid).join(ref, ["burst", "y", "x"]).groupBy("burst", "frame", "dy", "dx").agg(F.avg(F.abs(F.col("r") - F.col("v"))).alias("sad"))
+def sparse_sad(px: DataFrame, refs: DataFrame, radius: int, width: int, height: int, step: int = 1, start: DataFrame | None = None) -> DataFrame:
+    """Best whole-frame shift of each frame within radius of its start (burst, frame, dx, dy; else zero) by the mean absolute difference over the common area, on a grid of step.  Frames whose shifts leave no common cell have no row."""
+    ref, moved = _sides(px, refs)
+    if start is None:
+        moved = moved.withColumn("x0", F.lit(0)).withColumn("y0", F.lit(0))
+    else:
+        moved = moved.join(start.select("burst", "frame", F.col("dx").alias("x0"), F.col("dy").alias("y0")), ["burst", "frame"])
+    for axis, size in (("y", height), ("x", width)):  # one axis after the other, so that cells off the grid go early
+        moved = moved.withColumn(f"d{axis}", F.explode(F.sequence(F.col(f"{axis}0") - radius, F.col(f"{axis}0") + radius))).withColumn(axis, F.col(axis) + F.col(f"d{axis}"))
+        far = F.abs(f"d{axis}")
+        moved = moved.where((F.col(axis) >= far) & (F.col(axis) < size - far) & ((F.col(axis) - far) % step == 0))
+    cost = moved.join(ref, ["burst", "y", "x"]).groupBy("burst", "frame", "dy", "dx").agg(F.avg(F.abs(F.col("r") - F.col("v"))).alias("sad"))
     return cost.groupBy("burst", "frame").agg(_first_best("sad").alias("b")).select("burst", "frame", "b.dx", "b.dy", F.col("b.cost").alias("sad"))
 
 
+def global_search(px: DataFrame, refs: DataFrame, tile: int, width: int, height: int) -> DataFrame:
+    """Whole-frame shift of each frame, coarse to fine over the pyramid: burst, frame, dx, dy, sad, confidence.  A level without a common cell keeps the shift; a null sad has confidence 0."""
+    levels, sizes = stencil.pyramid(px, width, height, tile), stencil.pyramid_sizes(width, height, tile)
+    best = zero_field(px, refs, (1, 1)).select("burst", "frame", "dx", "dy")
+    for level in reversed(range(len(levels))):
+        if level < len(levels) - 1:
+            scale = sizes[level][0] // sizes[level + 1][0]
+            best = best.select("burst", "frame", (F.col("dx") * scale).alias("dx"), (F.col("dy") * scale).alias("dy"))
+        radius = max(3, max(sizes[level]) >> (2 + len(levels) - level))
+        found = sparse_sad(levels[level], refs, radius, *sizes[level], max(1, 16 >> (level + 1)), best)
+        found = found.select("burst", "frame", F.col("dx").alias("fx"), F.col("dy").alias("fy"), "sad")
+        best = checkpointed(best.join(found, ["burst", "frame"], "left").select("burst", "frame", F.coalesce("fx", "dx").alias("dx"), F.coalesce("fy", "dy").alias("dy"), "sad"))
+    return best.withColumn("confidence", F.coalesce(1 / (1 + F.col("sad")), F.lit(0.0)))
+
+
 def tiles_of(pos: str, tile: int, stride: int, n: int) -> Column:
     """Indexes of the tiles along an axis that cover a cell."""
     last = F.least(F.expr(f"int({pos} div {stride})"), F.lit(n - 1))
@@ -120,18 +140,23 @@ def skip(px: DataFrame, refs: DataFrame) -> DataFrame:
     return zero_field(px, refs, (1, 1))
 
 
-def standard_field(px: DataFrame, refs: DataFrame, tile: int, width: int, height: int, search: int = 64, seed: tuple[int, int] = (0, 0)) -> DataFrame:
-    """Tiles without overlap, each searched around the mean of the seed and the left and upper tiles' shifts.  The recursion is sequential, so a frame is one task."""
+def standard_field(px: DataFrame, refs: DataFrame, tile: int, width: int, height: int, search: int = 64, seeds: DataFrame | None = None) -> DataFrame:
+    """Tiles without overlap, each searched around the mean of the frame's seed (burst, frame, dx, dy; else zero) and the left and upper tiles' shifts.  The recursion is sequential, so a frame is one task."""
     import numpy as np
     import pandas as pd
 
     radius, nx, ny = min(3, max(1, search // 16)), -(-width // tile), -(-height // tile)
     half = lambda a, b: int((a + b) / 2)  # noqa: E731  towards zero
     ref, cmp = _sides(px, refs)
+    if seeds is None:
+        cmp = cmp.withColumn("seed_x", F.lit(0)).withColumn("seed_y", F.lit(0))
+    else:
+        cmp = cmp.join(seeds.select("burst", "frame", F.col("dx").alias("seed_x"), F.col("dy").alias("seed_y")), ["burst", "frame"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = np.zeros((height, width)), np.zeros((height, width))
         a[pdf.y, pdf.x], b[pdf.y, pdf.x] = pdf.r, pdf.v
+        seed = int(pdf.seed_y.iloc[0]), int(pdf.seed_x.iloc[0])
         out = np.zeros((ny, nx, 2), int)
         for ty in range(ny):
             for tx in range(nx):

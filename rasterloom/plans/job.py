@@ -23,7 +23,8 @@ class BurstJob:
     def field(self, gray: DataFrame, refs: DataFrame, width: int, height: int) -> tuple[DataFrame, int]:
         s = self.settings
         if s.align == "standard":
-            field, spacing = align.standard_field(gray, refs, s.tile, width, height, s.search), s.tile
+            seeds = align.global_search(gray, refs, s.tile, width, height)
+            field, spacing = align.standard_field(gray, refs, s.tile, width, height, s.search, seeds), s.tile
         else:
             field, spacing = align.dense_field(gray, refs, s.tile, width, height, s.align == "frequency"), s.tile // 2
         return (align.smooth_field(field) if s.smooth else field), spacing

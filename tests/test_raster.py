@@ -105,6 +105,35 @@ def test_alignment(spark):
     assert stencil.pyramid_sizes(128, 128, 16)[:2] == [(128, 128), (64, 64)] and stencil.pyramid_sizes(8, 8, 16) == [(8, 8)]
 
 
+def far_pair(spark, shift=(6, 4), side=64):
+    """Two frames of a smooth field; the second is the first moved by more than a tile's own search reaches."""
+    rng = np.random.default_rng(5)
+    a = rng.random((side, side))
+    for _ in range(3):
+        a = (a + np.roll(a, 1, 0) + np.roll(a, 1, 1) + np.roll(a, (1, 1), (0, 1))) / 4
+    a = np.round(1000 * (a - a.min()) / (a.max() - a.min()))
+    b = np.roll(a, (shift[1], shift[0]), (0, 1))
+    rows = [(0, f, y, x, 0, float(v[y, x])) for f, v in enumerate((a, b)) for y in range(side) for x in range(side)]
+    return a, spark.createDataFrame(rows, "burst int, frame int, y int, x int, c int, v double")
+
+
+def test_global_search(spark):
+    a, px = far_pair(spark)
+    refs = spark.createDataFrame([(0, 0)], "burst int, ref int")
+    found = align.global_search(px, refs, 16, 64, 64).first()
+    assert (found.dx, found.dy, found.sad, found.confidence) == (-6, -4, 0.0, 1.0)
+    tiny = align.global_search(px.where("y < 1 AND x < 1"), refs, 16, 1, 1).first()
+    assert (tiny.dx, tiny.dy) == (0, 0)
+    none = align.global_search(px.where("frame = 0"), refs, 16, 64, 64)
+    assert none.count() == 0
+    frames = spark.createDataFrame([(0, i, 1.0, 0.0, 1023.0, 0.0) for i in range(2)], "burst int, frame int, ev double, bias double, white double, black double")
+    out = BurstJob(px, frames, Settings(merge="median", align="standard", tile=16, depth=10)).run().collect()
+    want = np.roll(a, (4, 6), (0, 1))  # of two frames the second is the reference
+    # tiles at the upper and left border pay for cells outside and pass their shift on to the next ones, so only cells that none of them feeds are whole
+    inner = [r for r in out if r.y >= 48 and r.x >= 32]
+    assert len(inner) == 512 and all(abs(r.v - want[r.y, r.x]) <= 1 for r in inner)
+
+
 def test_tone():
     assert [tone.target_white(d, 1000.0) for d in (12, 14, 16, 99)] == [4095, 16383, 65535, 1000]
     assert [tone.snap_depth(d, f) for d, f in ((14, "png"), (7, "tiff"), (16, "bmp"), (20, "dng"))] == [16, 8, 8, 16]
