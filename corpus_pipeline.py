@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import langid, packing, pii, simhash, substring
+from rasterloom.llm import jaccard, langid, packing, pii, substring
 from rasterloom.llm.common import Scratch, table
 
 MIN_LANGUAGE_SCORE = 0.5  # below, no language is likelier than all others together
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies: that with the smallest doc_id."""
-    return simhash.representatives(docs)
+    """Keeps one document of each class of near copies (five-word shingles, Jaccard at least 0.8): that with the smallest doc_id."""
+    return jaccard.representatives(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SimHash components, learned languages and tokens are beyond SQL.
+#: Components of near copies, learned languages and tokens are beyond SQL.
 ORACLE_SQL = None
 
 
