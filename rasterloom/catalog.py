@@ -522,7 +522,8 @@ def _(spark, d):
 
 @query("q_refine_wavefront")
 def _(spark, d):
-    return align.standard_field(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE)
+    p, refs = px(spark, d), _motion_refs(spark)
+    return align.standard_field(p, refs, 4, SIDE, SIDE, seeds=align.global_search(p, refs, 4, SIDE, SIDE))
 
 
 @query("q_smooth_field", _sql(_FIELD, "nb AS (SELECT a.frame, a.ty, a.tx, list(b.dx ORDER BY b.dx) AS xs, list(b.dy ORDER BY b.dy) AS ys FROM field a JOIN field b ON b.frame = a.frame AND abs(b.ty - a.ty) <= 1 AND abs(b.tx - a.tx) <= 1 GROUP BY ALL)", select="SELECT 0 AS burst, frame, ty, tx, xs[len(xs) // 2 + 1] AS dx, ys[len(ys) // 2 + 1] AS dy FROM nb"))

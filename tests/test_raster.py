@@ -134,6 +134,47 @@ def test_global_search(spark):
     assert len(inner) == 512 and all(abs(r.v - want[r.y, r.x]) <= 1 for r in inner)
 
 
+def seeded_refinement(frames, ref, tile=4, side=16):
+    """Plain version of q_refine_wavefront: two levels of whole-frame search, then tiles from the seed and the tiles before."""
+
+    def search(a, b, start, step):
+        n, found = len(a), []
+        for dy in range(start[0] - 3, start[0] + 4):
+            for dx in range(start[1] - 3, start[1] + 4):
+                d = [abs(a[y, x] - b[y - dy, x - dx]) for y in range(abs(dy), n - abs(dy), step) for x in range(abs(dx), n - abs(dx), step)]
+                found += [(round(sum(d) / len(d), 6), dy, dx)] if d else []
+        return min(found)[1:] if found else start
+
+    def cost(a, b, ty, tx, dy, dx):
+        cells = [(y, x) for y in range(ty * tile, (ty + 1) * tile) for x in range(tx * tile, (tx + 1) * tile)]
+        return sum(abs(a[y, x] - b[y - dy, x - dx]) if 0 <= y - dy < side and 0 <= x - dx < side else align.OUTSIDE for y, x in cells)
+
+    half = lambda v: v.reshape(side // 2, 2, side // 2, 2).mean((1, 3))
+    seeds, out = {}, {}
+    for f, b in frames.items():
+        if f == ref:
+            continue
+        a = frames[ref]
+        coarse = search(half(a), half(b), (0, 0), 4)
+        seeds[f] = search(a, b, (2 * coarse[0], 2 * coarse[1]), 8)
+        for ty in range(side // tile):
+            for tx in range(side // tile):
+                at = seeds[f]
+                for before in ([(ty, tx - 1)] if tx else []) + ([(ty - 1, tx)] if ty else []):
+                    at = tuple(int((p + q) / 2) for p, q in zip(at, out[f, *before]))
+                out[f, ty, tx] = min((round(cost(a, b, ty, tx, at[0] + y, at[1] + x), 6), at[0] + y, at[1] + x) for y in range(-3, 4) for x in range(-3, 4))[1:]
+    return seeds, out
+
+
+def test_refine_wavefront_is_seeded(spark):
+    frames = {}
+    for r in catalog.px(spark, SF).collect():
+        frames.setdefault(r.frame, np.zeros((16, 16)))[r.y, r.x] = r.v
+    seeds, want = seeded_refinement(frames, 3)
+    assert any(s != (0, 0) for s in seeds.values())
+    assert {(r.frame, r.ty, r.tx): (r.dy, r.dx) for r in catalog.QUERIES["q_refine_wavefront"](spark, SF).collect()} == want
+
+
 def test_tone():
     assert [tone.target_white(d, 1000.0) for d in (12, 14, 16, 99)] == [4095, 16383, 65535, 1000]
     assert [tone.snap_depth(d, f) for d, f in ((14, "png"), (7, "tiff"), (16, "bmp"), (20, "dng"))] == [16, 8, 8, 16]
