@@ -520,6 +520,11 @@ def _(spark, d):
     return align.dense_field(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE)
 
 
+@query("q_freq_align_pyramid")
+def _(spark, d):
+    return align.dense_field(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE, frequency=True)
+
+
 @query("q_refine_wavefront")
 def _(spark, d):
     p, refs = px(spark, d), _motion_refs(spark)

@@ -175,6 +175,33 @@ def test_refine_wavefront_is_seeded(spark):
     assert {(r.frame, r.ty, r.tx): (r.dy, r.dx) for r in catalog.QUERIES["q_refine_wavefront"](spark, SF).collect()} == want
 
 
+def test_freq_align_pyramid(spark):
+    """Two levels of half-overlapping tiles by brute force: absolute cost, the parent's doubled shift, no neighbour correction."""
+    frames = {}
+    for r in catalog.px(spark, SF).collect():
+        frames.setdefault(r.frame, np.zeros((16, 16)))[r.y, r.x] = r.v
+    half = lambda v: v.reshape(8, 2, 8, 2).mean((1, 3))
+
+    def best(a, b, ty, tx, start):
+        n, found = len(a), []
+        for dy in range(start[0] - 3, start[0] + 4):
+            for dx in range(start[1] - 3, start[1] + 4):
+                cells = [(y, x) for y in range(2 * ty, 2 * ty + 4) for x in range(2 * tx, 2 * tx + 4)]
+                cost = sum(abs(a[y, x] - b[y - dy, x - dx]) if 0 <= y - dy < n and 0 <= x - dx < n else align.OUTSIDE for y, x in cells)
+                found.append((round(cost, 6), dy, dx))
+        return min(found)[1:]
+
+    want = {}
+    for f in frames.keys() - {3}:
+        coarse = {(ty, tx): best(half(frames[3]), half(frames[f]), ty, tx, (0, 0)) for ty in range(3) for tx in range(3)}
+        for ty in range(7):
+            for tx in range(7):
+                up = coarse[min(ty // 2, 2), min(tx // 2, 2)]
+                want[f, ty, tx] = best(frames[3], frames[f], ty, tx, (2 * up[0], 2 * up[1]))
+    got = {(r.frame, r.ty, r.tx): (r.dy, r.dx) for r in catalog.QUERIES["q_freq_align_pyramid"](spark, SF).collect()}
+    assert len(got) == 6 * 49 and got == want
+
+
 def test_tone():
     assert [tone.target_white(d, 1000.0) for d in (12, 14, 16, 99)] == [4095, 16383, 65535, 1000]
     assert [tone.snap_depth(d, f) for d, f in ((14, "png"), (7, "tiff"), (16, "bmp"), (20, "dng"))] == [16, 8, 8, 16]
