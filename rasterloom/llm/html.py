@@ -30,11 +30,13 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _DROP_TAGS = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "label", "canvas", "audio", "video", "map"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr", "ruby", "rb", "rt", "rp"}
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_DROP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|paywall|side-?bar|rail|widgets?|comments?|comment-?list|respond|repl(?:y|ies)|disqus|discussion|share|sharing|social|related|recommend\w*|more-stories|newsletter|subscribe|signup|sign-up|login|search|menus?|nav\w*|topnav|masthead|site-?header|page-?header|footer|site-?footer|breadcrumbs?|pagination|pager|toolbar|skip-?link|tags?-?list|copyright|legal|disclaimer|print-only)(?:$|[\s_-]|\d)",
-    re.I,
-)
+_NAMES = r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|paywall|side-?bar|rail|widgets?|comments?|comment-?list|respond|repl(?:y|ies)|disqus|share|sharing|social|recommend\w*|more-stories|newsletter|subscribe|signup|sign-up|login|menus?|nav\w*|topnav|masthead|site-?header|page-?header|footer|site-?footer|breadcrumbs?|pagination|pager|toolbar|skip-?link|tags?-?list|copyright|disclaimer|print-only"
+#: Names that an article's own headings and sections may have as their topic.
+_TOPICS = r"discussion|related|search|legal"
+_DROP_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_NAMES}|{_TOPICS})(?:$|[\s_-]|\d)", re.I)
+_DROP_IN_ARTICLE = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-]|\d)", re.I)
 _DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _SHARE, _LEAST = 0.2, 10.0
 
 
@@ -50,9 +52,10 @@ class _Node:
 def _dropped(tag: str, rest: str, inside_article: bool) -> bool:
     if tag in _DROP_TAGS or tag == "header" and not inside_article:
         return True
+    names = _DROP_IN_ARTICLE if inside_article and (tag == "section" or tag in _HEADINGS) else _DROP_NAMES
     for m in _ATTRIBUTE.finditer(rest) if rest else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and _DROP_NAMES.search(value):
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and names.search(value):
             return True
         if name == "role" and value.lower() in _DROP_ROLES or name == "hidden" and rest.lower().find("hidden") >= 0 and not value.startswith("until"):
             return True
@@ -146,6 +149,13 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
     return out
 
 
+def _group(node: _Node | None) -> _Node | None:
+    """The innermost list or table around a block."""
+    while node is not None and node.tag not in ("ul", "ol", "dl", "table"):
+        node = node.parent
+    return node
+
+
 def extract(page: str | None) -> str:
     """Main text of a page, blocks joined by two newlines; empty if there is none."""
     if not page:
@@ -195,7 +205,19 @@ def extract(page: str | None) -> str:
             return below.chars > 80 and below.linked < 0.25 * below.chars
         return score(below) >= least and best.tag not in ("article", "main")
 
-    return "\n\n".join(text for node, text, linked in blocks if kept(node) and (linked <= 0.5 * len(text) or node.tag == "p"))
+    items: dict[int, int] = {}  # linked blocks of each list or table
+    for node, text, linked in blocks:
+        if linked > 0.5 * len(text) and (group := _group(node)) is not None:
+            items[id(group)] = items.get(id(group), 0) + 1
+
+    def menu(node: _Node) -> bool:
+        """Whether a block that is mostly links stands in a list, table or other container that is, too; single items, headings and paragraphs don't."""
+        if node.tag == "p" or node.tag in _HEADINGS:
+            return False
+        group = _group(node)
+        return group is None or items[id(group)] > 1 and group.linked > 0.5 * group.chars
+
+    return "\n\n".join(text for node, text, linked in blocks if kept(node) and not (linked > 0.5 * len(text) and menu(node)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

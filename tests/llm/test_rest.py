@@ -167,6 +167,19 @@ def test_html():
     assert html.extract("<article><p>kept &am") == "kept &am"
 
 
+def test_html_keeps_linked_parts_of_the_article():
+    body = "<p>First, long paragraph with words, commas, and much more of it for sure.</p>"
+    page = f"""<html><body><article><h2><a href=x>Linked heading</a></h2>{body}
+<ul><li><a href=x>linked item</a></li><li>a plain item of some length</li></ul>
+<table><tr><td><a href=x>linked cell</a></td><td>a plain cell of some length</td></tr></table>
+<ul><li><a href=x>menu one</a></li><li><a href=x>menu two</a></li></ul>
+<section id="related-work"><h2 id="discussion">Discussion</h2><p>What it means, in short.</p></section>
+<section class="legal"><p>Law, as such.</p></section><section class="search share"><p>Share, this.</p></section>
+<div class="related"><p>Other, stories.</p></div></article></body></html>"""
+    got = html.extract(page).split("\n\n")
+    assert got == ["Linked heading", "First, long paragraph with words, commas, and much more of it for sure.", "linked item", "a plain item of some length", "linked cell", "a plain cell of some length", "Discussion", "What it means, in short.", "Law, as such."]
+
+
 def test_html_pages(spark):
     import re
     from html import unescape
