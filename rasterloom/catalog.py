@@ -604,6 +604,18 @@ def _knots(spark, d) -> DataFrame:
     return e.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * 4096).cast("int")).alias("knots"))
 
 
+def _knot_parts(spark, d) -> DataFrame:
+    """All of each vector as rows of 16 knots; id is four times vec_id, plus the part."""
+    e = adapters.read(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"), "embedding")
+    e = e.select((F.col("vec_id") * 4 + F.col("part")).alias("id"), F.slice("embedding", F.col("part") * 16 + 1, 16).alias("e"))
+    return e.select("id", F.transform("e", lambda x: F.floor(x.cast("double") * 4096).cast("int")).alias("knots"))
+
+
+def _by_part(fits: DataFrame) -> DataFrame:
+    part = F.pmod("id", F.lit(4))
+    return fits.select(((F.col("id") - part) / 4).cast("long").alias("vec_id"), part.cast("int").alias("part"), "k")
+
+
 _KNOTS = "kn AS (SELECT vec_id, [CAST(floor(CAST(z AS DOUBLE) * 4096) AS INTEGER) FOR z IN embedding[1:16]] AS k FROM embeddings)"
 
 
@@ -621,14 +633,14 @@ def _(spark, d):
 
 @query("q_lens_fit_solve")
 def _(spark, d):
-    points = _knots(spark, d).select("vec_id", F.explode(lens.distortion_points(F.col("knots"))).alias("p")).select("vec_id", "p.*")
-    return lens.solve(lens.moments(points, "vec_id", 3), "vec_id", 3)
+    points = _knot_parts(spark, d).select("id", F.explode(lens.distortion_points(F.col("knots"))).alias("p")).select("id", "p.*")
+    return _by_part(lens.solve(lens.moments(points, "id", 3), "id", 3))
 
 
 @query("q_lens_vignette_solve")
 def _(spark, d):
-    points = _knots(spark, d).select("vec_id", F.explode(lens.vignette_points(F.col("knots"))).alias("p")).select("vec_id", "p.*")
-    return lens.solve(lens.moments(points, "vec_id", 5), "vec_id", 5, constant=False)
+    points = _knot_parts(spark, d).select("id", F.explode(lens.vignette_points(F.col("knots"))).alias("p")).select("id", "p.*")
+    return _by_part(lens.solve(lens.moments(points, "id", 5), "id", 5, constant=False))
 
 
 @query("q_lens_gain", "SELECT event_id, round(1.0 + 0.1 * pow(r, 2) - 0.05 * pow(r, 4), 6) AS warp, round(1 + 0.3 * pow(r, 2) + 0.2 * pow(r, 4), 6) AS gain FROM (SELECT event_id, abs(value) / (1 + abs(value)) AS r FROM events)")

@@ -228,6 +228,25 @@ def test_lens(spark):
     assert len(lens.opcode_list([1, 0, 0, 0], [0] * 5)) == 4 + 16 + 68 + 16 + 56
 
 
+@pytest.mark.parametrize("name", ["q_lens_fit_solve", "q_lens_vignette_solve"])
+def test_lens_fits_read_whole_vectors(spark, db, name):
+    got = {(r.vec_id, r.part): r.k for r in catalog.QUERIES[name](spark, SF).collect()}
+    rows = db.execute("select vec_id, embedding from embeddings").fetchall()
+    assert len(got) == 4 * len(rows)
+    for vec, e in rows:
+        for part in range(4):
+            k = np.floor(np.array(e[16 * part : 16 * part + 16], float) * 4096)
+            if name == "q_lens_fit_solve":
+                want = np.polyfit((np.arange(16) / 15) ** 2, (1 + k / 16384) / (1 + k[15] / 16384), 3)[::-1]
+                assert got[vec, part] == pytest.approx(want, abs=1e-4)
+            else:
+                x, y = (np.arange(15) / 14) ** 2, (k[:15] - k[0]) / 16384
+                c = np.array(got[vec, part])
+                a = np.stack([x**p for p in range(1, 6)], 1)
+                best = np.linalg.lstsq(a, y, rcond=None)[0]
+                assert ((a @ c - y) ** 2).sum() <= ((a @ best - y) ** 2).sum() + 1e-6
+
+
 def test_files(spark, tmp_path):
     image = np.random.default_rng(1).integers(0, 256, (5, 7, 3)).astype(np.uint8)
     (tmp_path / "a.bmp").write_bytes(files.encode_bmp(image))
