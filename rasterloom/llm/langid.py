@@ -8,7 +8,8 @@ of languages) goes to every task and batches are scored sparsely in numpy.
 Null texts and texts without a letter get `und` with score 0, as does everything
 if there is no training row.  Ties go to the language that sorts first.  The
 score is the posterior of the predicted language after the evidence is scaled to
-at most EVIDENCE n-grams.
+at most EVIDENCE n-grams.  Very long texts are scored whole, one at a time.  An
+empty table gives an empty result and learns nothing.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, slices, table, texts
+from .common import free_name, record_batch, table, text_chunks, text_function
 
 ORDERS, BUCKETS, EVIDENCE, SMOOTHING = (1, 2, 3), 1 << 15, 40, 0.5
+#: Bound of the model (languages x BUCKETS 4-byte numbers, 64 MB); more are refused, not cut.
+MAX_LANGUAGES, HELD_LANGUAGES = 500, 64
 _CHUNK = 1 << 19
 _MULT = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F)]
 
@@ -69,20 +72,29 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            data, langs = texts(b.column(0)), b.column(1).to_pylist()
-            for i, j in slices(list(map(len, data)), _CHUNK):
-                grams, starts, _ = ngrams(data[i:j])
+            langs = b.column(1).to_pylist()
+            for i, j, data in text_chunks(b.column(0), _CHUNK):
+                grams, starts, _ = ngrams([t.decode() for t in data])
                 names = sorted(set(langs[i:j]))
                 which = np.repeat(np.array([names.index(x) for x in langs[i:j]]), np.diff(starts, append=len(grams[0])))
                 for g in grams:
                     bins = np.bincount(which * (BUCKETS + 1) + g, minlength=len(names) * (BUCKETS + 1)).reshape(-1, BUCKETS + 1)
                     for name, row in zip(names, bins, strict=True):
                         total[name] = total[name] + row if name in total else row
+                if len(total) > HELD_LANGUAGES:  # a task's memory does not follow the number of languages
+                    yield from out(total)
+                    total = {}
+        yield from out(total)
+
+    def out(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, row in total.items():
             at = np.flatnonzero(row[:BUCKETS])
             yield record_batch({"lang": [name] * len(at), "bucket": at, "n": row[at]}, schema)
 
     known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
+    languages = known.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the model would not fit in each task")
     sums = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
     matrix = np.zeros((len(langs), BUCKETS + 1))
@@ -115,27 +127,22 @@ def held_out() -> F.Column:
 
 
 def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """docs with lang_out and score_out added (columns of those names are replaced)."""
-    spark = docs.sparkSession
-    text = F.col(text_col)
-    docs = docs.select("*", text.alias("__text"))
-    docs = docs.drop(*({lang_out, score_out} & {*docs.columns}))
-    fields = docs.schema.fields[:-1]
-    model = spark.sparkContext.broadcast((langs, matrix))
-    names = [*docs.columns[:-1], lang_out, score_out]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, matrix = model.value
-        for b in batches:
-            data = texts(b.column(b.num_columns - 1))
-            for i, j in slices(list(map(len, data)), _CHUNK):
-                lang, score = predict(data[i:j], langs, matrix)
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang), pa.array(score)], names=names)
+    """docs with lang_out and score_out added (columns of those names are replaced).  Only the texts go to Python, and only the results come back."""
+    model = docs.sparkSession.sparkContext.broadcast((langs, matrix))  # at most MAX_LANGUAGES x BUCKETS numbers
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    return docs.mapInArrow(run, StructType(fields).add(lang_out, StringType()).add(score_out, DoubleType()))
+    def run(column: pa.Array) -> pa.Array:
+        langs, matrix = model.value
+        found, scores = [], []
+        for _, _, data in text_chunks(column, _CHUNK):
+            lang, score = predict([t.decode() for t in data], langs, matrix)
+            found += lang
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["lang", "score"])
+
+    name = free_name(docs.columns, "__found")
+    others = [c for c in docs.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
+    found = docs.withColumn(name, text_function(run, "lang string, score double")(F.col(text_col)))
+    return found.select(*(F.col(f"`{c}`") for c in others), F.col(f"{name}.lang").alias(lang_out), F.col(f"{name}.score").alias(score_out))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
