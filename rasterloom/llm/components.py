@@ -14,9 +14,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     Alternating large-star and small-star steps: each node links its larger
     neighbours to its smallest one, then its smaller neighbours (and itself) to
     the smallest, until no edge changes.  Each round is written to the shared folder, so lineage stays short.
-    Minima are pre-aggregated in the map tasks; only joins see a hub's edges, and
-    adaptive execution splits those.
+    Minima are pre-aggregated in the map tasks; only joins see a hub's edges.  A
+    join's right side is aggregated by the same key, and adaptive execution splits
+    a hub only where both sides come straight from an exchange, so the key is
+    rewritten (to the same value) after the aggregate: that takes a second, small
+    exchange.
+
+    Nodes are integers; edges with a null end or of a node to itself are dropped,
+    repeated edges count once.  Without edges the result is empty.
     """
+    apart = F.expr("u | 0L").alias("u")
+
     now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}0")
     before, k = None, 0
     while True:
@@ -25,9 +33,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
             break
         before, k = stat, k + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(apart, F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        smallest = large.groupBy("u").agg(F.min("v").alias("m")).select(apart, "m")
         small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = scratch.write(small, f"{name}{k}")
         if k > 1:

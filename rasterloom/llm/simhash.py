@@ -10,13 +10,21 @@ tasks of their shard instead of to all tasks, since the number of fingerprints
 grows with the corpus and has no bound that a broadcast would need.
 
 A shard returns one star for each linked set, not all its pairs; the components
-over all shards give the classes.  Null and wordless texts have fingerprint
-zero, which links like any other.  Repeated rows share a fingerprint.
+over all shards give the classes.  A shard of more than LARGE fingerprints is
+not searched in one task: its members are dealt to finer shards by all choices
+of the rest of the bits but RADIUS blocks of FINE bits.  Such a shard's members
+differ in RADIUS * FINE bits only, so it has at most 2 ** 16 of them.
+
+Null and wordless texts have fingerprint zero, which links like any other.
+Repeated rows share a fingerprint; very long texts are hashed whole.  Null
+doc_ids have no part in component_id, which is null if a class has no other.  An
+empty table gives an empty result; other columns are not read, except by
+fingerprinted(), which keeps them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,38 +32,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
-from .common import Scratch, record_batch, shuffle_partitions, slices, table, utf8
+from .common import Scratch, mix64, record_batch, shuffle_partitions, table, text_chunks, text_function
 from .components import components
 
 RADIUS, SHINGLE, SEED, BLOCKS = 4, 4, 42, 6
-_CHUNK = 1 << 20
+LARGE, FINE = 1 << 16, 4
+_CHUNK, _FRONTIER = 1 << 20, 1 << 22
 
 
-def simhashes(data: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Fingerprint (uint64) of each text: A-Z lower-cased, words of non-white bytes, shingles with repeats, XXH64."""
-    digest = xxhash.xxh64_intdigest
-    counts, hashes = np.zeros(len(data), np.int64), []
-    for i, text in enumerate(data):
-        words = text.lower().split()
-        if not words:
-            continue
-        if len(words) <= shingle:
-            found = [digest(b" ".join(words), seed)]
-        else:
-            joined = b" ".join(words)
-            gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-            starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
-            ends = [*gaps[shingle - 1 :].tolist(), len(joined)]
-            found = [digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)]
-        counts[i] = len(found)
-        hashes.append(np.array(found, np.uint64))
-    out = np.zeros(len(data), np.uint64)
+def majorities(hashes: list[np.ndarray]) -> np.ndarray:
+    """Fingerprint (uint64) of each list of hashes: the bits set in over half of them."""
+    counts = np.array([len(h) for h in hashes], np.int64)
+    out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
-    h = np.concatenate(hashes)
+    h = np.concatenate([hashes[i] for i in full])
     starts = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
     for bit in range(64):
         ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), starts)
@@ -63,6 +56,25 @@ def simhashes(data: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np
     return out
 
 
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included: A-Z lower-cased, words of non-white bytes joined by a space; a shorter text is one shingle."""
+    digest, words = xxhash.xxh64_intdigest, text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(joined, seed)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = [0, *(gaps[: len(words) - shingle] + 1).tolist()]
+    ends = [*gaps[shingle - 1 :].tolist(), len(joined)]
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)], np.uint64)
+
+
+def simhashes(data: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Fingerprint (uint64) of each text."""
+    return majorities([shingle_hashes(text, shingle, seed) for text in data])
+
+
 class BkTree:
     """BK-tree over distinct fingerprints, built and searched one level at a time for all items at once."""
 
@@ -99,17 +111,32 @@ class BkTree:
             node = self.order[np.repeat(low - ends + count, count) + np.arange(len(q))]
 
 
-def stars(values: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def linked(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links (places of both ends) of distinct values, a few queries at a time so that no more than about _FRONTIER are held."""
+    tree, n = BkTree(values), len(values)
+    block = max(1, min(512, _FRONTIER // max(1, n)))
+    for at in range(0, n, block):
+        found = list(tree.within(values[at : at + block], radius))
+        yield np.concatenate([q for q, _ in found]) + at, np.concatenate([node for _, node in found])
+
+
+def nearest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """One link of each value that has any to an earlier one: to the nearest of these."""
+    found = []
+    for a, b in linked(values, radius):
+        a, b = a[b < a], b[b < a]
+        order = np.lexsort((b, np.bitwise_count(values[a] ^ values[b]), a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        found.append((values[a[first]], values[b[first]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def stars(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (value, smallest linked value) that connect what the links of distinct values connect."""
     n = len(values)
     root = np.arange(n)
-    tree = BkTree(values)
-    for at in range(0, n, block):
-        a, b = [], []
-        for q, node in tree.within(values[at : at + block], radius):
-            a.append(q + at)
-            b.append(node)
-        a, b = np.concatenate(a), np.concatenate(b)
+    for a, b in linked(values, radius):
         while True:  # join the sets of both ends until each link lies in one set
             ra, rb = root[a], root[b]
             if (ra == rb).all():
@@ -117,44 +144,80 @@ def stars(values: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray
             np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
             while (root != root[root]).any():
                 root = root[root]
-    linked = np.flatnonzero(root != np.arange(n))
-    return values[linked], values[root[linked]]
+    some = np.flatnonzero(root != np.arange(n))
+    return values[some], values[root[some]]
+
+
+def _key(values: np.ndarray, parts: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """The bits of parts (from, to) of each value, side by side."""
+    key = np.zeros(len(values), np.uint64)
+    for low, high in parts:
+        key = (key << np.uint64(high - low)) | ((values >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1))
+    return key
+
+
+def choices(radius: int, blocks: int) -> list[tuple[tuple[int, int], ...]]:
+    """Each choice of blocks - radius of the blocks of 64 bits."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    return list(combinations(list(zip(cuts, cuts[1:], strict=False)), blocks - radius))
+
+
+def finer(choice: tuple[tuple[int, int], ...], radius: int, width: int = FINE) -> list[tuple[tuple[int, int], ...]]:
+    """A choice with each choice of all but radius of the blocks of `width` bits that the rest is cut into."""
+    free = [bit for bit in range(64) if not any(low <= bit < high for low, high in choice)]
+    pieces, at = [], 0
+    while at < len(free):  # consecutive bits, at most `width` of them
+        end = at + 1
+        while end < len(free) and end - at < width and free[end] == free[end - 1] + 1:
+            end += 1
+        pieces.append((free[at], free[end - 1] + 1))
+        at = end
+    return [choice + more for more in combinations(pieces, max(0, len(pieces) - radius))]
 
 
 def shard_keys(values: np.ndarray, radius: int, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the choice, key of each value) for each choice of blocks - radius of the blocks."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    for k, choice in enumerate(combinations(range(blocks), blocks - radius)):
-        key = np.zeros(len(values), np.uint64)
-        for c in choice:
-            width = cuts[c + 1] - cuts[c]
-            key = (key << np.uint64(width)) | ((values >> np.uint64(cuts[c])) & np.uint64((1 << width) - 1))
-        yield k, key
+    for k, choice in enumerate(choices(radius, blocks)):
+        yield k, _key(values, choice)
+
 
+Join = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp long) that connect all within radius of each other."""
+
+def links(fingerprints: DataFrame, scratch: Scratch, radius: int = RADIUS, blocks: int = BLOCKS, join: Join = stars, large: int = LARGE) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp long): with stars() they connect all within radius of each other, with nearest() they are links themselves."""
     keyed = pa.schema([("shard", pa.int64()), ("fp", pa.int64())])
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    coarse = choices(radius, blocks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            for k, key in shard_keys(fp.view(np.uint64), radius, blocks):
-                yield record_batch({"shard": (key * np.uint64(64) + np.uint64(k)).view(np.int64), "fp": fp}, keyed)
+            for k, choice in enumerate(coarse):
+                yield record_batch({"shard": (_key(fp.view(np.uint64), choice) * np.uint64(64) + np.uint64(k)).view(np.int64), "fp": fp}, keyed)
+
+    def deal_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, fp = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            for k in np.unique(shard % np.uint64(64)).tolist():
+                own = shard % np.uint64(64) == k
+                for n, choice in enumerate(finer(coarse[k], radius)):
+                    key = mix64(_key(fp[own], choice) ^ mix64(np.full(1, (n << 8) + k + 1, np.uint64)))
+                    yield record_batch({"shard": key.view(np.int64), "fp": fp[own].view(np.int64)}, keyed)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_shard, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # pieces of the last shard, which may go on
 
-        def solve(shard: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve() -> Iterator[pa.RecordBatch]:
+            shard, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             cuts = np.flatnonzero(np.diff(shard)) + 1
             starts, ends = np.concatenate(([0], cuts)), np.append(cuts, len(shard))
             pairs = np.flatnonzero(ends - starts == 2)
-            a, b = [fp[starts[pairs]]], [fp[starts[pairs] + 1]]
-            near = np.bitwise_count(a[0] ^ b[0]) <= radius
-            a, b = [a[0][near]], [b[0][near]]
+            a, b = fp[starts[pairs]], fp[starts[pairs] + 1]
+            near = (np.bitwise_count((a ^ b).view(np.uint64)) <= radius) & (a != b)  # of a signed number the bits of its size would be counted
+            a, b = [a[near]], [b[near]]
             for i in np.flatnonzero(ends - starts > 2).tolist():
-                x, y = stars(fp[starts[i] : ends[i]].view(np.uint64), radius)
+                x, y = join(np.unique(fp[starts[i] : ends[i]].view(np.uint64)), radius)
                 a.append(x.view(np.int64))
                 b.append(y.view(np.int64))
             a, b = np.concatenate(a), np.concatenate(b)
@@ -162,40 +225,48 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -
                 yield record_batch({"a": a, "b": b}, edge)
 
         for batch in batches:
-            held_shard = np.concatenate((held_shard, batch.column(0).to_numpy(zero_copy_only=False)))
-            held = np.concatenate((held, batch.column(1).to_numpy(zero_copy_only=False)))
-            last = np.searchsorted(held_shard, held_shard[-1])  # the last shard may go on
-            if last:
-                yield from solve(held_shard[:last], held[:last])
-                held_shard, held = held_shard[last:], held[last:]
-        if len(held):
-            yield from solve(held_shard, held)
+            if not batch.num_rows:
+                continue
+            shard, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            last = int(np.searchsorted(shard, shard[-1]))
+            if last or held and held[-1][0][-1] != shard[0]:
+                if last:
+                    held.append((shard[:last], fp[:last]))
+                yield from solve()
+                held = []
+            held.append((shard[last:], fp[last:]))
+        if held:
+            yield from solve()
+
+    def searched(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), "shard").sortWithinPartitions("shard")
+        return dealt.mapInArrow(search, "a long, b long")
 
     dealt = fingerprints.select("fp").mapInArrow(deal, "shard long, fp long")
-    return dealt.repartition(shuffle_partitions(fingerprints.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long").distinct()
+    big = scratch.write(dealt.groupBy("shard").count().where(F.col("count") > large).select("shard"), "large_shards")
+    if big.isEmpty():
+        return searched(dealt).distinct()
+    fine = dealt.join(big, "shard").mapInArrow(deal_finer, "shard long, fp long")
+    return searched(dealt.join(big, "shard", "left_anti")).unionByName(searched(fine)).distinct()
 
 
 def fingerprinted(docs: DataFrame, text_col: str = "text", out: str = "fp") -> DataFrame:
-    """docs with a column of fingerprints as long (replacing one of that name)."""
-    docs = docs.withColumn("__text", F.col(text_col)).drop(out)
-    names = [*docs.columns[:-1], out]
+    """docs with a column of fingerprints as long (replacing one of that name).  Only the texts go to Python, and only the fingerprints come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = utf8(b.column(b.num_columns - 1))
-            for i, j in slices(list(map(len, data)), _CHUNK):
-                fp = pa.array(simhashes(data[i:j]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], fp], names=names)
+    def run(column: pa.Array) -> pa.Array:
+        found = [simhashes(data) for _, _, data in text_chunks(column, _CHUNK)]
+        return pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields[:-1]).add(out, LongType()))
+    return docs.withColumn(out, text_function(run, "long")(F.col(text_col)))
 
 
 def classes(rows: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint of rows (doc_id, fp): component_id is the smallest doc_id that is reachable over links (null if all of them are null)."""
     least = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(least, radius), scratch)
+    roots = components(links(least, scratch, radius), scratch)
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # the key is rewritten after the aggregate, so that a root that most rows share can be split (see components)
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.expr("root | 0L").alias("root"), "component_id")
     return scratch.write(named.join(smallest, "root").select("fp", "root", "component_id"), "classes")
 
 
@@ -207,16 +278,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes(rows, scratch, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One whole row of docs of each class: that with the smallest doc_id (nulls last, then by fingerprint and row)."""
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(fingerprinted(docs, out="__fp").withColumn("__row", F.monotonically_increasing_id()), "rows")
-    light = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row")
-    named = light.join(classes(light, scratch, radius), "fp")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "__row")).alias("x"))
-    return rows.join(first.select(F.col("x.__row").alias("__row")), "__row", "left_semi").drop("__fp", "__row")
-
-
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -9,8 +9,15 @@ runs of one level are compacted into one of the next.  Windows whose minimiser
 repeats are then verified by a 128-bit digest of their exact words, so no
 repeated window is lost and none is removed by a mere hash collision.
 
+The index can stay: SubstringIndex on a folder of one's own keeps its runs and
+the texts (compressed, with their anchors) of each batch, so that a later call
+finds what its documents repeat of all earlier ones.
+
 Null texts have no words.  Repeated rows are copies of each other: all their
-windows repeat.  Documents of under `window` words keep everything.
+windows repeat.  Documents of under `window` words keep everything.  An empty
+table gives an empty result; other columns are not read, or kept by cleaned()
+whatever their names.  Of a very long text a task holds its bytes, 32 bytes a
+word and the hash tables of one piece of _PIECE bytes.
 """
 
 from __future__ import annotations
@@ -24,12 +31,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
 
-from .common import Scratch, mix64, record_batch, slices, table, utf8
+from .common import Folder, Scratch, free_name, mix64, record_batch, table, text_chunks, text_function
 
 WINDOW, GRAM = 35, 12
-_CHUNK = 1 << 20
+BATCHES, FANOUT = 4, 2  # of a call without a history: runs are compacted twice, then once more
+_CHUNK, _PIECE = 1 << 20, 1 << 21
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -38,7 +45,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
+        steps = np.full(max(n, _PIECE + 1), base, np.uint64)
         steps[0] = 1
         got = _powers[base] = np.multiply.accumulate(steps)
     return got
@@ -62,14 +69,20 @@ def _sliding(a: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def gram_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the bytes of each `gram` consecutive words, from prefix sums of a polynomial modulo 2**64."""
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
-    raw += np.uint64(1)
-    raw *= _power_table(_BASE, len(data))[: len(data)]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(raw)))
-    s, e = starts[: len(starts) - gram + 1], ends[gram - 1 :]
-    h = (sums[e] - sums[s]) * _power_table(_INVERSE, len(data) + 1)[s]
-    return mix64(h)
+    """Hash of the bytes of each `gram` consecutive words, from prefix sums of a polynomial modulo 2**64 over pieces of about _PIECE bytes."""
+    n = len(starts) - gram + 1
+    out, at = np.empty(n, np.uint64), 0
+    while at < n:
+        base = starts[at]
+        to = min(n, max(at + 1, int(np.searchsorted(ends, base + _PIECE, side="right")) - gram + 1))
+        s, e = starts[at:to] - base, ends[at + gram - 1 : to + gram - 1] - base
+        raw = np.frombuffer(data, np.uint8, int(e[-1]), int(base)).astype(np.uint64)
+        raw += np.uint64(1)
+        raw *= _power_table(_BASE, len(raw))[: len(raw)]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(raw)))
+        out[at:to] = (sums[e] - sums[s]) * _power_table(_INVERSE, len(raw) + 1)[s]
+        at = to
+    return mix64(out)
 
 
 def minimisers(data: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,18 +115,41 @@ def content_key(data: bytes) -> bytes:
 
 
 class SubstringIndex:
-    """Sorted immutable runs (h, n) of anchor hashes and how often each occurred."""
+    """Sorted immutable runs (h, n) of anchor hashes and how often each occurred.
 
-    def __init__(self, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, fanout: int = 4):
-        self.scratch, self.window, self.gram, self.fanout = scratch, window, gram, fanout
-        self.runs: list[tuple[int, str, DataFrame]] = []  # level, name, run
-        self.repeats: list[DataFrame] = []
-        self.made = 0
+    A run is named by its level and the first and last batch that it holds.  In a
+    folder that is no Scratch the index outlives the call: it then also keeps each
+    batch's distinct texts (key, data, copies, hs), and opening the folder again
+    goes on from there.  A batch counts as soon as its run is written; what a lost
+    driver left half done is written anew, and runs that a wider one holds go.
+    """
 
-    def _write(self, counts: DataFrame, level: int) -> DataFrame:
-        self.made += 1
-        name = f"run{self.made}"
-        run = self.scratch.write(counts.sortWithinPartitions("h"), name)
+    def __init__(self, folder: Folder, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
+        self.folder, self.window, self.gram, self.fanout = folder, window, gram, fanout
+        self.stays = not isinstance(folder, Scratch)
+        self.runs: list[tuple[int, str, DataFrame]] = []  # level, name, run; in the order of their batches
+        self.repeats: list[DataFrame] = []
+        if self.stays:
+            found = [self._span(n) for n in folder.names() if n.startswith("run-")]
+            held = [x for x in found if any(y[0] > x[0] and y[1] <= x[1] and x[2] <= y[2] for y in found)]
+            for x in held:
+                folder.drop(self._name(*x))
+            for x in sorted({*found} - {*held}, key=lambda x: x[1]):
+                self.runs.append((x[0], self._name(*x), folder.read(self._name(*x))))
+        self.made = self.history = max((self._span(x[1])[2] for x in self.runs), default=0)
+
+    @staticmethod
+    def _name(level: int, first: int, last: int) -> str:
+        return f"run-{level}-{first}-{last}"
+
+    @staticmethod
+    def _span(name: str) -> tuple[int, int, int]:
+        """Level, first and last batch of a run."""
+        return tuple(map(int, name.split("-")[1:]))
+
+    def _write(self, counts: DataFrame, level: int, first: int, last: int) -> DataFrame:
+        name = self._name(level, first, last)
+        run = self.folder.write(counts.sortWithinPartitions("h"), name)
         self.runs.append((level, name, run))
         return run
 
@@ -124,47 +160,76 @@ class SubstringIndex:
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                data = utf8(b.column(0))
-                for i, j in slices(list(map(len, data)), _CHUNK):
-                    found = [anchors(normalised(t), window, gram) for t in data[i:j]]
+                for _, _, data in text_chunks(b.column(0), _CHUNK):
+                    found = [anchors(normalised(t), window, gram) for t in data]
                     h, n = np.unique(np.concatenate(found), return_counts=True)
                     if len(h):
                         yield record_batch({"h": h, "n": n}, schema)
 
+        self.made += 1
+        if self.stays:
+            self.folder.write(distinct_texts(docs.select(text_col), window, gram, True), f"texts-{self.made}")
         earlier = [run for _, _, run in self.runs]
         counts = docs.select(text_col).mapInArrow(emit, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        run = self._write(counts, 0)
+        run = self._write(counts, 0, self.made, self.made)
         known = run.where("n > 1").select("h")
         for old in earlier:
             known = known.unionByName(run.select("h").hint("merge").join(old.select("h"), "h"))
-        self.made += 1
-        self.repeats.append(self.scratch.write(known, f"repeats{self.made}"))
+        self.repeats.append(self.folder.write(known, f"repeats-{self.made}"))
         self.compact()
 
     def compact(self) -> None:
         """Merge the runs of each level that has `fanout` of them."""
-        for level in sorted({x[0] for x in self.runs}):
+        for level in range(1 + max((x[0] for x in self.runs), default=0)):
             full = [x for x in self.runs if x[0] == level]
             if len(full) < self.fanout:
                 continue
             self.runs = [x for x in self.runs if x[0] != level]
             union = full[0][2]
-            for _, _, run in full[1:]:
-                union = union.unionByName(run)
-            self._write(union.groupBy("h").agg(F.sum("n").alias("n")), level + 1)
-            for _, name, _ in full:
-                self.scratch.drop(name)
+            for x in full[1:]:
+                union = union.unionByName(x[2])
+            self._write(union.groupBy("h").agg(F.sum("n").alias("n")), level + 1, self._span(full[0][1])[1], self._span(full[-1][1])[2])
+            for x in full:
+                self.folder.drop(x[1])
+        self.runs.sort(key=lambda x: self._span(x[1])[1])
 
     def repeated(self) -> DataFrame:
-        """Distinct anchor hashes that occur twice or more over all batches."""
+        """Distinct anchor hashes that this object's batches repeat, their own or earlier ones."""
         out = self.repeats[0]
         for x in self.repeats[1:]:
             out = out.unionByName(x)
         return out.distinct()
 
-    def drop_runs(self) -> None:
-        for _, name, _ in self.runs:
-            self.scratch.drop(name)
+    def earlier_texts(self) -> DataFrame | None:
+        """(key, data, copies, hs) of the batches before this object's; None if there are none."""
+        out = None
+        for n in range(1, self.history + 1):
+            x = self.folder.read(f"texts-{n}")
+            out = x if out is None else out.unionByName(x)
+        return out
+
+    def close(self) -> None:
+        """Drop what only this call needs: the lists of repeats, and the runs unless they stay."""
+        for name in self.folder.names():
+            if name.startswith("repeats-") or not self.stays and name.startswith("run-"):
+                self.folder.drop(name)
+
+
+def distinct_texts(text: DataFrame, window: int, gram: int, with_anchors: bool) -> DataFrame:
+    """(key, data, copies) of each distinct word sequence of window words or more; hs: its distinct anchors, if asked for."""
+    schema = pa.schema([("key", pa.binary()), ("data", pa.binary())] + [("hs", pa.list_(pa.int64()))] * with_anchors)
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        for b in parts:
+            for _, _, data in text_chunks(b.column(0), _CHUNK):
+                words = [w for w in map(normalised, data) if w.count(b" ") + 1 >= window]
+                if words:
+                    out = {"key": list(map(content_key, words)), "data": list(map(zip_, words))}
+                    yield record_batch(out | ({"hs": [np.unique(anchors(w, window, gram)) for w in words]} if with_anchors else {}), schema)
+
+    found = text.mapInArrow(packed, "key binary, data binary" + ", hs array<long>" * with_anchors)
+    return found.groupBy("key").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"), *([F.first("hs").alias("hs")] * with_anchors))
 
 
 def _marked(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -175,52 +240,49 @@ def _marked(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, batches: int = 2, text_col: str = "text") -> DataFrame:
-    """One row for each distinct word sequence that holds a repeated window: key, data (zstd of its words joined by a space), copies, starts (of repeated windows).
+def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, text_col: str = "text", index: SubstringIndex | None = None) -> DataFrame:
+    """One row for each distinct word sequence of docs that holds a repeated window: key, data (zstd of its words joined by a space), copies, starts (of repeated windows).
 
     key is content_key() of the words.  Texts are taken in `batches` through the
-    index, dealt by a hash of the text.
+    index, dealt by a hash of the text.  With an index that has a history, windows
+    that an earlier batch holds repeat, too.
     """
-    index = SubstringIndex(scratch, window, gram)
+    index = index or SubstringIndex(scratch, window, gram)
+    window, gram = index.window, index.gram
     for k in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64(text_col), F.lit(batches)) == k), text_col)
     hit_schema = pa.schema([("key", pa.binary()), ("h", pa.int64())])
-    text_schema = pa.schema([("key", pa.binary()), ("data", pa.binary())])
 
     def hits(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            data = utf8(b.column(0))
-            for i, j in slices(list(map(len, data)), _CHUNK):
-                words = {normalised(t) for t in data[i:j]}
+            for _, _, data in text_chunks(b.column(0), _CHUNK):
+                words = {normalised(t) for t in data}
                 found = [(content_key(t), np.unique(anchors(t, window, gram))) for t in words]
                 keys = [k for k, h in found for _ in range(len(h))]
                 if keys:
                     yield record_batch({"key": keys, "h": np.concatenate([h for _, h in found])}, hit_schema)
 
-    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1).compress
-        for b in parts:
-            for i in range(0, b.num_rows, 256):
-                words = [w for w in map(normalised, utf8(b.column(0).slice(i, 256))) if w.count(b" ") + 1 >= window]
-                if words:
-                    yield record_batch({"key": list(map(content_key, words)), "data": list(map(zip_, words))}, text_schema)
-
-    # Both sides of the two joins below come straight from an exchange (the right
-    # one is a written table), so that adaptive execution can split a very common
-    # hash or window over many tasks; an aggregate in between would forbid that.
+    # Both sides of the joins below come straight from an exchange (the right one
+    # is a written table), so that adaptive execution can split a very common hash
+    # or window over many tasks; an aggregate in between would forbid that.
     text = docs.select(text_col)
     repeated = scratch.write(index.repeated(), "repeated")
     mine = text.mapInArrow(hits, "key binary, h long").join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
-    once = text.mapInArrow(packed, "key binary, data binary").groupBy("key").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
-    some = scratch.write(once.join(mine, "key").withColumn("id", F.monotonically_increasing_id()), "candidates")
-    index.drop_runs()
+    some = distinct_texts(text, window, gram, False).join(mine, "key").withColumn("own", F.lit(True))
+    if (older := index.earlier_texts()) is not None:
+        theirs = older.select("key", F.explode("hs").alias("h")).join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
+        old = older.select("key", "data", "copies").join(theirs, "key").withColumn("own", F.lit(False))
+        some = some.unionByName(old).groupBy("key").agg(F.first("data").alias("data"), F.sum("copies").alias("copies"), F.flatten(F.collect_set("hs")).alias("hs"), F.bool_or("own").alias("own"))
+    some = scratch.write(some.withColumn("id", F.monotonically_increasing_id()), "candidates")
+    index.close()
     window_schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("n", pa.int64())])
 
     def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
         blake = hashlib.blake2b
         for b in parts:
-            for id_, data, copies, hs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for i in range(b.num_rows):
+                id_, data, copies, hs = (b.column(k)[i].as_py() for k in range(4))
                 data = unzip(data)
                 starts, ends = word_bounds(data)
                 _, least = minimisers(data, window, gram)
@@ -233,26 +295,30 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram
     each = some.select("id", "data", "copies", "hs").mapInArrow(windows, "w1 long, w2 long, id long, start int, n long")
     twice = scratch.write(each.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2"), "twice")
     starts = each.drop("n").join(twice, ["w1", "w2"]).groupBy("id").agg(F.collect_list("start").alias("starts"))
-    return some.drop("hs").join(starts, "id").select("key", "data", "copies", "starts")
+    return some.where("own").drop("hs", "own").join(starts, "id").select("key", "data", "copies", "starts")
 
 
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """op2's columns for each row of docs (doc_id, text)."""
+def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, index: SubstringIndex | None = None) -> DataFrame:
+    """op2's columns for each row of docs (doc_id, text); with an index, repeats of its earlier batches count."""
     scratch = Scratch(docs.sparkSession)
-    light_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()), ("sha", pa.string())])
+    window = index.window if index else window
     kept_schema = pa.schema([("key", pa.binary()), ("removed", pa.int64()), ("kept", pa.string())])
 
-    def light(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            for i in range(0, b.num_rows, 512):
-                words = list(map(normalised, utf8(b.column(1).slice(i, 512))))
-                yield record_batch({"doc_id": b.column(0).slice(i, 512), "key": list(map(content_key, words)), "n_words": [w.count(b" ") + 1 if w else 0 for w in words], "sha": [hashlib.sha256(w).hexdigest() for w in words]}, light_schema)
+    def light(column: pa.Array) -> pa.Array:
+        keys, counts, digests = [], [], []
+        for _, _, data in text_chunks(column, _CHUNK):
+            for words in map(normalised, data):
+                keys.append(content_key(words))
+                counts.append(words.count(b" ") + 1 if words else 0)
+                digests.append(hashlib.sha256(words).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=["key", "n_words", "sha"])
 
     def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
         for b in parts:
             out = {"key": [], "removed": [], "kept": []}
-            for key, data, starts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(b.num_rows):
+                key, data, starts = (b.column(k)[i].as_py() for k in range(3))
                 words = unzip(data).split(b" ")
                 gone = _marked(len(words), np.array(starts, np.int64), window)
                 out["key"].append(key)
@@ -261,8 +327,9 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             if out["key"]:
                 yield record_batch(out, kept_schema)
 
-    found = repeated_spans(docs, scratch, window, gram).select("key", "data", "starts").mapInArrow(kept, "key binary, removed long, kept string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(light, "doc_id long, key binary, n_words long, sha string")
+    found = repeated_spans(docs, scratch, window, gram, 1 if index else BATCHES, index=index).select("key", "data", "starts").mapInArrow(kept, "key binary, removed long, kept string")
+    read = text_function(light, "key binary, n_words long, sha string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), read("text").alias("x")).select("doc_id", "x.*")
     return rows.join(found, "key", "left").select("doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
@@ -278,41 +345,36 @@ def cut_out(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs with the words in repeated windows cut out of text, and n_chars following it; rows that lose all their words go, others stay as they are."""
+    """docs with the words in repeated windows cut out of text, and n_chars following it; rows that lose all their words go, others stay as they are.
+
+    Only texts go to Python; of the second pass only those that change come back.
+    """
     scratch = Scratch(docs.sparkSession)
 
-    def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            keys = pa.array([content_key(normalised(t)) for t in utf8(b.column(at_text))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=names)
+    def keys(column: pa.Array) -> pa.Array:
+        return pa.array([content_key(normalised(t)) for _, _, data in text_chunks(column, _CHUNK) for t in data], pa.binary())
 
-    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            texts_, keep, chars = [], [], []
-            sizes = b.column(at_chars).to_pylist() if at_chars is not None else [None] * b.num_rows
-            for text, starts, n in zip(b.column(at_text).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist(), sizes, strict=True):
-                if starts:
-                    gone = _marked(len(text.split()), np.array(starts, np.int64), window)
-                    text = cut_out(text, gone)
-                    n = len(text.decode())
-                    keep.append(not gone.all())
-                else:
-                    keep.append(True)
-                texts_.append(text)
-                chars.append(n)
-            columns = list(b.columns[:-2])
-            columns[at_text] = pa.array(texts_, pa.binary()).cast(pa.string())
-            if at_chars is not None:
-                columns[at_chars] = pa.array(chars, b.column(at_chars).type)
-            out = pa.RecordBatch.from_arrays(columns, names=own)
-            yield out.filter(pa.array(keep, pa.bool_()))
+    def cut(column: pa.Array, starts: pa.Array) -> pa.Array:
+        texts_, chars, keep = [], [], []
+        for i, j, data in text_chunks(column, _CHUNK):
+            for text, at in zip(data, starts.slice(i, j - i).to_pylist(), strict=True):
+                gone = _marked(len(text.split()), np.array(at or [], np.int64), window)
+                new = cut_out(text, gone).decode() if at else None
+                texts_.append(new)
+                chars.append(None if new is None else len(new))
+                keep.append(not at or not gone.all())
+        return pa.StructArray.from_arrays([pa.array(texts_, pa.string()), pa.array(chars, pa.int64()), pa.array(keep, pa.bool_())], names=["text", "chars", "keep"])
 
     own = docs.columns
-    names = [*own, "__key"]
-    at_text, at_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    spans = scratch.write(repeated_spans(docs, scratch, window, gram).select(F.col("key").alias("__key"), F.col("starts").alias("__starts")), "spans")
-    rows = docs.mapInArrow(keyed, StructType([*docs.schema.fields]).add("__key", BinaryType()))
-    return rows.join(spans, "__key", "left").select(*docs.columns, "__key", "__starts").mapInArrow(cut, docs.schema)
+    key, starts, new = (free_name(own, n) for n in ("__key", "__starts", "__new"))
+    spans = scratch.write(repeated_spans(docs, scratch, window, gram).select(F.col("key").alias(key), F.col("starts").alias(starts)), "spans")
+    rows = docs.withColumn(key, text_function(keys, "binary")(F.col("text"))).join(spans, key, "left")
+    changed = F.col(starts).isNotNull()
+    rows = rows.withColumn(new, text_function(cut, "text string, chars long, keep boolean")(F.when(changed, F.col("text")), F.col(starts))).where(F.col(f"{new}.keep"))
+    made = {"text": F.when(changed, F.col(f"{new}.text")).otherwise(F.col("text"))}
+    if "n_chars" in own:
+        made["n_chars"] = F.when(changed, F.col(f"{new}.chars").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select(*(made.get(c, F.col(f"`{c}`")).alias(c) for c in own))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,42 @@ def test_substring_index_compacts(spark):
     assert total == index.repeated().count() > 0
 
 
+def test_substring_path_compacts(spark, monkeypatch):
+    compacted = []
+    old = substring.SubstringIndex._write
+    monkeypatch.setattr(substring.SubstringIndex, "_write", lambda self, counts, level, first, last: (compacted.append(level), old(self, counts, level, first, last))[1])
+    rows = odd_rows()
+    assert sorted(map(tuple, substring.removals(frame(spark, rows)).collect()), key=str) == brute.op2(rows)
+    assert max(compacted) == 2
+
+
+def test_substring_index_stays(spark, tmp_path):
+    """Three calls on one folder: each finds what its documents repeat of all earlier ones."""
+    from rasterloom.llm.common import Folder
+
+    rows = odd_rows()
+    parts = [rows[0::3], rows[1::3], rows[2::3]]
+    for k, part in enumerate(parts):
+        index = substring.SubstringIndex(Folder(spark, f"file://{tmp_path}/index"))
+        assert index.history == k
+        got = {r.doc_id: tuple(r) for r in substring.removals(frame(spark, part), index=index).collect()}
+        upto = {x[0]: x for x in brute.op2([x for p in parts[: k + 1] for x in p])}
+        assert got == {d: upto[d] for d, _ in part}
+    left = Folder(spark, f"file://{tmp_path}/index").names()
+    assert left == ["run-0-3-3", "run-1-1-2", "texts-1", "texts-2", "texts-3"]
+    Folder(spark, f"file://{tmp_path}/index").write(spark.range(1).selectExpr("id h", "id n"), "run-0-1-1")  # as if a driver was lost between a compaction and its clean-up
+    again = substring.SubstringIndex(Folder(spark, f"file://{tmp_path}/index"))
+    assert again.history == 3 and [x[1] for x in again.runs] == ["run-1-1-2", "run-0-3-3"]
+
+
+def test_gram_hashes_in_pieces(monkeypatch):
+    data = b" ".join(b"word%d" % (i * i % 97) for i in range(5000)) + b" " + b"z" * 9000 + b" tail" * 40
+    starts, ends = substring.word_bounds(data)
+    whole = substring.gram_hashes(data, starts, ends, 12)
+    monkeypatch.setattr(substring, "_PIECE", 700)
+    assert (substring.gram_hashes(data, starts, ends, 12) == whole).all()
+
+
 def test_substrings_empty(spark):
     assert substring.removals(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -101,6 +137,51 @@ def test_bk_tree_finds_all():
     assert got == want
 
 
+def test_near_links_by_finer_shards(spark):
+    """Shards above `large` are dealt anew, without losing a link; nearest() gives links only."""
+    import numpy as np
+
+    from rasterloom.llm.common import Scratch
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    flips = lambda n: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, n)).astype(np.uint64), axis=1)
+    values = np.unique(np.concatenate([b ^ flips(n) for b in base for n in (1, 3, 7)]))
+    fps = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(3)
+
+    def sets(edges):
+        root = {int(v): int(v) for v in values.view(np.int64)}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {frozenset(x for x in root if find(x) == r) for r in root if root[r] == r}
+
+    pairs = {(int(a), int(b)) for a, x in zip(values.view(np.int64), values) for b, y in zip(values.view(np.int64), values) if a < b and (int(x) ^ int(y)).bit_count() <= 4}
+    got = [tuple(r) for r in simhash.links(fps, Scratch(spark), large=50).collect()]
+    assert sets(got) == sets(pairs) == sets([tuple(r) for r in simhash.links(fps, Scratch(spark)).collect()])
+    some = {tuple(sorted(r)) for r in simhash.links(fps, Scratch(spark), join=simhash.nearest, large=50).collect()}
+    later = lambda edges: {max(p, key=lambda x: x % (1 << 64)) for p in edges}
+    assert some <= pairs and later(some) == later(pairs)
+
+
+def test_simhash_empty_and_odd(spark):
+    got = simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
+    assert got.count() == 0
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (7, "A b c d e"), (3, None), (3, None), (9, "")]
+    got = sorted(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert [(r.doc_id, r.component_id) for r in got] == [(3, 3), (3, 3), (7, 7), (9, 3), (None, 7), (None, 7)]
+
+
+def test_components(spark):
+    from rasterloom.llm.common import Scratch
+    from rasterloom.llm.components import components
+
+    edges = [(1, 2), (2, 1), (2, 3), (9, 9), (None, 4), (5, 6)] + [(100, 100 + i) for i in range(1, 300)] + [(500 + i, 501 + i) for i in range(40)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()))
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5} | {100 + i: 100 for i in range(300)} | {500 + i: 500 for i in range(41)}
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
 def test_bpe_like_library(spark, rows):
     from tokenizers import Tokenizer
 
