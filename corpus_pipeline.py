@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard, langid, packing, pii, substring
-from rasterloom.llm.common import Scratch, table
+from rasterloom.llm.common import Scratch, free_name, released, table
 
 MIN_LANGUAGE_SCORE = 0.5  # below, no language is likelier than all others together
 
@@ -16,12 +16,13 @@ MIN_LANGUAGE_SCORE = 0.5  # below, no language is likelier than all others toget
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a recognised language; und (null or letterless) and undecided ones go."""
     langs, matrix = langid.train(docs.where(~langid.held_out()))
-    found = langid.identify(docs, langs, matrix, lang_out="__lang", score_out="__score")
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE)).drop("__lang", "__score")
+    lang, score = free_name(docs.columns, "__lang"), free_name(docs.columns, "__score")
+    found = langid.identify(docs, langs, matrix, lang_out=lang, score_out=score)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies (five-word shingles, Jaccard at least 0.8): that with the smallest doc_id."""
+    """Keeps one document of each class of near copies (five-word shingles, Jaccard at least 0.8; SimHash BK-trees, then min-hash buckets, each link verified): that with the smallest doc_id."""
     return jaccard.representatives(docs)
 
 
@@ -57,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents."""
+    """The rows of the last stage over documents.  Each stage's own scratch tables go when its result is written, and that when the next one's is."""
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with released():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
