@@ -95,6 +95,106 @@ def op3(text):
     return (*(count[k] for k in ("email", "ip", "card", "phone")), sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)))
 
 
+def op3_found(texts, confidence=0.8, seeds=5):
+    """All spans of each text: base ones and those of a plain bootstrapping loop (kinds by name)."""
+    import regex
+
+    space, ends = " \t\n\r\f\x0b", " \t\n\r\f\x0b\"'<>|,;="
+    letter = regex.compile(r"[\p{L}\p{N}]")
+    groups = regex.compile(r"[(]?[0-9]++[)]?(?:[ ./-][(]?[0-9]++[)]?)++(?![\p{L}\p{N}@])")
+
+    def words(t):
+        i = 0
+        while i < len(t):
+            if t[i] in ends:
+                i += 1
+                continue
+            m = groups.match(t, i)
+            j = m.end() if m else next((k for k in range(i, len(t)) if t[k] in ends), len(t))
+            if any(c.isascii() and c.isdigit() or c == "@" for c in t[i:j]):
+                yield i, j
+            i = j
+            if m:  # what is glued to a group of digits begins no word
+                while i < len(t) and t[i] not in ends:
+                    i += 1
+
+    def inner(t, s, e):
+        while s < e and not letter.match(t[s]):
+            s += 1
+        while s < e and not letter.match(t[e - 1]):
+            e -= 1
+        return s, e
+
+    def context(t, left, s, e, right):
+        b = s
+        while b > left and not letter.match(t[b - 1]):
+            b -= 1
+        core = t[left:b].translate({ord(c): " " for c in space}).split(" ")[-1].lower()
+        tail = "".join(c for c in t[b:s] if c not in space)
+        m = regex.match(r"[^\p{L}\p{N}]*+([\p{L}\p{N}_]++)", t[e:right])
+        return (f"{core} {tail}" if tail else core) if core else "", m[1].lower() if m else ""
+
+    seen = []  # (text, s, e, kind or None, value, patterns)
+    out = []
+    for n, t in enumerate(texts):
+        t = t or ""
+        base = op3_spans(t)
+        out.append({(s, e, k) for s, _, k, e in base})
+        found = []
+        for kind in ("email", "ip", "card", "phone"):
+            shape = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}[kind]
+            raw = [(m.start(), m.end()) for m in shape.finditer(t)]
+            if kind == "card":  # other chains of digits do not end a context
+                raw = [(s, e) for s, e in raw if 12 <= len(re.sub("[^0-9]", "", t[s:e])) <= 19]
+            for i, (s, e) in enumerate(raw):
+                if (s, e, kind) in out[-1]:
+                    found.append((s, e, kind, t[s:e], context(t, raw[i - 1][1] if i else 0, s, e, raw[i + 1][0] if i + 1 < len(raw) else len(t))))
+        runs = list(words(t))
+        for i, (s, e) in enumerate(runs):
+            x, y = inner(t, s, e)
+            if x == y or any(b < y and x < f for b, f, _ in out[-1]):
+                continue
+            left, right = context(t, runs[i - 1][1] if i else 0, s, e, runs[i + 1][0] if i + 1 < len(runs) else len(t))
+            if left and x > s:
+                left += ("" if " " in left else " ") + t[s:x]
+            v = t[x:y]
+            is_hex = re.fullmatch("[0-9A-Fa-f]{32,}", v) and re.search("[A-Fa-f]", v) and re.search("[0-9]", v)
+            found.append((x, y, "secret" if is_hex else None, v, (left, right)))
+        for s, e, kind, v, (left, right) in found:
+            ways = [f"<{left}"] * bool(left) + [f">{right}"] * bool(right) + [f"={left} {right}"] * bool(left and right)
+            seen += [(n, s, e, kind, v, w) for w in ways]
+    total = Counter(w for *_, w in seen)
+    edges = Counter((w, v, kind) for _, _, _, kind, v, w in seen)
+    belief, before = {}, None
+    while True:
+        good, some = Counter(), Counter()
+        for (w, v, kind), c in edges.items():
+            if kind:
+                good[w, kind] += c
+                some[w, kind] += 1
+            else:
+                for k, b in belief.get(v, {}).items():
+                    good[w, k] += c * b
+        trusted = {x: g / (total[x[0]] + 1) for x, g in good.items() if some[x] >= seeds and g / (total[x[0]] + 1) >= confidence}
+        if trusted == before:
+            break
+        before, belief = trusted, {}
+        for (w, v, kind), _ in edges.items():
+            if not kind:
+                for (x, k), p in trusted.items():
+                    if x == w:
+                        belief.setdefault(v, {}).setdefault(k, 0.0)
+                        belief[v][k] = 1 - (1 - belief[v][k]) * (1 - min(p, 0.999999))
+    order = ["email", "ip", "card", "phone", "secret"]
+    best = {v: max(b, key=lambda k: (b[k], -order.index(k))) for v, b in belief.items() if max(b.values()) >= confidence}
+    for n, s, e, kind, v, w in seen:
+        if kind == "secret" and (w, "secret") in trusted:
+            out[n].add((s, e, "secret"))
+        if kind is None and v in best and (w, best[v]) in trusted:
+            out[n].add((s, e, best[v]))
+    return [",".join(f"{k}:{s}:{e}" for s, e, k in sorted(x, key=lambda x: (x[0], order.index(x[2]), x[1]))) for x in out]
+
+
 def op10(rows, k=20, every=20):
     import math
 

@@ -43,13 +43,50 @@ def test_pii_bootstraps_unseen(spark):
     seen = [f"reach us mailto user{i}@site{i}.example.com today" for i in range(30)] + [f"the number {i}{i}9999 is plain" for i in range(30)]
     unseen = ["reach us mailto bob7(at)site today", "the code 123456 is plain", "nothing here"]
     docs = spark.createDataFrame(list(enumerate(seen + unseen)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.find(docs, keep={"doc_id": "doc_id", "text": "text"}).withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).collect()}
+    found = pii.find(docs, keep={"doc_id": "doc_id", "text": "text"}).select("kept.*", "base", "spans")
+    got = {r.doc_id: r for r in found.withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).collect()}
     assert [tuple(s) for s in got[60].spans] == [(16, 0, 28)] and not got[60].base
     assert got[60].clean == "reach us mailto [EMAIL] today" and got[0].clean == "reach us mailto [EMAIL] today"
     assert not got[61].spans and not got[62].spans and not got[35].spans
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def secrets(rng):
+    """Texts in which patterns can be trusted, and what only they reveal."""
+    hexes = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    out = [f'{word()} token = "{hexes()}" {word()}' for _ in range(30)] + [f"{word()} call +1 (555) 555-{1000 + i} {word()}" for i in range(30)]
+    out += ['here token = "zz-unseen-77" ends', f'x token = "{"eyJ0." * 60}9" y', f"commit {hexes()} is no secret", "so call 555 123 4567 now", "or call (555) 987-6543, then 12 34 and 5 a@b", f"{word()} token={hexes(64)}"]
+    return out + [f"mail to {word()}@{word()}.com and call x9 or (7) 8 9z", None, "", "!" * 5000 + " 1", "7 " * 400]
+
+
+@pytest.mark.parametrize("source", ["made", "odd", "table"])
+def test_pii_found_like_plain_loop(spark, source):
+    rng = random.Random(9)
+    texts = {"made": lambda: secrets(rng), "odd": odd_texts, "table": lambda: pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()}[source]()
+    docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, kept int, base string, `__rid` string").repartition(3)
+    found = pii.find(docs, keep={c: c for c in docs.columns}).select("kept.doc_id", pii.written(F.col("spans")).alias("spans"), pii.written(F.col("base")).alias("base"))
+    got = {r.doc_id: r for r in found.collect()}
+    for i, want in enumerate(brute.op3_found(texts)):
+        assert got[i].spans == want, texts[i]
+    if source == "made":
+        text = {t: got[i].spans for i, t in enumerate(texts)}
+        assert text['here token = "zz-unseen-77" ends'] == "secret:14:26" and "phone" in text["so call 555 123 4567 now"]
+        assert any(len(t or "") > 300 and "secret" in s for t, s in text.items()) and all("secret" not in s for t, s in text.items() if t and t.startswith("commit"))
+    if source == "table":
+        assert sum(r.spans != r.base for r in got.values()) > 5
+
+
+def test_pii_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"{i % 250}.{i // 250 % 250}.3.{i % 99}" for i in range(20_000))
+    start = time.time()
+    found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("spans", pii.redacted(F.lit(text), F.col("spans")).alias("clean")).first()
+    assert len(found.spans) == 20_000 and found.clean == " ".join(["[IP]"] * 20_000)
+    assert time.time() - start < 90
+
+
 def check_packing(rows, lengths, capacity=2048):
     by_seq = {}
     for r in rows:
