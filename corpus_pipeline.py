@@ -33,11 +33,13 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the text."""
-    keep = {c: c for c in docs.columns}
-    found = pii.find(docs, keep=keep)
-    done = found.withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
-    changed = F.size("spans") > 0
-    return done.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = pii.find(docs, keep={c: c for c in docs.columns})
+    text, changed = F.col("kept.text"), F.size("spans") > 0
+    done = found.withColumn("clean", pii.redacted(text, F.col("spans")))
+    made = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(changed, F.char_length("clean").cast("long")).otherwise(F.col("kept.n_chars"))
+    return done.select(*(made.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
