@@ -2,27 +2,29 @@
 
 Each paragraph (a line; an empty text is one empty paragraph) hashes to a wide
 vector: EXACT lanes from a cryptographic digest and LIKE lanes of signed counts
-of its 16-byte windows.  A fingerprint is the lane-wise sum modulo 2**16, so the
-order of paragraphs does not matter, and inserting or deleting paragraphs is an
-addition or subtraction of their vectors.  The LIKE lanes are zero-mean, hence
-the cosine of two fingerprints' LIKE lanes estimates how much of their
-paragraphs' content is shared.
+of its 16-byte windows.  A fingerprint is the lane-wise sum, modulo 2**16 in the
+EXACT lanes and modulo 2**32 in the LIKE lanes, so the order of paragraphs does
+not matter, and inserting or deleting paragraphs is an addition or subtraction of
+their vectors.  The LIKE lanes are zero-mean, hence the cosine of two
+fingerprints' LIKE lanes estimates how much of their paragraphs' content is
+shared.  A text has less than 2**31 windows, so these lanes never wrap.
 
 Null texts count as empty.  Rows are kept as they are: repeated rows and
-repeated or null doc_ids each give a row.
+repeated or null doc_ids each give a row.  Very long texts are hashed whole, one
+at a time.  An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, shuffle_partitions, table, texts
+from .common import byte_sizes, record_batch, shuffle_partitions, slices, table, text_chunks, texts
 
 EXACT, LIKE, WINDOW = 64, 256, 16
 _PAD = b"\0" * (WINDOW - 1)
@@ -31,8 +33,8 @@ _CHUNK = 2 << 20
 
 
 def paragraph_sums(segments: list[bytes | None]) -> np.ndarray:
-    """Sum of the paragraph vectors of each segment (paragraphs joined by newlines; None: no paragraph) as uint16 lanes."""
-    out = np.zeros((len(segments), EXACT + LIKE), np.uint16)
+    """Sum of the paragraph vectors of each segment (paragraphs joined by newlines; None: no paragraph) as uint32 lanes (of the EXACT ones the lower halves count)."""
+    out = np.zeros((len(segments), EXACT + LIKE), np.uint32)
     full = [i for i, s in enumerate(segments) if s is not None]
     if not full:
         return out
@@ -45,7 +47,7 @@ def paragraph_sums(segments: list[bytes | None]) -> np.ndarray:
             digests.append(hashlib.blake2b(p, digest_size=64, person=b"lanes-hi").digest())
     lanes = np.frombuffer(b"".join(digests), "<u2").reshape(-1, EXACT)
     starts = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
-    out[full, :EXACT] = np.add.reduceat(lanes, starts, axis=0, dtype=np.uint16)
+    out[full, :EXACT] = np.add.reduceat(lanes, starts, axis=0, dtype=np.uint32)
     padded = [segments[i].replace(b"\n", b"\n" + _PAD) + b"\n" + _PAD for i in full]
     lens = np.fromiter(map(len, padded), np.int64, len(full))
     buf = b"".join(padded) + b"\0" * WINDOW
@@ -60,20 +62,27 @@ def paragraph_sums(segments: list[bytes | None]) -> np.ndarray:
     key = (h >> np.uint64(64 - 9)).astype(np.int64)
     key += np.repeat(np.arange(len(full), dtype=np.int64), lens)[keep] * (2 * LIKE)
     bins = np.bincount(key, minlength=len(full) * 2 * LIKE).reshape(len(full), 2, LIKE)
-    out[full, EXACT:] = (bins[:, 0] - bins[:, 1]).astype(np.uint16)
+    out[full, EXACT:] = (bins[:, 0] - bins[:, 1]).astype(np.uint32)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise likeness (0 to 1) of two arrays of fingerprints; 1 for equal ones."""
-    x, y = a[:, EXACT:].view(np.int16).astype(np.float64), b[:, EXACT:].view(np.int16).astype(np.float64)
+    """Row-wise likeness (0 to 1) of two arrays of lanes; 1 for equal ones."""
+    x, y = (z[:, EXACT:].astype(np.uint32).view(np.int32).astype(np.float64) for z in (a, b))
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cos = (x * y).sum(1) / np.where(norm > 0, norm, 1)
-    return np.where((a == b).all(1), 1.0, np.clip(cos, 0, 1))
+    same = (a[:, EXACT:] == b[:, EXACT:]).all(1) & (a[:, :EXACT].astype(np.uint16) == b[:, :EXACT].astype(np.uint16)).all(1)
+    return np.where(same, 1.0, np.clip(cos, 0, 1))
 
 
 def _hex(rows: np.ndarray) -> list[str]:
-    return [r.astype("<u2").tobytes().hex() for r in rows]
+    return [r[:EXACT].astype("<u2").tobytes().hex() + r[EXACT:].astype("<u4").tobytes().hex() for r in rows]
+
+
+def lanes_of(fingerprint: str) -> np.ndarray:
+    """The lanes that a fingerprint spells out."""
+    data = bytes.fromhex(fingerprint)
+    return np.concatenate((np.frombuffer(data, "<u2", EXACT).astype(np.uint32), np.frombuffer(data, "<u4", LIKE, 2 * EXACT)))
 
 
 def fingerprint_of(text: str) -> str:
@@ -83,7 +92,7 @@ def fingerprint_of(text: str) -> str:
 
 def add(fingerprint: str, inserted: list[str] = (), deleted: list[str] = ()) -> str:
     """Fingerprint after paragraphs were inserted and deleted."""
-    lanes = np.frombuffer(bytes.fromhex(fingerprint), "<u2").copy()
+    lanes = lanes_of(fingerprint)
     for p in inserted:
         lanes += paragraph_sums([p.encode()])[0]
     for p in deleted:
@@ -97,10 +106,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, data = b.column(0), [t.encode() for t in texts(b.column(1))]
-            for i in range(0, len(data), 256):
-                part = data[i : i + 256]
-                yield record_batch({id_col: ids.slice(i, len(part)), "fingerprint": _hex(paragraph_sums(part))}, schema)
+            for i, j, part in text_chunks(b.column(1), _CHUNK):
+                yield record_batch({id_col: b.column(0).slice(i, j - i), "fingerprint": _hex(paragraph_sums(part))}, schema)
 
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, fingerprint string")
 
@@ -135,48 +142,78 @@ def _edited_rows(rows: list[tuple], nexts: list[str]) -> dict:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _dealer(keys: DataFrame, ranges: int) -> Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Function from doc_ids and text hashes to (range, key that descends with the id, text hash); ranges follow each other in the order of rows.
+
+    Ids that take several of the marks between ranges, and nulls, get as many
+    ranges of their own, by the text hash.
+    """
+    marks = [i / ranges for i in range(1, ranges)]
+    total, some, found = keys.agg(F.count(F.lit(1)), F.count("doc_id"), F.percentile_approx("doc_id", marks, 10 * ranges)).first()
+    splits, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    own = np.where(times > 1, times, 0)  # ranges of the split id itself, after the gap below it
+    base = np.concatenate(([0], np.cumsum(own + 1)))  # number of the gap before each split, ascending
+    last = int(base[-1]) + 1
+    nulls = max(1, -(-(total - some) * ranges // max(1, total)))
+
+    def share(order: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        high = (order.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return ((high * np.asarray(n, np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+    def deal(ids: pa.Array, orders: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        x, order = ids.fill_null(0).to_numpy(zero_copy_only=False), np.ascontiguousarray(orders.to_numpy(zero_copy_only=False))
+        at = np.searchsorted(splits, x, side="left")
+        cell = base[at]
+        if len(splits):
+            i = np.minimum(at, len(splits) - 1)
+            hot = (splits[i] == x) & (own[i] > 0)
+            cell = np.where(hot, base[i] + own[i] - share(order, own[i]), cell)
+        to = np.where(none, last + share(order, nulls), last - 1 - cell)
+        return to, np.where(none, np.int64(2**63 - 1), ~x), order
+
+    return deal
+
+
 def edited_fingerprints(df: DataFrame) -> DataFrame:
     """Fingerprint of each text and of its edited text: the last third replaced by the start of the next document's text.
 
     Next is the next row by descending doc_id (nulls last; rows with equal ids by
-    the hash of their text); the last row's next is the first.  Ids are dealt to
-    8 ranges for each shuffle partition; the first row of a range is also sent to
-    the range before it, so that the text is shuffled once and a task holds only
-    the rows of one small chunk.  An empty table gives an empty result.
+    the hash of their text); the last row's next is the first.  Rows are dealt to
+    about 8 ranges for each shuffle partition, by id; ids that many rows share
+    (and null) are dealt further by the hash of the text.  The first row of a
+    range is also sent to the range before it, so that the text is shuffled once
+    and a task holds only the rows of one small chunk.
     """
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
-    ranges = 8 * parts
-    ids = df.select(F.col("doc_id").cast("long").alias("doc_id"))
-    marks = [i / ranges for i in range(1, ranges)]
-    found = ids.agg(F.percentile_approx("doc_id", marks, 10 * ranges)).first()[0] or []
-    splits = np.unique(np.array(found, np.int64))
-
-    def bucket(column: pa.Array) -> np.ndarray:
-        values = np.array([-(1 << 63) if x is None else x for x in column.to_pylist()], np.int64)
-        out = len(splits) - np.searchsorted(splits, values, side="left")
-        out[np.array(column.is_null())] = len(splits) + 1
-        return out
+    keys = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("order"))
+    deal = _dealer(keys, 8 * parts)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, int | None] = {}
         for b in batches:
-            for k, x in zip(bucket(b.column(0)).tolist(), b.column(0).to_pylist(), strict=True):
-                best[k] = x if best.get(k) is None else max(x, best[k]) if x is not None else best[k]
-        yield pa.RecordBatch.from_pydict({"range": pa.array(list(best), pa.int32()), "head": pa.array(list(best.values()), pa.int64())})
-
-    tops = {r[0]: r[1] for r in ids.mapInArrow(heads, "range int, head long").groupBy("range").agg(F.max("head")).collect()}
-    order = sorted(tops)
-    before = {(k, tops[k]): order[i - 1] for i, k in enumerate(order)}  # the first range's head goes to the last range
+            if b.num_rows:
+                to, down, order = deal(b.column(0), b.column(1))
+                at = np.lexsort((order, down, to))
+                at = at[np.flatnonzero(np.diff(to[at], prepend=-1))]
+                yield pa.RecordBatch.from_pydict({"range": pa.array(to[at], pa.int32()), "down": pa.array(down[at], pa.int64()), "order": pa.array(order[at], pa.int64())})
+
+    found = keys.mapInArrow(heads, "range int, down long, order long").groupBy("range").agg(F.min(F.struct("down", "order")).alias("h")).select("range", "h.*")
+    tops = sorted(map(tuple, found.collect()))  # a row for each range
+    n = 1 + max((r[0] for r in tops), default=0)
+    before, head = np.full(n, -1, np.int32), np.zeros((2, n), np.int64)
+    for i, (k, down, order) in enumerate(tops):
+        before[k], head[:, k] = tops[i - 1][0], (down, order)  # the first range's head goes to the last range
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = bucket(b.column(0))
-            pairs = zip(own.tolist(), b.column(0).to_pylist(), strict=True)
-            copies = [(i, before[p]) for i, p in enumerate(pairs) if p in before]
-            take = pa.array([*range(len(own)), *(i for i, _ in copies)], pa.int64())
+            if not b.num_rows:
+                continue
+            to, down, order = deal(b.column(0), b.column(1))
+            copies = np.flatnonzero((head[0, to] == down) & (head[1, to] == order))
+            take = pa.array(np.concatenate([np.arange(len(to)), copies]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([own, [k for _, k in copies]]), pa.int32()), pa.array([False] * len(own) + [True] * len(copies)), *(b.column(j).take(take) for j in range(3))],
+                [pa.array(np.concatenate([to, before[to[copies]]]), pa.int32()), pa.array(np.arange(len(take)) >= len(to)), *(b.column(j).take(take) for j in range(3))],
                 names=["range", "copy", "doc_id", "order", "text"],
             )
 
@@ -188,19 +225,21 @@ def edited_fingerprints(df: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (doc_id, text) of one range that wait for their next
         size, now, closed = 0, None, False
-        for b in batches:
-            for k, copy, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts(b.column(4)), strict=True):
-                if k != now:
-                    now, closed = k, False
-                if copy and closed:
-                    continue
-                if held and (copy or size > _CHUNK):
-                    yield record_batch(_edited_rows(held, [t for _, t in held[1:]] + [text]), schema)
-                    held, size = [], 0
-                closed = copy
-                if not copy:
-                    held.append((doc, text))
-                    size += len(text)
+        for batch in batches:
+            for i, j in slices(byte_sizes(batch.column(4)).tolist(), _CHUNK):
+                b = batch.slice(i, j - i)
+                for k, copy, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts(b.column(4)), strict=True):
+                    if k != now:
+                        now, closed = k, False
+                    if copy and closed:
+                        continue
+                    if held and (copy or size > _CHUNK):
+                        yield record_batch(_edited_rows(held, [t for _, t in held[1:]] + [text]), schema)
+                        held, size = [], 0
+                    closed = copy
+                    if not copy:
+                        held.append((doc, text))
+                        size += len(text)
 
     return rows.mapInArrow(walk, OUT)
 

@@ -56,6 +56,47 @@ def test_fingerprint_is_homomorphic():
     assert fingerprint.add(a, inserted=["four"], deleted=["two"]) == fingerprint.fingerprint_of("four\none\nthree")
 
 
+def test_likeness_of_long_repetitive_texts():
+    for n, char in ((40_000, "y"), (60_000, "y"), (90_000, "ab ")):
+        text = char * (n // len(char))
+        edited = text[: len(text) - len(text) // 3] + "something else " * 900
+        x, y = fingerprint.paragraph_sums([text.encode(), edited.encode()])
+        assert fingerprint.likeness(x[None], y[None])[0] > 0.9
+
+
+def test_likeness_like_exact_counts():
+    """The lanes' cosine against that of the exact counts of the windows."""
+    from collections import Counter
+
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x", "yy"]) for _ in range(n))
+    for share in (0.0, 0.3, 0.6, 0.9):
+        a, b = say(900), say(900)
+        b = a[: int(len(a) * share)] + "\n" + b[int(len(a) * share) :]
+        a = a[: int(len(a) * share)] + "\n" + a[int(len(a) * share) :]
+        count = lambda t: Counter(p[i : i + 16].ljust(16, "\0") for p in t.split("\n") for i in range(len(p)))
+        x, y = count(a), count(b)
+        cos = sum(n * y[w] for w, n in x.items()) / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+        lanes = fingerprint.paragraph_sums([a.encode(), b.encode()])
+        assert abs(fingerprint.likeness(lanes[:1], lanes[1:])[0] - cos) < 0.25
+
+
+def test_fingerprints_of_hot_ids(spark):
+    """Ids that most rows share and null ids are dealt over several ranges; each row's next is the same as in one sorted list."""
+    import hashlib
+
+    rows = [(7, f"seven {i}") for i in range(200)] + [(None, f"none {i}") for i in range(200)] + [(i, f"other {i}") for i in range(100, 160)] + [(7, "seven 1"), (3, None)]
+    docs = spark.createDataFrame([(d, t, "x", 1, True) for d, t in rows], "doc_id long, text string, `order` string, `range` int, copy boolean").repartition(3)
+    order = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = []
+    for r, nxt in zip(order, order[1:] + order[:1]):
+        text, n = r.text or "", len(r.text or "") // 3
+        want.append((r.doc_id, hashlib.sha256((text[: len(text) - n] + (nxt.text or "")[:n]).encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in fingerprint.edited_fingerprints(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_fingerprints_ties_and_empty(spark):
     same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None), (2, "c")], "doc_id long, text string")
     assert fingerprint.edited_fingerprints(same).count() == 5
