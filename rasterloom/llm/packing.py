@@ -28,11 +28,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import chunked, encoder, vocabulary_path
-from .common import Scratch, record_batch, shuffle_partitions, table, texts
+from .common import Scratch, record_batch, table, texts
 
 #: (n, groups): lengths over capacity / n are large and form so many groups.
 CAPACITY, GROUPINGS = 2048, ((2, 24), (3, 48), (2, 0))
 END = b"\0\0\0\0"
+CHUNK_ROWS = 1 << 18
 
 Kind = tuple[tuple[int, int], ...]  # (length, how many) in a sequence
 
@@ -222,30 +223,43 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """pieces() with sequence_id and offset of each."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    chunks = min(max(shuffle_partitions(spark), 16), 256)
-    cut = scratch.write(pieces(docs, path, capacity), "pieces").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).cast("int"))
-    table_ = np.zeros((capacity + 1, chunks), np.int64)  # at most capacity x chunks numbers
-    for length, chunk, n in cut.groupBy("length", "chunk").count().collect():
-        table_[length, chunk] = n
-    found = placements(plan(table_.sum(1), capacity), capacity)
-    before = np.cumsum(table_, axis=1) - table_
-    shared = spark.sparkContext.broadcast((before, found))
+    cut = scratch.write(pieces(docs, path, capacity), "pieces")
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in cut.groupBy("length").count().collect():  # at most capacity rows
+        counts[length] = n
+    found = placements(plan(counts, capacity), capacity)
+    chunks = -(-counts // chunk_rows)
+    first = np.cumsum(chunks) - chunks  # number of each length's first chunk
+    several = np.flatnonzero(chunks > 1)
+    dealt = F.lit(0)
+    if len(several):  # at most capacity numbers
+        of = F.array(*(F.lit(int(n)) for n in np.maximum(chunks, 1)))
+        dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(of, (F.col("length") + 1).cast("int"))).cast("int")
+    cut = cut.withColumn("chunk", dealt)
+    table_ = np.zeros(int(chunks.sum()), np.int64)
+    table_[first[counts > 0]] = counts[counts > 0]
+    if len(several):
+        for length, chunk, n in cut.where(F.col("length").isin([int(x) for x in several])).groupBy("length", "chunk").count().collect():  # a row for each CHUNK_ROWS rows
+            table_[first[length] + chunk] = n
+    before = np.cumsum(table_) - table_
+    before -= np.repeat(before[first[chunks > 0]], chunks[chunks > 0])  # ranks start at 0 in each length
+    shared = spark.sparkContext.broadcast((first, before, found))
     w = W.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("rank", F.row_number().over(w))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, p = shared.value
+        first, before, p = shared.value
         keys = (p["length"] << 44) + p["rank"]
         for b in batches:
             if not b.num_rows:
                 continue
             length, chunk, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
-            rank = rank - 1 + before[length, chunk]
+            rank = rank - 1 + before[first[length] + chunk]
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             own = rank - p["rank"][at]
             yield record_batch({"doc_id": b.column(0), "piece": b.column(1), "start": b.column(2), "length": b.column(3), "ids_crc32": b.column(4), "sequence_id": p["sequence"][at] + own // p["each"][at], "offset": p["offset"][at] + own % p["each"][at] * length}, schema)

@@ -117,6 +117,30 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_packing_odd_rows_in_small_chunks(spark):
+    """Repeated rows, nulls, clashing names and a long text; a length that most rows share takes many chunks."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(packing.vocabulary_path())
+    lib.no_truncation()
+    rows = [(i, "same text") for i in range(300)] + [(5, "same text")] * 3 + [(None, None)] * 4 + [(1000 + i, "word " * (7 * i)) for i in range(40)] + [(9999, "long " * 30_000)]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, chunk int, rank int, length string, piece int").repartition(3)
+    got = [r.asDict() for r in packing.pack(docs, chunk_rows=16).collect()]
+    lengths = sorted((d if d is not None else -1, len(lib.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in rows)
+    want = sorted((d, i, i * 2048, min(2048, n - i * 2048)) for d, n in lengths for i in range(-(-n // 2048)))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["piece"], r["start"], r["length"]) for r in got) == want
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for x in places.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(places) <= -(-sum(n for _, n in lengths) // 2048) + 1
+
+
 @pytest.mark.parametrize("draw", ["even", "large", "small", "one", "thirds"])
 def test_packing_plan(draw):
     rng = np.random.default_rng(2)
