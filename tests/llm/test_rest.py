@@ -241,6 +241,60 @@ def test_html_keeps_linked_parts_of_the_article():
     assert got == ["Linked heading", "First, long paragraph with words, commas, and much more of it for sure.", "linked item", "a plain item of some length", "linked cell", "a plain cell of some length", "Discussion", "What it means, in short.", "Law, as such."]
 
 
+def test_html_article_parts_with_telling_names():
+    """What an article holds stays, whatever attributes that are no class or id say; wholly telling names go."""
+    body = "<p>First, long paragraph with words, commas, and much more of it for sure.</p>"
+    for part, text in {
+        "<div class='discussion'><p>We discuss.</p></div>": "We discuss.",
+        "<section id='related-work'><p>Before us.</p></section>": "Before us.",
+        "<div id='related-work'><p>Before us.</p></div>": "Before us.",
+        "<div data-grid='ad'><p>Gridded.</p></div>": "Gridded.",
+        "<div data-hidden='no' data-role='navigation'><p>Shown.</p></div>": "Shown.",
+        "<div class='share-price-table'><p>Prices.</p></div>": "Prices.",
+        "<p>See <math><mi>x</mi></math> here</p>": "See x here",
+        "<div><a href=x>Single linked block</a></div>": "Single linked block",
+        "<li><a href=x>linked item</a></li>": "linked item",
+        "<h2><a href=x>Linked heading</a></h2>": "Linked heading",
+    }.items():
+        assert html.extract(f"<body><article>{body}{part}</article></body>").split("\n\n")[1:] == [text], part
+    for part in ("<div class=ad>Buy.</div>", "<div id='ad-slot-3'>Buy.</div>", "<div class='post-comments'>Hi.</div>", "<ul class=shareButtons><li>x</ul>", "<div hidden>h</div>", "<div role=navigation>n</div>", "<div class='x sidebar-left'>s</div>"):
+        assert html.extract(f"<body><article>{body}{part}</article></body>").split("\n\n")[1:] == [], part
+
+
+def test_html_without_article():
+    """Made pages whose main text is known: a container among menus, boxes and footers, its short and linked parts included."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma,", "delta", "eps"]) for _ in range(n))
+    for n in range(60):
+        parts = [words(rng.randrange(20, 90)) for _ in range(rng.randrange(3, 9))] + [words(2), "Short end."]
+        tag = rng.choice(["p", "div"]) if n % 3 else "p"
+        inner = "".join(f"<{tag}>{p}</{tag}>" for p in parts)
+        links = "".join(f"<li><a href=/{i}>{words(2)}</a></li>" for i in range(8))
+        wrap = rng.choice(["<div class=content>{}</div>", "<div><div id=story>{}</div></div>", "<table><tr><td>{}</td></tr></table>"])
+        page = f"<body><div class=topnav><ul>{links}</ul></div><div class='x'><ul>{links}</ul></div>{wrap.format(inner)}<div class=sidebar><p>{words(30)}</p></div><div id=footer><p>{words(12)}</p></div></body>"
+        assert html.extract(page) == "\n\n".join(" ".join(p.split()) for p in parts), page
+    assert html.extract(f"<body><div><p>{words(60)}</p><p>The end.</p></div></body>").endswith("The end.")
+    assert html.extract(f"<body><p>{words(60)}</p><p>The end.</p><p><a href=x>all links here</a></p></body>").split("\n\n")[1:] == ["The end.", "all links here"]
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    start = time.time()
+    page = "<div>" * 20_000 + "<p>some words, here and there</p>" * 2_000 + "</i></div>" * 20_000
+    assert html.extract(page).count("some words") == 2_000
+    assert html.extract("<b>" * 20_000 + "deep <p>x</p>" * 200 + "</u>" * 20_000).count("deep") == 200
+    assert time.time() - start < 8
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, None, None), (None, "u", ""), (2, "u", "<p>one, two"), (2, "u", "<p>one, two")]
+    pages = spark.createDataFrame([(p, u, h, 1, "t") for p, u, h in rows], "page_id long, url string, html string, n_chars int, text string")
+    got = sorted(map(tuple, html.main_text(pages).collect()), key=str)
+    assert got == sorted([(1, None, "", 0), (None, "u", "", 0), (2, "u", "one, two", 8), (2, "u", "one, two", 8)], key=str)
+    assert html.main_text(pages.limit(0)).count() == 0
+
+
 def test_html_pages(spark):
     import re
     from html import unescape
