@@ -320,6 +320,22 @@ def test_top_k(spark):
     assert topk.top_k(frame.where("vec_id < 5")).count() == 4
 
 
+def test_top_k_in_small_blocks(spark, monkeypatch):
+    """Many shards and blocks, a vector that a third of the rows share, wide and narrow numbers, repeated ids."""
+    for name, value in {"QUERY_BLOCK": 8, "BLOCK": 8, "SHARD_ROWS": 64, "LEAST_ROWS": 16, "HEAD": 25}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=24) * rng.choice([0.1, 1, 30])).tolist()) for i in range(400)] + [(400 + i, [0.5] * 24) for i in range(200)] + [(700, [9e4] * 24), (20, [1.0] * 24), (40, [2.0] * 24)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()))
+    ids, x = np.array([i for i, _ in rows]), np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    want = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        best = [j for j in np.lexsort((ids, -score)) if ids[j] != ids[i]][:20]
+        want += [(int(ids[i]), r + 1, int(ids[j]), int(score[j])) for r, j in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_top_k_prunes():
     rng = np.random.default_rng(4)
     c = np.floor(64 * rng.normal(size=(4000, 64)) * np.linspace(1, 0.05, 64)).astype(np.int64)
