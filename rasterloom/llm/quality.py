@@ -7,9 +7,14 @@ most TRAIN_ROWS graded documents (a bounded sample by hash of doc_id; the bound
 is a parameter), of which only hashed word counts are sent.  Prediction covers
 every row and whole texts.
 
-Null and wordless texts are scored by the intercept alone.  Null grades take no
-part in training; without graded rows the expected grade and tail are null.
-A document with several grades counts with each.
+op6 rates each labelled document 0 (bad), 1 (good but toxic) or 2 (good), so two
+thresholds are fitted.
+
+Null and wordless texts are scored by one weight of their own.  Null grades take
+no part in training; without graded rows the expected grade and tail are null.
+A document with several grades counts with each; repeated rows each give a row.
+Very long texts are read whole.  An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, table, utf8
+from .common import record_batch, table, text_chunks
 
-BUCKETS, TRAIN_ROWS = 1 << 15, 6_000
-_EXTRA = 4  # shape features behind the word buckets
+BUCKETS, TRAIN_ROWS, SELECTED = 1 << 15, 6_000, 0.4
+_EXTRA = 4  # features behind the word buckets: no words, and three of shape
+_CHUNK = 1 << 20
 
 
 class WordHash(dict):
@@ -50,7 +56,7 @@ def features(text: bytes, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
     upper = ((raw >= 65) & (raw <= 90)).mean()
     odd = (~letters & (raw > 32)).mean()
     repeats = 1 - len(bins) / n
-    return np.concatenate((bins, np.arange(BUCKETS, BUCKETS + 4))), np.concatenate((np.sqrt(counts / n), [1.0 if n == 0 else 0.0, upper * 4, odd * 4, repeats]))
+    return np.concatenate((bins, np.arange(BUCKETS + 1, BUCKETS + _EXTRA))), np.concatenate((np.sqrt(counts / n), [upper * 4, odd * 4, repeats]))
 
 
 class OrdinalModel:
@@ -106,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", rows:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
-            found = [features(t, hashes) for t in utf8(b.column(1))]
+            found = [features(t, hashes) for _, _, data in text_chunks(b.column(1), _CHUNK) for t in data]
             yield record_batch({"grade": b.column(0), "cols": [c.astype(np.int32) for c, _ in found], "vals": [v for _, v in found]}, schema)
 
     got = picked.select("grade", "text").mapInArrow(run, "grade int, cols array<int>, vals array<double>").toArrow().to_pylist()
@@ -117,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", rows:
 OUT = "doc_id long, expected_grade double, tail_prob double, selected boolean"
 
 
-def grade(docs: DataFrame, model: OrdinalModel | None, threshold: float = 0.5) -> DataFrame:
+def grade(docs: DataFrame, model: OrdinalModel | None, threshold: float = SELECTED) -> DataFrame:
     """doc_id, expected_grade, tail_prob (of the top grade) and selected (tail_prob >= threshold) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("selected", pa.bool_())])
@@ -125,11 +131,13 @@ def grade(docs: DataFrame, model: OrdinalModel | None, threshold: float = 0.5) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hashes = shared.value, WordHash()
         for b in batches:
+            if not b.num_rows:
+                continue
             if model is None:
                 none = [None] * b.num_rows
                 yield record_batch({"doc_id": b.column(0), "expected_grade": none, "tail_prob": none, "selected": none}, schema)
                 continue
-            found = [features(t, hashes) for t in utf8(b.column(1))]
+            found = (features(t, hashes) for _, _, data in text_chunks(b.column(1), _CHUNK) for t in data)
             expected, tail = model.predict(np.array([model.weights[c] @ v for c, v in found]))
             yield record_batch({"doc_id": b.column(0), "expected_grade": expected, "tail_prob": tail, "selected": tail >= threshold}, schema)
 
@@ -137,5 +145,6 @@ def grade(docs: DataFrame, model: OrdinalModel | None, threshold: float = 0.5) -
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return grade(docs, train(docs, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    return grade(docs, train(docs, labels.select("doc_id", rating.alias("rating")), "rating"))

@@ -191,6 +191,48 @@ def test_quality(spark):
     assert all(r.expected_grade is None for r in none)
 
 
+def test_quality_odd_rows(spark):
+    """Null, empty and long texts, repeated rows, several grades of one document, clashing names; each row as the plain formula has it."""
+    import math
+
+    texts = {1: None, 2: "", 3: " \n", 4: "good words here", 5: "BAD!! bad", 6: "good " * 60_000, 7: "good words here"}
+    docs = spark.createDataFrame([(d, t, 1, 2.0) for d, t in texts.items()] + [(4, texts[4], 1, 2.0), (None, "bad", 1, 2.0)], "doc_id long, text string, grade int, tail_prob double")
+    labels = spark.createDataFrame([(4, 2), (4, 1), (5, 0), (6, 2), (7, 2), (2, 0), (3, None), (None, 2), (99, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.grades == [0, 1, 2] and len(model.thresholds) == 2
+    got = quality.grade(docs, model).collect()
+    assert len(got) == 9 and {(r.doc_id, r.expected_grade) for r in got if r.doc_id in (4, 7)} == {(4, got[3].expected_grade), (7, got[3].expected_grade)}
+
+    def plain(text):
+        words = (text or "").encode().lower().split()
+        if not words:
+            score = model.weights[quality.BUCKETS]
+        else:
+            data, bins = (text or "").encode(), {}
+            for w in words:
+                bins[zlib.crc32(w) % quality.BUCKETS] = bins.get(zlib.crc32(w) % quality.BUCKETS, 0) + 1
+            score = sum(model.weights[b] * math.sqrt(n / len(words)) for b, n in bins.items())
+            letter = lambda x: 97 <= x | 32 <= 122 or x >= 128
+            shape = [4 * sum(65 <= x <= 90 for x in data) / len(data), 4 * sum(not letter(x) and x > 32 for x in data) / len(data), 1 - len(bins) / len(words)]
+            score += sum(w * x for w, x in zip(model.weights[quality.BUCKETS + 1 :], shape))
+        below = [1 / (1 + math.exp(score - c)) for c in model.thresholds]
+        p = [below[0], below[1] - below[0], 1 - below[1]]
+        return p[1] + 2 * p[2], p[2]
+
+    for r in got:
+        expected, tail = plain(texts.get(r.doc_id, "bad"))
+        assert abs(r.expected_grade - expected) < 1e-9 and abs(r.tail_prob - tail) < 1e-9 and r.selected == (tail >= quality.SELECTED)
+    assert quality.grade(docs.limit(0), model).count() == 0
+
+
+def test_quality_query(spark):
+    got = {r.doc_id: r for r in quality.op6(spark, "/root/testdata/sf0.01").collect()}
+    labels = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()
+    kept = lambda some: [got[r["doc_id"]].selected for r in some]
+    good, bad = kept([r for r in labels if r["quality"] == 1 and r["toxic"] == 0]), kept([r for r in labels if r["quality"] == 0])
+    assert sum(good) > 0.97 * len(good) and sum(bad) < 0.2 * len(bad)
+
+
 def test_quality_is_ordinal():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 4, 400)
