@@ -140,6 +140,11 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an attribute name, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, record_batch, table, text_chunks, text_function
+from .common import free_name, quoted, record_batch, table, text_chunks, text_function
 
 ORDERS, BUCKETS, EVIDENCE, SMOOTHING = (1, 2, 3), 1 << 15, 40, 0.5
 #: Bound of the model (languages x BUCKETS 4-byte numbers, 64 MB); more are refused, not cut.
@@ -41,12 +41,12 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(batch: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the bucket of the n-gram at each character; start of each text among them; whether a text has letters.  Each text ends with separators, so n-grams never cross texts."""
+    """For each order the bucket of the n-gram at each character; start of each text among them; whether a text has letters.  Each text begins with separators of its own, so n-grams never cross texts."""
     gap = " " * max(ORDERS)
-    joined = gap.join(batch) + gap
+    joined = gap + gap.join(batch) + gap
     low = joined.lower()
     if len(low) != len(joined):  # a few letters grow when lower-cased
-        low = gap.join(t.lower() for t in batch) + gap
+        low = gap + gap.join(t.lower() for t in batch) + gap
         lens = [len(t.lower()) for t in batch]
     else:
         lens = list(map(len, batch))
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: st
     name = free_name(docs.columns, "__found")
     others = [c for c in docs.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
     found = docs.withColumn(name, text_function(run, "lang string, score double")(F.col(text_col)))
-    return found.select(*(F.col(f"`{c}`") for c in others), F.col(f"{name}.lang").alias(lang_out), F.col(f"{name}.score").alias(score_out))
+    return found.select(*(F.col(quoted(c)) for c in others), F.col(f"{name}.lang").alias(lang_out), F.col(f"{name}.score").alias(score_out))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

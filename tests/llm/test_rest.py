@@ -177,6 +177,42 @@ def test_langid(spark):
     assert {r.lang_pred for r in langid.identify(docs.limit(3), *none).collect()} == {"und"}
 
 
+def test_langid_edges(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words", "en", 1), (2, None, None, 2)], "doc_id long, text string, lang string, `__found` int")
+    model = langid.train(docs)
+    got = langid.identify(docs, *model)
+    assert got.columns == ["doc_id", "text", "lang", "__found", "lang_pred", "score"] and [r.lang_pred for r in got.orderBy("doc_id").collect()] == ["en", "und"]
+    assert langid.identify(docs.limit(0), *model).count() == 0
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    many = spark.createDataFrame([("word", x) for x in "abc"], "text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(many)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 500)
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 1)
+    assert langid.train(many)[0] == ["a", "b", "c"]
+
+
+def test_langid_like_plain_bayes(spark):
+    """Counts, log-probabilities and the best language by a loop over n-grams."""
+    import math
+
+    rows = [(i, t, g) for i, (t, g) in enumerate([("the cat sat", "en"), ("die katze", "de"), ("the dog", "en"), ("der hund und die katze", "de"), ("THE end!", "en")])]
+    langs, matrix = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    bucket = lambda text: [[int(b) for b in g if b != langid.BUCKETS] for g in langid.ngrams([text])[0]]
+    counts = {g: {} for g in langs}
+    for _, t, g in rows:
+        for b in sum(bucket(t), []):
+            counts[g][b] = counts[g].get(b, 0) + 1
+    log = {g: {b: math.log((c.get(b, 0) + langid.SMOOTHING) / (sum(c.values()) + langid.SMOOTHING * langid.BUCKETS)) for b in range(langid.BUCKETS)} for g, c in counts.items()}
+    tests = ["the katze", "und der end", "dog", "hund"]
+    got, score = langid.predict(tests, langs, matrix)
+    for t, g, s in zip(tests, got, score):
+        grams = sum(bucket(t), [])
+        ll = {x: sum(log[x][b] for b in grams) * min(len(grams), langid.EVIDENCE) / len(grams) for x in langs}
+        assert g == max(langs, key=lambda x: ll[x])
+        assert abs(s - math.exp(ll[g]) / sum(math.exp(v) for v in ll.values())) < 1e-3
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
