@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Scratch, byte_sizes, free_name, mix64, record_batch, shuffle_partitions, slices, text_chunks, text_function, utf8
+from .common import Scratch, byte_sizes, free_name, mix64, quoted, record_batch, shuffle_partitions, slices, text_chunks, text_function, utf8
 from .components import components
 
 SHINGLE, SEED, BANDS, ROWS, WORDS = 5, 42, 40, 5, 8  # WORDS of 64 bits in a sketch
@@ -250,4 +250,4 @@ def representatives(docs: DataFrame) -> DataFrame:
         links = links.unionByName(scratch.write(verified(candidates(placed, all_crossing), texts), f"links{all_crossing}"))
     roots = components(links, scratch, "classes").withColumnRenamed("node", "set")
     best = first.join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min(F.struct("none", "doc_id", "set", "row")).alias("x"))
-    return rows.join(best.select(F.col("x.row").alias(number)), number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(best.select(F.col("x.row").alias(number)), number, "left_semi").select(*(F.col(quoted(c)) for c in docs.columns))

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, quoted, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -151,7 +151,7 @@ def prepared(docs: DataFrame, scratch: Scratch, text_col: str = "text", keep: di
     """One pass over the texts, written: __rid, the columns that keep names (new name to old) in __kept, base spans of each kind and other candidates with their context."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keep = keep if keep is not None else {"doc_id": "doc_id"}
-    kept = F.struct(*(F.col(f"`{old}`").alias(new) for new, old in keep.items()))
+    kept = F.struct(*(F.col(quoted(old)).alias(new) for new, old in keep.items()))
     out = docs.select(kept.alias("__kept"), *(base_spans(text, k, True).alias(f"__{k}") for k in BASE), _candidates(text).alias("__other"), F.monotonically_increasing_id().alias("__rid"))
     return scratch.write(out, "prepared")
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Folder, Scratch, free_name, mix64, record_batch, table, text_chunks, text_function
+from .common import Folder, Scratch, free_name, mix64, quoted, record_batch, table, text_chunks, text_function
 
 WINDOW, GRAM = 35, 12
 BATCHES, FANOUT = 4, 2  # of a call without a history: runs are compacted twice, then once more
@@ -374,7 +374,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     made = {"text": F.when(changed, F.col(f"{new}.text")).otherwise(F.col("text"))}
     if "n_chars" in own:
         made["n_chars"] = F.when(changed, F.col(f"{new}.chars").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*(made.get(c, F.col(f"`{c}`")).alias(c) for c in own))
+    return rows.select(*(made.get(c, F.col(quoted(c))).alias(c) for c in own))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,3 +241,7 @@ def test_bpe_like_library(spark, rows):
     texts = [t or "" for _, t in rows]
     assert both[0].encode_batch(texts) == both[1].encode_batch(texts, in_rounds=True)
     assert bpe.encode(frame(spark, rows[:5]).withColumn("token_ids", bpe.F.lit(1))).count() == 5
+
+
+def test_bpe_empty_table(spark):
+    assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string, token_ids string")).count() == 0

@@ -81,3 +81,49 @@ def test_stages_take_odd_rows(spark):
             out = stage(spark, rows, SF).collect()
             if rows is odd:
                 assert {"language": len(out) == 2, "near_duplicates": len(out) == 2, "substrings": len(out) == 3, "personal_data": len(out) == 5, "packing": len(out) >= 5}[name], (name, len(out))
+
+
+def test_run_like_its_stages(spark, stages):
+    """run() gives the rows of the last stage and leaves only that stage's table."""
+    from rasterloom.llm.common import Folder
+
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    out = corpus_pipeline.run(spark, SF)
+    rows = [r.asDict() for r in out.collect()]
+    assert sorted(map(key, rows)) == sorted(map(key, stages["packing"]))
+    folder = out.inputFiles()[0].rsplit("/", 2)[0]
+    assert Folder(spark, folder).names() == ["packing"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["__mark", "__row", "__key", "__starts", "__new", "__lang", "__score", "__found", "kept", "base", "spans", "clean", "lang_pred", "score", "set", "fp", "x`y", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    from pyspark.sql import functions as F
+
+    docs = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(names)))}, name
+    assert corpus_pipeline.packed(spark, docs, SF).count() >= 60
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from rasterloom.llm import common
+
+    class Cluster:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "a"
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError):
+        common.scratch_root(Cluster)
+    Cluster.conf.get = staticmethod(lambda name, default=None: "hdfs://shared/")
+    assert common.scratch_root(Cluster).startswith("hdfs://shared/rasterloom/")
+    with common.released():
+        one = common.Scratch(spark)
+        one.write(spark.range(3), "t")
+        assert one.names() == ["t"]
+    assert one.names() == []
