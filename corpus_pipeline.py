@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard, langid, packing, pii, substring
-from rasterloom.llm.common import Scratch, free_name, released, table
+from rasterloom.llm.common import Scratch, free_name, quoted, released, table
 
 MIN_LANGUAGE_SCORE = 0.5  # below, no language is likelier than all others together
 
@@ -39,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     made = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(changed, F.char_length("clean").cast("long")).otherwise(F.col("kept.n_chars"))
-    return done.select(*(made.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))
+    return done.select(*(made.get(c, F.col(f"kept.{quoted(c)}")).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
