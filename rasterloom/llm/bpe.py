@@ -7,7 +7,9 @@ left to right, and the lists of the neighbouring pairs are updated.  The words'
 ids are kept in a bounded cache of the worker.  Text is normalised and split as
 the vocabulary file says.
 
-Null texts count as empty: no ids, empty decoded text.  Every row gives a row.
+Null texts count as empty: no ids, empty decoded text.  Every row gives a row,
+repeated ones too; an empty table gives an empty result.  Very long texts are
+encoded whole, one at a time.  Other columns are not read, or kept by encode().
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record_batch, table, texts
+from .common import WORKER_CACHES, record_batch, table, texts
 
 CACHE_WORDS = 600_000  # distinct words that a worker remembers
 _CHUNK = 4 << 20
@@ -226,6 +228,11 @@ class PairIndexBpe:
         get = self.cache_words.__getitem__
         self.cache.update((t, b"".join(map(get, words))) for t, words in zip(tokens, split, strict=True))
 
+    def forget(self) -> None:
+        """Empty the cache of words."""
+        if self.cache:
+            self.cache = {}
+
     def encode_batch(self, batch: list[str], in_rounds: bool = False) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_WORDS:
@@ -254,7 +261,9 @@ class PairIndexBpe:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PairIndexBpe:
-    return PairIndexBpe(path)
+    made = PairIndexBpe(path)
+    WORKER_CACHES.append(made.forget)
+    return made
 
 
 def chunked(values: list[str], limit: int = _CHUNK) -> Iterator[tuple[int, list[str]]]:

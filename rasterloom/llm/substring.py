@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Folder, Scratch, free_name, mix64, quoted, record_batch, table, text_chunks, text_function
 
 WINDOW, GRAM = 35, 12
-BATCHES, FANOUT = 4, 2  # of a call without a history: runs are compacted twice, then once more
+BATCHES, FANOUT = 3, 2  # of a call without a history: the first two runs are compacted, and the third meets the compacted one
 _CHUNK, _PIECE = 1 << 20, 1 << 21
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
