@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORKER_CACHES, record_batch, table, texts
+from .common import WORKER_CACHES, byte_sizes, empty_caches, record_batch, slices, table, texts
 
 CACHE_WORDS = 600_000  # distinct words that a worker remembers
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 _STOP, _GONE = 65_534, 65_535
 _NO_RANK = 1 << 30
 #: str.split() takes these for white space, the vocabulary does not.
@@ -77,8 +77,8 @@ class PairIndexBpe:
         self.parts = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in merges]  # by rank
         rank_of = {a << 16 | b: r for r, (a, b, _) in enumerate(self.parts)}
         self.ranked = rank_of.get
-        self.pair_keys = np.array(sorted(rank_of), np.int64)
-        self.pair_ranks = np.array([rank_of[k] for k in self.pair_keys.tolist()], np.int64)
+        self.pair_keys = np.array(sorted(rank_of), np.uint32)
+        self.pair_ranks = np.array([rank_of[k] for k in self.pair_keys.tolist()], np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -119,18 +119,18 @@ class PairIndexBpe:
 
     def merge_in_rounds(self, words: list[str]) -> None:
         """The same ids as merge_words, by numpy: each round applies each word's own lowest rank in all words at once."""
-        first, last = np.array(self.first, np.int64), np.array(self.last, np.int64)
+        first, last = np.array(self.first, np.uint32), np.array(self.last, np.uint32)
         data = "\n".join(words).encode() + b"\n"
         raw = np.frombuffer(data, np.uint8)
         ends = np.flatnonzero(raw == 10)  # words hold no white space
         syms = first[raw]
         syms[ends - 1] = last[raw[ends - 1]]
         syms[ends] = _STOP
-        owner = np.repeat(np.arange(len(words)), np.diff(ends, prepend=-1))
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(ends, prepend=-1))
         done_syms, done_owner = [], []
         ranks = self.ranks_at(syms[:-1], syms[1:])
-        ranks = np.append(ranks, _NO_RANK)
-        news = np.array([p[2] for p in self.parts] + [0], np.int64)
+        ranks = np.append(ranks, np.int32(_NO_RANK))
+        news = np.array([p[2] for p in self.parts] + [0], np.uint32)
         while len(syms):
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             best = np.minimum.reduceat(ranks, starts)
@@ -162,10 +162,10 @@ class PairIndexBpe:
         self.cache_words.update((w, out[s:e]) for w, s, e in zip(words, [0, *(x + 4 for x in stops)], stops, strict=False))
 
     def ranks_at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = (a << 16) | b
+        keys = (a << np.uint32(16)) | b
         where = np.searchsorted(self.pair_keys, keys)
         where[where == len(self.pair_keys)] = 0
-        return np.where(self.pair_keys[where] == keys, self.pair_ranks[where], _NO_RANK)
+        return np.where(self.pair_keys[where] == keys, self.pair_ranks[where], np.int32(_NO_RANK))
 
     def merge_words(self, words: list[str]) -> None:
         """Encode distinct words together and put their ids into the cache."""
@@ -178,7 +178,7 @@ class PairIndexBpe:
             laid.append(_STOP)
         n = len(laid)
         start = np.array(laid, np.int64)
-        keys = (start[:-1] << 16) | start[1:]
+        keys = ((start[:-1] << 16) | start[1:]).astype(np.uint32)
         where = np.searchsorted(self.pair_keys, keys).clip(max=len(self.pair_keys) - 1)
         hits = np.flatnonzero(self.pair_keys[where] == keys)
         ranks = self.pair_ranks[where[hits]]
@@ -262,19 +262,15 @@ class PairIndexBpe:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PairIndexBpe:
     made = PairIndexBpe(path)
-    WORKER_CACHES.append(made.forget)
+    WORKER_CACHES["words"] = made.forget
     return made
 
 
-def chunked(values: list[str], limit: int = _CHUNK) -> Iterator[tuple[int, list[str]]]:
-    start = size = 0
-    for i, v in enumerate(values):
-        size += len(v)
-        if size > limit:
-            yield start, values[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(values):
-        yield start, values[start:]
+def chunked(column: pa.Array, limit: int = _CHUNK) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a column by chunks of about limit bytes."""
+    empty_caches("words")
+    for i, j in slices(byte_sizes(column).tolist(), limit):
+        yield i, texts(column.slice(i, j - i))
 
 
 def encode_decode(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -286,7 +282,7 @@ def encode_decode(df: DataFrame, path: str | None = None) -> DataFrame:
         bpe = encoder(path)
         sha = hashlib.sha256
         for b in batches:
-            for at, part in chunked(texts(b.column(1))):
+            for at, part in chunked(b.column(1)):
                 ids = bpe.encode_batch(part)
                 yield record_batch({"doc_id": b.column(0).slice(at, len(part)), "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x).hexdigest() for x in ids], "decoded_sha256": [sha(bpe.decode(x).encode()).hexdigest() for x in ids]}, schema)
 

@@ -121,14 +121,19 @@ def byte_sizes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
 
 
-#: What empties the caches that an operator keeps in a worker between its tasks.
-WORKER_CACHES: list[Callable[[], None]] = []
+#: What empties the caches that operators keep in a worker between their tasks, by name.
+WORKER_CACHES: dict[str, Callable[[], None]] = {}
 
 
-def text_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first row, end, UTF-8 bytes of these rows) by chunks of about limit bytes; only one chunk is copied out of Arrow at a time.  Caches of another operator that the worker served before are emptied."""
-    for empty in WORKER_CACHES:
-        empty()
+def empty_caches(but: str = "") -> None:
+    for name, empty in WORKER_CACHES.items():
+        if name != but:
+            empty()
+
+
+def text_chunks(column: pa.Array, limit: int, cache: str = "") -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end, UTF-8 bytes of these rows) by chunks of about limit bytes; only one chunk is copied out of Arrow at a time.  Caches of other operators that the worker served before are emptied."""
+    empty_caches(cache)
     for i, j in slices(byte_sizes(column).tolist(), limit):
         yield i, j, utf8(column.slice(i, j - i))
 

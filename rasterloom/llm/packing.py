@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import chunked, encoder, vocabulary_path
-from .common import Scratch, record_batch, table, texts
+from .common import Scratch, record_batch, table
 
 #: (n, groups): lengths over capacity / n are large and form so many groups.
 CAPACITY, GROUPINGS = 2048, ((2, 24), (3, 48), (2, 0))
@@ -213,7 +213,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         bpe, crc, step = encoder(path), zlib.crc32, 4 * capacity
         for b in batches:
             ids = b.column(0).to_pylist()
-            for at, part in chunked(texts(b.column(1))):
+            for at, part in chunked(b.column(1)):
                 rows = []
                 for doc, data in zip(ids[at : at + len(part)], bpe.encode_batch(part, in_rounds=True), strict=True):
                     data += END

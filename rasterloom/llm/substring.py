@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Folder, Scratch, free_name, mix64, quoted, record_batch, table, text_chunks, text_function
+from .common import WORKER_CACHES, Folder, Scratch, free_name, mix64, quoted, record_batch, table, text_chunks, text_function
 
 WINDOW, GRAM = 35, 12
 BATCHES, FANOUT = 3, 2  # of a call without a history: the first two runs are compacted, and the third meets the compacted one
@@ -43,6 +43,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
+    WORKER_CACHES["powers"] = _powers.clear
     got = _powers.get(base)
     if got is None or len(got) < n:
         steps = np.full(max(n, _PIECE + 1), base, np.uint64)
@@ -160,7 +161,7 @@ class SubstringIndex:
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for _, _, data in text_chunks(b.column(0), _CHUNK):
+                for _, _, data in text_chunks(b.column(0), _CHUNK, "powers"):
                     found = [anchors(normalised(t), window, gram) for t in data]
                     h, n = np.unique(np.concatenate(found), return_counts=True)
                     if len(h):
@@ -222,7 +223,7 @@ def distinct_texts(text: DataFrame, window: int, gram: int, with_anchors: bool)
     def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1).compress
         for b in parts:
-            for _, _, data in text_chunks(b.column(0), _CHUNK):
+            for _, _, data in text_chunks(b.column(0), _CHUNK, "powers"):
                 words = [w for w in map(normalised, data) if w.count(b" ") + 1 >= window]
                 if words:
                     out = {"key": list(map(content_key, words)), "data": list(map(zip_, words))}
@@ -255,7 +256,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram
 
     def hits(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for _, _, data in text_chunks(b.column(0), _CHUNK):
+            for _, _, data in text_chunks(b.column(0), _CHUNK, "powers"):
                 words = {normalised(t) for t in data}
                 found = [(content_key(t), np.unique(anchors(t, window, gram))) for t in words]
                 keys = [k for k, h in found for _ in range(len(h))]
@@ -306,7 +307,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, index: Sub
 
     def light(column: pa.Array) -> pa.Array:
         keys, counts, digests = [], [], []
-        for _, _, data in text_chunks(column, _CHUNK):
+        for _, _, data in text_chunks(column, _CHUNK, "powers"):
             for words in map(normalised, data):
                 keys.append(content_key(words))
                 counts.append(words.count(b" ") + 1 if words else 0)
@@ -352,11 +353,11 @@ def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     scratch = Scratch(docs.sparkSession)
 
     def keys(column: pa.Array) -> pa.Array:
-        return pa.array([content_key(normalised(t)) for _, _, data in text_chunks(column, _CHUNK) for t in data], pa.binary())
+        return pa.array([content_key(normalised(t)) for _, _, data in text_chunks(column, _CHUNK, "powers") for t in data], pa.binary())
 
     def cut(column: pa.Array, starts: pa.Array) -> pa.Array:
         texts_, chars, keep = [], [], []
-        for i, j, data in text_chunks(column, _CHUNK):
+        for i, j, data in text_chunks(column, _CHUNK, "powers"):
             for text, at in zip(data, starts.slice(i, j - i).to_pylist(), strict=True):
                 gone = _marked(len(text.split()), np.array(at or [], np.int64), window)
                 new = cut_out(text, gone).decode() if at else None
