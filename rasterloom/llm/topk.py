@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, record_batch, shuffle_partitions, table
 
 K, EVERY, PREFIX, HEAD = 20, 20, 16, 4096
-QUERY_BLOCK, BLOCK, SHARD_ROWS, LEAST_ROWS = 16_384, 4096, 65_536, 1024
+QUERY_BLOCK, BLOCK, SHARD_ROWS, LEAST_ROWS = 16_384, 4096, 65_536, 2048
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +116,10 @@ class BlockSearch:
             at = np.flatnonzero(reach[n])
             at = at[ids[at] != self.ids[qi]]
             self.scored += len(at)
-            if len(at):
-                self._offer(qi, ids[at], c[at] @ self.q[qi])
+            scores = c[at] @ self.q[qi]
+            good = scores >= self.least[qi]
+            if good.any():
+                self._offer(qi, ids[at[good]], scores[good])
 
     def _offer(self, qi: int, ids: np.ndarray, scores: np.ndarray) -> None:
         k = self.k
