@@ -1,8 +1,10 @@
 """Queries of the raster operators: name to Spark callable, and to DuckDB SQL over the same tables.
 
 Values are rounded to six places on both sides, since sums run in any order.
-The SQL spells stencils and searches out as joins, independent of the windows
-that the operators use.
+The SQL spells stencils, searches and transforms out as joins, independent of the
+kernels that the operators use.  The grid's side follows the table: 16 below
+20,000 rows of lineitem, 32 below 200,000, 64 from there on.  SQL is made for one
+side; ORACLE_SQL is for 32, oracle_sql() makes that of another.
 """
 
 from __future__ import annotations
@@ -10,21 +12,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import comb
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import align, exposure, lens, merge, repair, reshape, stats, stencil, tone, wiener
+from .functions import metadata
+from .operators import align, blocks, exposure, lens, merge, repair, reshape, stats, stencil, tone, wiener
 from .sources import adapters, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SIDE, WHITE, BLACK = 16, adapters.WHITE, adapters.BLACK
+_MAKERS: dict[str, Callable[[], str]] = {}
+SIDE, WHITE, BLACK = 32, adapters.WHITE, adapters.BLACK
 SPAN = WHITE - BLACK
 CLIP, HIGH = 0.98 * SPAN, 0.92 * SPAN
 
 # ---------------------------------------------------------------- SQL parts
 
-_CELLS = f"""cells AS (SELECT l_linenumber - 1 AS frame, CAST(l_orderkey % {SIDE * SIDE} AS INTEGER) AS idx, count(*) AS n,
+def _cells() -> str:
+    return f"""cells AS (SELECT l_linenumber - 1 AS frame, CAST(l_orderkey % {SIDE * SIDE} AS INTEGER) AS idx, count(*) AS n,
   sum(l_quantity) AS p0, sum(round(l_extendedprice / 1000)) AS p1, sum(round(l_discount * 100)) AS p2, sum(round(l_tax * 100)) AS p3
   FROM lineitem GROUP BY 1, 2),
 grid AS (SELECT CAST(f.f AS INTEGER) AS frame, CAST(i.i AS INTEGER) AS idx FROM range(7) f(f), range({SIDE * SIDE}) i(i))"""
@@ -33,7 +39,7 @@ grid AS (SELECT CAST(f.f AS INTEGER) AS frame, CAST(i.i AS INTEGER) AS idx FROM
 def _px(planes: int = 1) -> str:
     pick = " ".join(f"WHEN {c} THEN p{c}" for c in range(planes))
     rows = ", ".join(f"({c})" for c in range(planes))
-    return f"""{_CELLS},
+    return f"""{_cells()},
 px AS (SELECT 0 AS burst, g.frame, g.idx // {SIDE} AS y, g.idx % {SIDE} AS x, k.c AS c, coalesce((CASE k.c {pick} END) / n, 0.0) AS v
   FROM grid g CROSS JOIN (VALUES {rows}) k(c) LEFT JOIN cells USING (frame, idx))"""
 
@@ -78,16 +84,31 @@ def _same_rounding(sql: str) -> str:
     return sql
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: Callable[[], str] | None = None):
     def put(f):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = _same_rounding(sql)
+            _MAKERS[name] = sql
         return f
 
     return put
 
 
+def oracle_sql(side: int = 32) -> dict[str, str]:
+    """The SQL of the queries for tables of the size that has this side."""
+    global SIDE
+    before, SIDE = SIDE, side
+    try:
+        return {name: _same_rounding(make()) for name, make in _MAKERS.items()}
+    finally:
+        SIDE = before
+
+
+def side_of(spark: SparkSession, d: str) -> int:
+    rows = adapters.read(spark, d, "lineitem").count()
+    return 16 if rows < 20_000 else 32 if rows < 200_000 else 64
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, as _same_rounding() does."""
     return df.select(*((F.floor(F.col(c) * 1e6 + 0.53) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
@@ -100,7 +121,8 @@ _OUT = f"SELECT {_P}, round(v, 6) + 0.0 AS v FROM "
 
 
 def px(spark: SparkSession, d: str, planes: int = 1) -> DataFrame:
-    return adapters.lineitem_pixels(adapters.read(spark, d, "lineitem"), SIDE, SIDE, planes)
+    n = side_of(spark, d)
+    return adapters.lineitem_pixels(adapters.read(spark, d, "lineitem"), n, n, planes)
 
 
 def scaled_frames(spark: SparkSession) -> DataFrame:
@@ -116,27 +138,27 @@ def normal(spark: SparkSession, d: str, planes: int = 1) -> DataFrame:
 # ---------------------------------------------------------------- reshape
 
 
-@query("q_mosaic_to_planes", _sql(_px(), select=f"SELECT burst, frame, y // 2 AS y, x // 2 AS x, y % 2 * 2 + x % 2 AS c, round(v, 6) AS v FROM px"))
+@query("q_mosaic_to_planes", lambda: _sql(_px(), select=f"SELECT burst, frame, y // 2 AS y, x // 2 AS x, y % 2 * 2 + x % 2 AS c, round(v, 6) AS v FROM px"))
 def _(spark, d):
     return rounded(reshape.mosaic_to_planes(px(spark, d), 2))
 
 
-@query("q_planes_to_mosaic", _sql(_px(4), select=f"SELECT burst, frame, y * 2 + c // 2 AS y, x * 2 + c % 2 AS x, 0 AS c, round(v, 6) AS v FROM px WHERE y * 2 + c // 2 < 31 AND x * 2 + c % 2 < 30"))
+@query("q_planes_to_mosaic", lambda: _sql(_px(4), select=f"SELECT burst, frame, y * 2 + c // 2 AS y, x * 2 + c % 2 AS x, 0 AS c, round(v, 6) AS v FROM px WHERE y * 2 + c // 2 < 31 AND x * 2 + c % 2 < 30"))
 def _(spark, d):
     return rounded(reshape.planes_to_mosaic(px(spark, d, 4), 2, 30, 31))
 
 
-@query("q_gray_gamma", _sql(_px(4), "g AS (SELECT burst, frame, y, x, avg(v) AS v FROM px GROUP BY ALL)", select="SELECT burst, frame, y, x, 0 AS c, round(CASE WHEN v <= 0 THEN 0 WHEN v >= 50 THEN 50 ELSE pow(50, 1 - 0.6) * pow(v, 0.6) END, 6) AS v FROM g"))
+@query("q_gray_gamma", lambda: _sql(_px(4), "g AS (SELECT burst, frame, y, x, avg(v) AS v FROM px GROUP BY ALL)", select="SELECT burst, frame, y, x, 0 AS c, round(CASE WHEN v <= 0 THEN 0 WHEN v >= 50 THEN 50 ELSE pow(50, 1 - 0.6) * pow(v, 0.6) END, 6) AS v FROM g"))
 def _(spark, d):
     return rounded(reshape.gray_gamma(px(spark, d, 4), 0.6, WHITE))
 
 
-@query("q_normalize", _sql(_px(), _FRAMES, select=_OUT + "norm"))
+@query("q_normalize", lambda: _sql(_px(), _FRAMES, select=_OUT + "norm"))
 def _(spark, d):
     return rounded(reshape.normalize(px(spark, d), scaled_frames(spark)))
 
 
-@query("q_snap_to_period", "SELECT event_id, CAST(trunc(round(value) / 3) * 3 AS INTEGER) AS snapped, least(greatest(value, 0.0), 1.0) AS clamped FROM events")
+@query("q_snap_to_period", lambda: "SELECT event_id, CAST(trunc(round(value) / 3) * 3 AS INTEGER) AS snapped, least(greatest(value, 0.0), 1.0) AS clamped FROM events")
 def _(spark, d):
     e = adapters.read(spark, d, "events")
     return e.select("event_id", reshape.snap_to_period(F.round("value"), 3).alias("snapped"), F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0)).alias("clamped"))
@@ -145,63 +167,75 @@ def _(spark, d):
 # ---------------------------------------------------------------- exposure
 
 
-@query("q_classify_exposure", _sql(_FRAMES.split(",\nrf AS")[0], select="SELECT burst, count(*) AS n_frames, count(*) FILTER (ev > 0) > 0 AS has_exposure, max(ev) FILTER (ev > 0) > 1.4 * min(ev) FILTER (ev > 0) AS is_bracketed, max(ev) FILTER (ev > 0) > 2 * min(ev) FILTER (ev > 0) AS needs_chained, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY ev, frame) FILTER (ev > 0) AS frame_order FROM frames GROUP BY burst"))
+_TABLE_FRAMES = """frames AS (SELECT CAST(l_suppkey % 40 AS INTEGER) AS burst, l_linenumber - 1 AS frame, CASE WHEN sum(l_quantity) % 5 = 0 THEN 0 ELSE sum(l_quantity) / 64 END AS ev, (l_linenumber - 1) % 3 / 2.0 AS bias FROM lineitem GROUP BY ALL)"""
+
+
+def _table_frames(spark, d) -> DataFrame:
+    """Frames with exposure values and biases from lineitem's sums by supplier and line number."""
+    t = adapters.read(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 40).cast("int").alias("burst"), (F.col("l_linenumber") - 1).alias("frame")).agg(F.sum("l_quantity").alias("q"))
+    return t.select("burst", "frame", F.when(F.col("q") % 5 == 0, 0.0).otherwise(F.col("q") / 64).alias("ev"), (F.col("frame") % 3 / 2.0).alias("bias"))
+
+
+@query("q_classify_exposure", lambda: _sql(_TABLE_FRAMES, select="SELECT burst, count(*) AS n_frames, count(*) FILTER (ev > 0) > 0 AS has_exposure, coalesce(max(ev) FILTER (ev > 0) > 1.4 * min(ev) FILTER (ev > 0), false) AS is_bracketed, coalesce(max(ev) FILTER (ev > 0) > 2 * min(ev) FILTER (ev > 0), false) AS needs_chained, coalesce(string_agg(CAST(frame AS VARCHAR), ',' ORDER BY ev, frame) FILTER (ev > 0), '') AS frame_order FROM frames GROUP BY burst"))
 def _(spark, d):
-    return exposure.classify(adapters.frame_table(spark)).withColumn("frame_order", F.array_join(F.transform("exposure_order", lambda x: x["frame"].cast("string")), ",")).drop("exposure_order")
+    return exposure.classify(_table_frames(spark, d)).withColumn("frame_order", F.array_join(F.transform("exposure_order", lambda x: x["frame"].cast("string")), ",")).drop("exposure_order")
 
 
-@query("q_select_reference", _sql("f AS (SELECT label AS burst, vec_id AS frame FROM embeddings)", select="SELECT burst, (list(frame ORDER BY frame))[count(*) // 2 + 1] AS ref FROM f GROUP BY burst"))
+@query("q_select_reference", lambda: _sql("f AS (SELECT label AS burst, vec_id AS frame FROM embeddings)", select="SELECT burst, (list(frame ORDER BY frame))[count(*) // 2 + 1] AS ref FROM f GROUP BY burst"))
 def _(spark, d):
     return exposure.select_reference(adapters.read(spark, d, "embeddings").select(F.col("label").alias("burst"), F.col("vec_id").alias("frame"), F.lit(0.0).alias("ev")))
 
 
-@query("q_exposure_scales", _sql(_FRAMES.split(",\nnorm AS")[0], select="SELECT burst, frame, ref, scale, 1 / scale AS wn FROM sc"))
+@query(
+    "q_exposure_scales",
+    lambda: _sql(
+        _TABLE_FRAMES,
+        "k AS (SELECT burst, CASE WHEN coalesce(max(ev) FILTER (ev > 0) > 1.4 * min(ev) FILTER (ev > 0), false) THEN first(frame ORDER BY ev, frame) FILTER (ev > 0) ELSE (list(frame ORDER BY frame))[count(*) // 2 + 1] END AS ref FROM frames GROUP BY burst)",
+        "z AS (SELECT f.burst, f.frame, k.ref, CASE WHEN r.ev > 0 AND f.ev > 0 THEN r.ev / f.ev * pow(2, r.bias - f.bias) ELSE 1 END AS scale FROM frames f JOIN k USING (burst) JOIN frames r ON r.burst = f.burst AND r.frame = k.ref)",
+        select="SELECT burst, frame, ref, round(scale, 6) AS scale, round(1 / scale, 6) AS wn FROM z",
+    ),
+)
 def _(spark, d):
-    return scaled_frames(spark).select("burst", "frame", "ref", "scale", "wn")
+    frames = _table_frames(spark, d)
+    return rounded(exposure.scales(frames, exposure.select_reference(frames)).select("burst", "frame", "ref", "scale", "wn"))
 
 
 # ---------------------------------------------------------------- stencils
 
 
-@query("q_box_blur", _sql(_px(), _stencil("px", "o", _BOX(2)), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
+@query("q_box_blur", lambda: _sql(_px(), _stencil("px", "o", _BOX(2)), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
 def _(spark, d):
     return rounded(stencil.box_blur(px(spark, d), 2))
 
 
-@query("q_binomial5", _sql(_px(), _stencil("px", "o", _FIVE), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
+@query("q_binomial5", lambda: _sql(_px(), _stencil("px", "o", _FIVE), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
 def _(spark, d):
     return rounded(stencil.binomial5(px(spark, d)))
 
 
-@query("q_binomial16", _sql(_px(), _stencil("px", "o", _SIXTEEN, False), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
+@query("q_binomial16", lambda: _sql(_px(), _stencil("px", "o", _SIXTEEN, False), select=f"SELECT {_P}, round(b, 6) AS v FROM o"))
 def _(spark, d):
     return rounded(stencil.binomial16(px(spark, d)))
 
 
-@query("q_block_mean", _sql(_px(4), select=f"SELECT {_P}, round(v, 6) AS v, round(avg(CASE WHEN c = 0 THEN v END) OVER (PARTITION BY burst, frame, y // 4, x // 4), 6) AS guide FROM px"))
+@query("q_block_mean", lambda: _sql(_px(4), select=f"SELECT {_P}, round(v, 6) AS v, round(avg(CASE WHEN c = 0 THEN v END) OVER (PARTITION BY burst, frame, y // 4, x // 4), 6) AS guide FROM px"))
 def _(spark, d):
     return rounded(stencil.block_mean(px(spark, d, 4), 4))
 
 
-@query("q_downsample2", _sql(_px(), select="SELECT burst, frame, y // 2 AS y, x // 2 AS x, c, round(avg(v), 6) AS v FROM px WHERE y < 14 GROUP BY ALL"))
-def _(spark, d):
-    return rounded(stencil.downsample(px(spark, d), 2, SIDE, SIDE - 1))
-
-
-@query("q_downsample4", _sql(_px(), select="SELECT burst, frame, y // 4 AS y, x // 4 AS x, c, round(avg(v), 6) AS v FROM px GROUP BY ALL"))
+@query("q_downsample2", lambda: _sql(_px(), select=f"SELECT burst, frame, y // 2 AS y, x // 2 AS x, c, round(avg(v), 6) AS v FROM px WHERE y < {(SIDE - 1) // 2 * 2} GROUP BY ALL"))
 def _(spark, d):
-    return rounded(stencil.downsample(px(spark, d), 4, SIDE, SIDE))
+    return rounded(stencil.downsample(px(spark, d), 2, side_of(spark, d), side_of(spark, d) - 1))
 
 
-@query("q_pyramid", _sql(_px(), "l1 AS (SELECT burst, frame, y // 2 AS y, x // 2 AS x, c, avg(v) AS v FROM px GROUP BY ALL)", select="SELECT 0 AS level, burst, frame, y, x, c, round(v, 6) AS v FROM px UNION ALL SELECT 1, burst, frame, y, x, c, round(v, 6) FROM l1"))
+@query("q_downsample4", lambda: _sql(_px(), select="SELECT burst, frame, y // 4 AS y, x // 4 AS x, c, round(avg(v), 6) AS v FROM px GROUP BY ALL"))
 def _(spark, d):
-    levels = stencil.pyramid(px(spark, d), SIDE, SIDE, 4)[:2]
-    return rounded(levels[0].select(F.lit(0).alias("level"), "*").unionByName(levels[1].select(F.lit(1).alias("level"), "*")))
+    return rounded(stencil.downsample(px(spark, d), 4, side_of(spark, d), side_of(spark, d)))
 
 
-@query("q_warp_translate", _sql(_px(), select=f"SELECT p.burst, p.frame, p.y, p.x, p.c, round(s.v, 6) AS v FROM px p JOIN px s ON s.frame = p.frame AND s.c = p.c AND s.x = greatest(0, least({SIDE - 1}, CAST(round(p.x - 2.4) AS INTEGER))) AND s.y = greatest(0, least({SIDE - 1}, CAST(round(p.y + 1.6) AS INTEGER)))"))
+@query("q_warp_translate", lambda: _sql(_px(), select=f"SELECT p.burst, p.frame, p.y, p.x, p.c, round(s.v, 6) AS v FROM px p JOIN px s ON s.frame = p.frame AND s.c = p.c AND s.x = greatest(0, least({SIDE - 1}, CAST(round(p.x - 2.4) AS INTEGER))) AND s.y = greatest(0, least({SIDE - 1}, CAST(round(p.y + 1.6) AS INTEGER)))"))
 def _(spark, d):
-    return rounded(stencil.warp_translate(px(spark, d), 2.4, -1.6, SIDE, SIDE))
+    return rounded(stencil.warp_translate(px(spark, d), 2.4, -1.6, side_of(spark, d), side_of(spark, d)))
 
 
 def _field(p: DataFrame, n: int) -> DataFrame:
@@ -214,7 +248,7 @@ _FIELD = "field AS (SELECT CAST(f AS INTEGER) AS frame, CAST(a AS INTEGER) AS ty
 
 @query(
     "q_warp_tilefield",
-    _sql(
+    lambda: _sql(
         _px(), _FIELD,
         "w AS (SELECT *, (x + 0.5) / 4 - 1 AS fx, (y + 0.5) / 4 - 1 AS fy FROM px)",
         f"k AS (SELECT w.frame, w.y, w.x, w.c, i.i, j.j, CAST(floor(fx) AS INTEGER) AS x0, CAST(floor(fy) AS INTEGER) AS y0, fx - floor(fx) AS tx_, fy - floor(fy) AS ty_ FROM w CROSS JOIN (VALUES (0), (1)) i(i) CROSS JOIN (VALUES (0), (1)) j(j))",
@@ -223,45 +257,45 @@ _FIELD = "field AS (SELECT CAST(f AS INTEGER) AS frame, CAST(a AS INTEGER) AS ty
 )
 def _(spark, d):
     p = px(spark, d)
-    return rounded(stencil.warp_aligned(p, _field(p, 4), 4, SIDE, SIDE))
+    return rounded(stencil.warp_aligned(p, _field(p, 4), 4, side_of(spark, d), side_of(spark, d)))
 
 
 # ---------------------------------------------------------------- statistics
 
 
-@query("q_noise_floor", _sql(_px(), _stencil("px", "o", _BOX(2)), select="SELECT burst, frame, round(greatest(0.5, sqrt(avg((v - b) * (v - b)))), 6) AS noise, round(greatest(8.0, sqrt(avg((v - b) * (v - b)))), 6) AS noise8 FROM o WHERE y % 4 = 0 AND x % 4 = 0 GROUP BY burst, frame"))
+@query("q_noise_floor", lambda: _sql(_px(), _stencil("px", "o", _BOX(2)), select="SELECT burst, frame, round(greatest(0.5, sqrt(avg((v - b) * (v - b)))), 6) AS noise, round(greatest(8.0, sqrt(avg((v - b) * (v - b)))), 6) AS noise8 FROM o WHERE y % 4 = 0 AND x % 4 = 0 GROUP BY burst, frame"))
 def _(spark, d):
     p = px(spark, d)
     blur = stencil.box_blur(p, 2, out="b").where("y % 4 = 0 AND x % 4 = 0").groupBy("burst", "frame").agg(F.greatest(F.lit(0.5), F.sqrt(F.avg((F.col("v") - F.col("b")) ** 2))).alias("noise"))
     return rounded(blur.join(stats.noise_floor(p).withColumnRenamed("noise", "noise8"), ["burst", "frame"]))
 
 
-@query("q_linear_noise", _sql(_px(4), _stencil("px", "o", _SIXTEEN, False), "e AS (SELECT burst, frame, y, x, sum(abs(v - b)) AS d FROM o WHERE y % 4 = 0 AND x % 4 = 0 GROUP BY ALL)", select="SELECT burst, frame, round(greatest(1.0, avg(d)), 6) AS noise FROM e GROUP BY burst, frame"))
+@query("q_linear_noise", lambda: _sql(_px(4), _stencil("px", "o", _SIXTEEN, False), "e AS (SELECT burst, frame, y, x, sum(abs(v - b)) AS d FROM o WHERE y % 4 = 0 AND x % 4 = 0 GROUP BY ALL)", select="SELECT burst, frame, round(greatest(1.0, avg(d)), 6) AS noise FROM e GROUP BY burst, frame"))
 def _(spark, d):
     return rounded(stats.linear_noise(px(spark, d, 4)))
 
 
-@query("q_frame_compare", _sql(_px(), "a AS (SELECT * FROM px WHERE frame = 0)", "b AS (SELECT * FROM px WHERE frame = 3)", select="SELECT a.burst, round(avg(abs(a.v - b.v)), 6) AS mad, round(max(abs(a.v - b.v)), 6) AS max_diff, count(*) FILTER (abs(a.v - b.v) > 0) AS n_diff, round(avg(a.v), 6) AS mean_a, round(avg(b.v), 6) AS mean_b, round(avg(abs(a.v - b.v)) / avg(a.v), 6) AS rel_mad FROM a JOIN b USING (y, x, c) GROUP BY a.burst"))
+@query("q_frame_compare", lambda: _sql(_px(), "a AS (SELECT * FROM px WHERE frame = 0)", "b AS (SELECT * FROM px WHERE frame = 3)", select="SELECT a.burst, round(avg(abs(a.v - b.v)), 6) AS mad, round(max(abs(a.v - b.v)), 6) AS max_diff, count(*) FILTER (abs(a.v - b.v) > 0) AS n_diff, round(avg(a.v), 6) AS mean_a, round(avg(b.v), 6) AS mean_b, round(avg(abs(a.v - b.v)) / avg(a.v), 6) AS rel_mad FROM a JOIN b USING (y, x, c) GROUP BY a.burst"))
 def _(spark, d):
     p = px(spark, d)
     return rounded(stats.compare(p.where("frame = 0").drop("frame"), p.where("frame = 3").drop("frame")))
 
 
-@query("q_channel_stats", _sql(_px(4), select="SELECT burst, frame, c, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v, round(avg(v), 6) AS mean_v, round(stddev_pop(v), 6) AS std_v FROM px GROUP BY burst, frame, c"))
+@query("q_channel_stats", lambda: _sql(_px(4), select="SELECT burst, frame, c, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v, round(avg(v), 6) AS mean_v, round(stddev_pop(v), 6) AS std_v FROM px GROUP BY burst, frame, c"))
 def _(spark, d):
     return rounded(stats.channel_stats(px(spark, d, 4)))
 
 
-@query("q_max_value", _sql(_px(4), select="SELECT burst, frame, round(max(v), 6) AS max_v FROM px GROUP BY burst, frame"))
+@query("q_max_value", lambda: _sql(_px(4), select="SELECT burst, frame, round(max(v), 6) AS max_v FROM px GROUP BY burst, frame"))
 def _(spark, d):
     return rounded(stats.max_value(px(spark, d, 4)))
 
 
-@query("q_region_dump", _sql(_px(), "top AS (SELECT burst, frame, arg_max(y, struct_pack(v := v, y := -y, x := -x)) AS ty FROM px GROUP BY burst, frame)", select="SELECT px.burst, px.frame, x, y, round(v, 6) AS raw_value FROM px JOIN top ON top.frame = px.frame WHERE y BETWEEN ty - 1 AND ty + 1"))
+@query("q_region_dump", lambda: _sql(_px(), "top AS (SELECT burst, frame, arg_max(y, struct_pack(v := v, y := -y, x := -x)) AS ty FROM px GROUP BY burst, frame)", select="SELECT px.burst, px.frame, x, y, round(v, 6) AS raw_value FROM px JOIN top ON top.frame = px.frame WHERE y BETWEEN ty - 1 AND ty + 1"))
 def _(spark, d):
     p = px(spark, d)
     top = p.groupBy("burst", "frame").agg(F.max_by("y", F.struct("v", -F.col("y"), -F.col("x"))).alias("ty"))
-    return rounded(p.join(F.broadcast(top), ["burst", "frame"]).where("y BETWEEN ty - 1 AND ty + 1").select("burst", "frame", "x", "y", F.col("v").alias("raw_value")))
+    return rounded(p.join(blocks.few(top), ["burst", "frame"]).where("y BETWEEN ty - 1 AND ty + 1").select("burst", "frame", "x", "y", F.col("v").alias("raw_value")))
 
 
 # ---------------------------------------------------------------- repair
@@ -273,7 +307,7 @@ HL_SPAN, HL_R, HL_B = 9.0, 0.9, 0.7  # small, so that part of the driver's value
 
 @query(
     "q_highlight_linear",
-    _sql(
+    lambda: _sql(
         _px(4), _WIDE4,
         f"o AS (SELECT burst, frame, y, x, c0, CASE WHEN c1 / {HL_SPAN} > 0.8 AND (c0 / {HL_SPAN} > 0.99 * {HL_R} OR c2 / {HL_SPAN} > 0.99 * {HL_B}) THEN {_BLEND('c1', f'(c0 / {HL_R} + c2 / {HL_B}) / 2', HL_SPAN)} ELSE c1 END AS c1, c2 FROM w)",
         select="SELECT burst, frame, y, x, k.c AS c, round(CASE k.c WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END, 6) AS v FROM o CROSS JOIN (VALUES (0), (1), (2)) k(c)",
@@ -301,14 +335,14 @@ def _bayer_sql() -> str:
     )
 
 
-@query("q_highlight_bayer", _bayer_sql())
+@query("q_highlight_bayer", lambda: _bayer_sql())
 def _(spark, d):
     return rounded(repair.recover_bayer(px(spark, d, 4), HL_SPAN, HL_R, HL_B))
 
 
 @query(
     "q_highlight_mosaic",
-    _sql(
+    lambda: _sql(
         _px(4), f"o AS (SELECT *, CASE c WHEN 0 THEN v / {HL_R} WHEN 3 THEN v / {HL_B} END AS e FROM px)",
         "m AS (SELECT burst, frame, y, x, avg(e) AS e, max(e) AS top FROM o GROUP BY ALL)",
         select=f"SELECT burst, frame, y, x, c, round(CASE WHEN c IN (1, 2) AND v / {HL_SPAN} > 0.8 AND top / {HL_SPAN} > 0.99 THEN {_BLEND('v', 'm.e', HL_SPAN)} ELSE v END, 6) AS v FROM px JOIN m USING (burst, frame, y, x)",
@@ -320,7 +354,7 @@ def _(spark, d):
 
 @query(
     "q_hot_pixel",
-    _sql(
+    lambda: _sql(
         _px(4), "mp AS (SELECT y, x, c, avg(v * v * v) AS v FROM px GROUP BY ALL)",
         "lv AS (SELECT c, avg(v) AS level FROM mp GROUP BY c)",
         "nb AS (SELECT p.y, p.x, p.c, any_value(p.v) AS v, sum(k.w * s.v) / 12 AS around FROM mp p CROSS JOIN (VALUES (-2, -2, 1), (-2, 2, 1), (2, -2, 1), (2, 2, 1), (0, -2, 2), (0, 2, 2), (-2, 0, 2), (2, 0, 2)) k(dy, dx, w) JOIN mp s ON s.c = p.c AND s.y = p.y + k.dy AND s.x = p.x + k.dx GROUP BY p.y, p.x, p.c HAVING count(*) = 8)",
@@ -334,6 +368,35 @@ def _(spark, d):
     return rounded(repair.hot_pixels(px(spark, d, 4).withColumn("v", F.col("v") * F.col("v") * F.col("v")), 1.0))
 
 
+def _mono_sql(repaired: bool) -> str:
+    inner = " AND ".join(f"p.{a} BETWEEN 2 AND {SIDE - 3}" for a in "yx")
+    ctes = [
+        _px(), "mp AS (SELECT y, x, avg(v * v * v) AS v FROM px GROUP BY ALL)", "lv AS (SELECT y % 2 AS py, x % 2 AS qx, avg(v) AS level FROM mp GROUP BY ALL)",
+        f"nb AS (SELECT p.y, p.x, any_value(p.v) AS v, sum(k.w * s.v) / 12 AS around FROM mp p CROSS JOIN (VALUES (-2, -2, 1), (-2, 2, 1), (2, -2, 1), (2, 2, 1), (0, -2, 2), (0, 2, 2), (-2, 0, 2), (2, 0, 2)) k(dy, dx, w) JOIN mp s ON s.y = p.y + k.dy AND s.x = p.x + k.dx WHERE {inner} GROUP BY p.y, p.x)",
+        "bl AS (SELECT nb.*, level, [1.0, 20.0, 300.0, 4000.0][y % 2 * 2 + x % 2 + 1] AS black FROM nb JOIN lv ON py = y % 2 AND qx = x % 2)",
+        "ra AS (SELECT *, greatest(1, v - black) / greatest(1, around - black) AS ratio FROM bl)",
+        "ho AS (SELECT y, x, CASE WHEN ratio >= 2 AND v >= 2 * level THEN greatest(0, least(0.5 * least(2, ratio - 2), 1)) ELSE 0 END AS w FROM ra)",
+    ]
+    if not repaired:
+        return _sql(*ctes, select="SELECT 0 AS burst, mp.y, mp.x, 0 AS c, round(coalesce(w, 0), 6) AS w FROM mp LEFT JOIN ho USING (y, x)")
+    ctes.append("ne AS (SELECT p.frame, p.y, p.x, any_value(p.v) AS v, avg(s.v) AS near FROM px p CROSS JOIN (VALUES (0, -2), (0, 2), (-2, 0), (2, 0)) k(dy, dx) LEFT JOIN px s ON s.frame = p.frame AND s.y = p.y + k.dy AND s.x = p.x + k.dx GROUP BY p.frame, p.y, p.x)")
+    return _sql(*ctes, select="SELECT 0 AS burst, frame, y, x, 0 AS c, round(CASE WHEN w > 0.001 THEN w * near + (1 - w) * v ELSE v END, 6) AS v FROM ne LEFT JOIN ho USING (y, x)")
+
+
+def _mono(spark, d) -> DataFrame:
+    return repair.hot_pixels(px(spark, d).withColumn("v", F.col("v") * F.col("v") * F.col("v")), [1.0, 20.0, 300.0, 4000.0], 2, 2)
+
+
+@query("q_hot_pixel_mono", lambda: _mono_sql(False))
+def _(spark, d):
+    return rounded(_mono(spark, d))
+
+
+@query("q_hot_pixel_repair", lambda: _mono_sql(True))
+def _(spark, d):
+    return rounded(repair.repair_hot_pixels(px(spark, d), _mono(spark, d)))
+
+
 # ---------------------------------------------------------------- merges
 
 _PIX = "burst, y, x, c"
@@ -341,14 +404,14 @@ _MOUT = f"SELECT {_PIX}, round(v, 6) + 0.0 AS v FROM "
 _TOP = f"tp AS (SELECT *, max(v) OVER (PARTITION BY burst, frame, y, x) AS top FROM norm)"
 
 
-@query("q_temporal_average", _sql(_px(), _FRAMES, select=f"SELECT {_PIX}, round(avg(v), 6) + 0.0 AS v FROM norm GROUP BY ALL"))
+@query("q_temporal_average", lambda: _sql(_px(), _FRAMES, select=f"SELECT {_PIX}, round(avg(v), 6) + 0.0 AS v FROM norm GROUP BY ALL"))
 def _(spark, d):
     return rounded(merge.temporal_average(normal(spark, d)))
 
 
 @query(
     "q_temporal_average_weighted",
-    _sql(
+    lambda: _sql(
         _px(), _FRAMES, _stencil("norm", "o", _BOX(2), more="ref scale"),
         f"l AS (SELECT *, 1 / greatest(1e-6, scale) AS ef, greatest(0, least((b - 2) / {SPAN}, 1)) AS lum FROM o)",
         "u AS (SELECT *, CASE WHEN lum < 0.25 THEN ef ELSE ef + (1 - ef) * greatest(0, least((lum - 0.25) / 0.74, 1)) END AS w0 FROM l)",
@@ -362,7 +425,7 @@ def _(spark, d):
 
 @query(
     "q_temporal_median",
-    """WITH e AS (SELECT label AS burst, vec_id AS frame, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+    lambda: """WITH e AS (SELECT label AS burst, vec_id AS frame, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
 rf AS (SELECT label AS burst, min(vec_id) AS ref FROM embeddings GROUP BY label),
 g AS (SELECT e.burst, CAST(pos // 8 AS INTEGER) AS y, CAST(pos % 8 AS INTEGER) AS x, 0 AS c, CAST(v AS DOUBLE) AS v, frame = ref AS own FROM e JOIN rf USING (burst))
 SELECT burst, y, x, c, round(CASE WHEN max(v) FILTER (own) >= 0.2 THEN max(v) FILTER (own) ELSE median(v) FILTER (own OR v < 0.2) END, 6) + 0.0 AS v, count(v) FILTER (own OR v < 0.2) AS n_kept
@@ -371,23 +434,23 @@ FROM g GROUP BY burst, y, x, c""",
 def _(spark, d):
     e = adapters.read(spark, d, "embeddings")
     frames = e.groupBy(F.col("label").alias("burst")).agg(F.min("vec_id").alias("ref"))
-    p = adapters.embedding_pixels(e).join(F.broadcast(frames), "burst").withColumn("scale", F.lit(1.0))  # one row a burst
+    p = adapters.embedding_pixels(e).join(blocks.few(frames), "burst").withColumn("scale", F.lit(1.0))
     return rounded(merge.temporal_median(p, 0.2))
 
 
-@query("q_temporal_median_bracketed", _sql(_px(4), _FRAMES, _TOP, select=f"SELECT {_PIX}, round(CASE WHEN max(v) FILTER (frame = ref) >= {CLIP} THEN max(v) FILTER (frame = ref) ELSE median(v) FILTER (frame = ref OR top < {CLIP} * scale) END, 6) + 0.0 AS v, count(v) FILTER (frame = ref OR top < {CLIP} * scale) AS n_kept FROM tp GROUP BY ALL"))
+@query("q_temporal_median_bracketed", lambda: _sql(_px(4), _FRAMES, _TOP, select=f"SELECT {_PIX}, round(CASE WHEN max(v) FILTER (frame = ref) >= {CLIP} THEN max(v) FILTER (frame = ref) ELSE median(v) FILTER (frame = ref OR top < {CLIP} * scale) END, 6) + 0.0 AS v, count(v) FILTER (frame = ref OR top < {CLIP} * scale) AS n_kept FROM tp GROUP BY ALL"))
 def _(spark, d):
     return rounded(merge.temporal_median(normal(spark, d, 4), CLIP))
 
 
-@query("q_expbracket_average", _sql(_px(4), _FRAMES, _TOP, f"u AS (SELECT *, CASE WHEN frame = ref THEN 1 WHEN top >= {CLIP} * scale THEN 0 ELSE wn END AS w FROM tp)", select=f"SELECT {_PIX}, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM u GROUP BY ALL"))
+@query("q_expbracket_average", lambda: _sql(_px(4), _FRAMES, _TOP, f"u AS (SELECT *, CASE WHEN frame = ref THEN 1 WHEN top >= {CLIP} * scale THEN 0 ELSE wn END AS w FROM tp)", select=f"SELECT {_PIX}, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM u GROUP BY ALL"))
 def _(spark, d):
     return rounded(merge.expbracket_average(normal(spark, d, 4), CLIP))
 
 
 def _spatial_sql(noise: float, rho: float, multi: bool, linear: bool, weighted: bool, chroma: bool) -> str:
-    if multi:
-        ctes = [_px(4), _FRAMES, _stencil("norm", "o", _SIXTEEN if linear else _BOX(2), not linear, "ref scale wn")]
+    if multi or linear:
+        ctes = [_px(4 if multi else 1), _FRAMES, _stencil("norm", "o", _SIXTEEN if linear else _BOX(2), not linear, "ref scale wn")]
         ctes.append("gd AS (SELECT * EXCLUDE (b), b AS guide FROM o)")
     else:
         ctes = [_px(), _FRAMES, "gd AS (SELECT *, avg(v) OVER (PARTITION BY burst, frame, y // 2, x // 2) AS guide FROM norm)"]
@@ -414,6 +477,7 @@ def _spatial_sql(noise: float, rho: float, multi: bool, linear: bool, weighted:
 
 for _name, _args in {
     "q_spatial_1ch": (8.0, 0.9, False, False, True, False),
+    "q_spatial_1ch_linear": (6.0, 0.8, False, True, False, False),
     "q_spatial_multi": (8.0, 1.3, True, False, False, False),
     "q_spatial_multi_chroma": (4.0, 1.3, True, False, True, True),
     "q_spatial_linear": (6.0, 0.8, True, True, False, False),
@@ -422,12 +486,12 @@ for _name, _args in {
     def _spatial(spark, d, a=_args):
         return rounded(merge.spatial(normal(spark, d, 4 if a[2] else 1), a[0], a[1], WHITE, BLACK, multi=a[2], linear=a[3], weighted=a[4], chroma=a[5]))
 
-    query(_name, _spatial_sql(*_args))(_spatial)
+    query(_name, lambda a=_args: _spatial_sql(*a))(_spatial)
 
 
 @query(
     "q_laplacian",
-    _sql(
+    lambda: _sql(
         _px(), _FRAMES, _stencil("norm", "o", _BOX(2), more="ref wn"),
         "h AS (SELECT *, v - b AS high, CASE WHEN frame = ref THEN 1 ELSE wn END AS w, CASE WHEN frame = ref THEN -1 ELSE frame END AS o FROM o)",
         select=f"SELECT {_PIX}, round(sum(w * b) / sum(w) + first(high ORDER BY round(abs(high), 9) DESC, o), 6) + 0.0 AS v FROM h GROUP BY ALL",
@@ -442,13 +506,13 @@ def _(spark, d):
 _SHIFTS = lambda r: f"(SELECT CAST(a AS INTEGER) AS dy, CAST(b AS INTEGER) AS dx FROM range(-{r}, {r + 1}) s(a), range(-{r}, {r + 1}) t(b))"
 
 
-def _motion_refs(spark) -> DataFrame:
+def _motion_refs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 3)], "burst int, ref int")
 
 
 @query(
     "q_sparse_sad_argmin",
-    _sql(
+    lambda: _sql(
         _px(),
         f"k AS (SELECT m.frame, s.dy, s.dx, avg(abs(r.v - m.v)) AS sad FROM {_SHIFTS(2)} s CROSS JOIN px r JOIN px m ON m.frame <> 3 AND m.y = r.y - s.dy AND m.x = r.x - s.dx WHERE r.frame = 3 AND r.x >= abs(s.dx) AND r.x < {SIDE} - abs(s.dx) AND r.y >= abs(s.dy) AND r.y < {SIDE} - abs(s.dy) AND (r.x - abs(s.dx)) % 2 = 0 AND (r.y - abs(s.dy)) % 2 = 0 GROUP BY ALL)",
         "n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(sad, 6), dy, dx) AS i FROM k)",
@@ -456,31 +520,59 @@ def _motion_refs(spark) -> DataFrame:
     ),
 )
 def _(spark, d):
-    return rounded(align.sparse_sad(px(spark, d), _motion_refs(spark), 2, SIDE, SIDE, 2))
+    return rounded(align.sparse_sad(px(spark, d), _motion_refs(spark), 2, side_of(spark, d), side_of(spark, d), 2))
 
 
-def _search_sql(name: str, cells: str, side: int, step: int, start: str) -> str:
-    """Argmin of the shifts within 3 of each frame's start, on a grid of step."""
-    dx, dy = "(b.dx + s.dx)", "(b.dy + s.dy)"
-    return f"""{name}_all AS (SELECT m.frame, {dy} AS dy, {dx} AS dx, avg(abs(r.v - m.v)) AS sad FROM {start} b CROSS JOIN {_SHIFTS(3)} s JOIN {cells} m ON m.frame = b.frame JOIN {cells} r ON r.frame = 3 AND r.y = m.y + {dy} AND r.x = m.x + {dx}
-WHERE r.x >= abs({dx}) AND r.x < {side} - abs({dx}) AND r.y >= abs({dy}) AND r.y < {side} - abs({dy}) AND (r.x - abs({dx})) % {step} = 0 AND (r.y - abs({dy})) % {step} = 0 GROUP BY ALL),
-{name} AS (SELECT * FROM {name}_all QUALIFY row_number() OVER (PARTITION BY frame ORDER BY round(sad, 6), dy, dx) = 1)"""
+def _levels(tile: int) -> tuple[list[str], list[int]]:
+    """CTEs l0, l1, ... of the gray pyramid (plain halving, then halving after the 5-tap filter), and their sides."""
+    sizes = [w for w, _ in stencil.pyramid_sizes(SIDE, SIDE, tile)]
+    ctes = ["l0 AS (SELECT frame, y, x, v FROM px)"]
+    taps = ", ".join(f"({k}, {v:.1f}e0)" for k, v in _FIVE.items())
+    for i, n in enumerate(sizes[:-1]):
+        src = f"l{i}"
+        if i:
+            src = f"b{i}"
+            ctes.append(f"""{src} AS (SELECT p.frame, p.y, p.x, sum(wy.w * wx.w * s.v) / 256 AS v FROM l{i} p CROSS JOIN (VALUES {taps}) wy(k, w) CROSS JOIN (VALUES {taps}) wx(k, w)
+  JOIN l{i} s ON s.frame = p.frame AND s.y = greatest(0, least({n - 1}, p.y + wy.k)) AND s.x = greatest(0, least({n - 1}, p.x + wx.k)) GROUP BY p.frame, p.y, p.x)""")
+        ctes.append(f"l{i + 1} AS (SELECT frame, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM {src} WHERE y < {n // 2 * 2} AND x < {n // 2 * 2} GROUP BY ALL)")
+    return ctes, sizes
 
 
-@query(
-    "q_global_search",
-    _sql(
-        _px(),
-        "half AS (SELECT frame, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM px GROUP BY ALL)",
-        "zero AS (SELECT DISTINCT frame, 0 AS dx, 0 AS dy FROM px WHERE frame <> 3)",
-        _search_sql("coarse", "half", SIDE // 2, 4, "zero"),
-        "doubled AS (SELECT frame, 2 * dx AS dx, 2 * dy AS dy FROM coarse)",
-        _search_sql("fine", "px", SIDE, 8, "doubled"),
-        select="SELECT 0 AS burst, frame, dx, dy, round(sad, 6) AS sad, round(1 / (1 + sad), 6) AS confidence FROM fine",
-    ),
-)
+def _pyramid_sql() -> str:
+    ctes, sizes = _levels(4)
+    return _sql(_px(), *ctes, select=" UNION ALL ".join(f"SELECT {i} AS level, 0 AS burst, frame, y, x, 0 AS c, round(v, 6) AS v FROM l{i}" for i in range(len(sizes))))
+
+
+@query("q_pyramid", _pyramid_sql)
 def _(spark, d):
-    return rounded(align.global_search(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE))
+    n = side_of(spark, d)
+    out = None
+    for i, level in enumerate(stencil.pyramid(px(spark, d), n, n, 4)):
+        level = level.select(F.lit(i).alias("level"), "*")
+        out = level if out is None else out.unionByName(level)
+    return rounded(out)
+
+
+def _search_ctes(tile: int) -> list[str]:
+    """CTEs of the whole-frame search, coarse to fine; the last is g0 (frame, dy, dx, sad)."""
+    ctes, sizes = _levels(tile)
+    start = "zero"
+    ctes.append("zero AS (SELECT DISTINCT frame, 0 AS dx, 0 AS dy FROM px WHERE frame <> 3)")
+    for i in reversed(range(len(sizes))):
+        n, radius, step = sizes[i], max(3, sizes[i] >> (2 + len(sizes) - i)), max(1, 16 >> (i + 1))
+        dx, dy = "(b.dx + s.dx)", "(b.dy + s.dy)"
+        ctes.append(f"""a{i} AS (SELECT m.frame, {dy} AS dy, {dx} AS dx, avg(abs(r.v - m.v)) AS sad FROM {start} b CROSS JOIN {_SHIFTS(radius)} s JOIN l{i} m ON m.frame = b.frame JOIN l{i} r ON r.frame = 3 AND r.y = m.y + {dy} AND r.x = m.x + {dx}
+WHERE r.x >= abs({dx}) AND r.x < {n} - abs({dx}) AND r.y >= abs({dy}) AND r.y < {n} - abs({dy}) AND (r.x - abs({dx})) % {step} = 0 AND (r.y - abs({dy})) % {step} = 0 GROUP BY ALL)""")
+        ctes.append(f"g{i} AS (SELECT * FROM a{i} QUALIFY row_number() OVER (PARTITION BY frame ORDER BY round(sad, 6), dy, dx) = 1)")
+        start = f"u{i}"
+        ctes.append(f"{start} AS (SELECT frame, 2 * dx AS dx, 2 * dy AS dy FROM g{i})")
+    return ctes
+
+
+@query("q_global_search", lambda: _sql(_px(), *_search_ctes(4), select="SELECT 0 AS burst, frame, dx, dy, round(sad, 6) AS sad, round(1 / (1 + sad), 6) AS confidence FROM g0"))
+def _(spark, d):
+    n = side_of(spark, d)
+    return rounded(align.global_search(px(spark, d), _motion_refs(spark), 4, n, n))
 
 
 def _tile_sql(tile: int, stride: int, n: int, squared: bool, radius: int, candidates: str = "") -> str:
@@ -493,47 +585,148 @@ k AS (SELECT fr.frame, t.ty, t.tx, s.dy, s.dx, sum({d}{f' * {d}' if squared else
 n AS (SELECT *, row_number() OVER (PARTITION BY frame, ty, tx ORDER BY round(cost, 6), dy, dx) AS i FROM k)"""
 
 
-@query("q_tile_cost_argmin", _sql(_px(), _tile_sql(8, 8, 2, False, 1), select="SELECT 0 AS burst, frame, ty, tx, dx, dy, round(cost, 6) AS cost FROM n WHERE i = 1"))
+@query("q_tile_cost_argmin", lambda: _sql(_px(), _tile_sql(8, 8, 2, False, 1), select="SELECT 0 AS burst, frame, ty, tx, dx, dy, round(cost, 6) AS cost FROM n WHERE i = 1"))
 def _(spark, d):
     p, refs = px(spark, d), _motion_refs(spark)
     return rounded(align.tile_search(p, refs, align.around(align.zero_field(p, refs, (2, 2)), 1), 8, 8, (2, 2)))
 
 
-@query("q_dense_level", _sql(_px(), _tile_sql(8, 4, 3, True, 3), select="SELECT 0 AS burst, frame, ty, tx, dx, dy, round(cost, 6) AS cost FROM n WHERE i = 1"))
+@query("q_dense_level", lambda: _sql(_px(), _tile_sql(8, 4, SIDE // 4 - 1, True, 3), select="SELECT 0 AS burst, frame, ty, tx, dx, dy, round(cost, 6) AS cost FROM n WHERE i = 1"))
 def _(spark, d):
-    p, refs = px(spark, d), _motion_refs(spark)
-    return rounded(align.tile_search(p, refs, align.around(align.zero_field(p, refs, (3, 3)), 3), 8, 4, (3, 3), squared=True))
+    p, refs, n = px(spark, d), _motion_refs(spark), side_of(spark, d) // 4 - 1
+    return rounded(align.tile_search(p, refs, align.around(align.zero_field(p, refs, (n, n)), 3), 8, 4, (n, n), squared=True))
 
 
-@query("q_dense_field", _sql(_px(), _tile_sql(16, 8, 1, False, 3), select="SELECT 0 AS burst, frame, ty, tx, dx, dy FROM n WHERE i = 1"))
-def _(spark, d):
-    return align.dense_field(px(spark, d), _motion_refs(spark), 16, SIDE, SIDE)
+def _costs(cells: str, name: str, asks: str, tile: int, stride: int, squared: bool) -> str:
+    """CTE name: the summed difference of each candidate (frame, ty, tx, dy, dx, o) of asks over the cells of its tile."""
+    d = "coalesce(abs(r.v - m.v), 65504.0)"
+    return f"""{name} AS (SELECT k.frame, k.ty, k.tx, k.dy, k.dx, any_value(k.o) AS o, sum({d}{f' * {d}' if squared else ''}) AS cost FROM {asks} k
+  JOIN {cells} r ON r.frame = 3 AND r.y >= k.ty * {stride} AND r.y < k.ty * {stride} + {tile} AND r.x >= k.tx * {stride} AND r.x < k.tx * {stride} + {tile}
+  LEFT JOIN {cells} m ON m.frame = k.frame AND m.y = r.y - k.dy AND m.x = r.x - k.dx GROUP BY k.frame, k.ty, k.tx, k.dy, k.dx)"""
+
+
+def _chosen(name: str, costs: str, weighted: bool) -> str:
+    if weighted:
+        mean = lambda c: f"sum({c} / (cost * cost + 1e-8)) / sum(1 / (cost * cost + 1e-8))"
+        away = lambda c: f"CAST(sign({mean(c)}) * floor(abs({mean(c)}) + 0.5) AS INTEGER)"
+        return f"{name} AS (SELECT frame, ty, tx, {away('dy')} AS dy, {away('dx')} AS dx FROM {costs} GROUP BY frame, ty, tx)"
+    return f"{name} AS (SELECT frame, ty, tx, dy, dx FROM {costs} QUALIFY row_number() OVER (PARTITION BY frame, ty, tx ORDER BY round(cost, 6), o, dy, dx) = 1)"
+
+
+def _dense_sql(tile: int, frequency: bool = False, weighted: bool = False) -> str:
+    """The coarse-to-fine field, level by level: propagate, (correct,) search."""
+    ctes, sizes = _levels(tile)
+    ctes.append("fr AS (SELECT DISTINCT frame FROM px WHERE frame <> 3)")
+    half, before = tile // 2, ""
+    grids = [max(1, -(-n // half) - 1) for n in sizes]
+    for i in reversed(range(len(sizes))):
+        n, squared = grids[i], i > 0 and not frequency
+        tiles = f"(SELECT CAST(a AS INTEGER) AS ty, CAST(b AS INTEGER) AS tx FROM range({n}) s(a), range({n}) u(b))"
+        now = f"p{i}"
+        if not before:
+            ctes.append(f"{now} AS (SELECT frame, ty, tx, 0 AS dy, 0 AS dx FROM fr CROSS JOIN {tiles})")
+        else:
+            ratio, up = sizes[i] // sizes[i + 1], grids[i + 1] - 1
+            ctes.append(f"{now} AS (SELECT f.frame, t.ty, t.tx, f.dy * {ratio} AS dy, f.dx * {ratio} AS dx FROM {tiles} t JOIN {before} f ON f.ty = least(t.ty // {ratio}, {up}) AND f.tx = least(t.tx // {ratio}, {up}))")
+            if not frequency:
+                side = lambda t: f"greatest(0, least({n - 1}, CASE WHEN p.{t} % 2 = 0 THEN p.{t} - 1 ELSE p.{t} + 1 END))"  # noqa: B023, E731
+                near = " UNION ALL ".join(f"SELECT p.frame, p.ty, p.tx, q.dy, q.dx, {o} AS o FROM {now} p JOIN {now} q ON q.frame = p.frame AND q.ty = {y} AND q.tx = {x}" for o, (y, x) in enumerate((("p.ty", "p.tx"), ("p.ty", side("tx")), (side("ty"), "p.tx"))))
+                ctes += [f"n{i} AS (SELECT frame, ty, tx, dy, dx, min(o) AS o FROM ({near}) GROUP BY frame, ty, tx, dy, dx)", _costs(f"l{i}", f"nc{i}", f"n{i}", tile, half, squared), _chosen(f"c{i}", f"nc{i}", weighted)]
+                now = f"c{i}"
+        ctes += [f"s{i} AS (SELECT f.frame, f.ty, f.tx, f.dy + s.dy AS dy, f.dx + s.dx AS dx, 0 AS o FROM {now} f CROSS JOIN {_SHIFTS(3)} s)", _costs(f"l{i}", f"sc{i}", f"s{i}", tile, half, squared), _chosen(f"f{i}", f"sc{i}", weighted)]
+        before = f"f{i}"
+    return _sql(_px(), *ctes, select="SELECT 0 AS burst, frame, ty, tx, dx, dy FROM f0")
+
+
+def _dense(tile: int, **kinds):
+    def run(spark, d):
+        n = side_of(spark, d)
+        return align.dense_field(px(spark, d), _motion_refs(spark), tile, n, n, **kinds)
 
+    return run
 
-@query("q_freq_align", _sql(_px(), _tile_sql(16, 8, 1, False, 3), select="SELECT 0 AS burst, frame, ty, tx, dx, dy FROM n WHERE i = 1"))
-def _(spark, d):
-    return align.dense_field(px(spark, d), _motion_refs(spark), 16, SIDE, SIDE, frequency=True)
+
+query("q_dense_field", lambda: _dense_sql(16))(_dense(16))
+query("q_dense_field_pyramid", lambda: _dense_sql(4))(_dense(4))
+query("q_dense_field_weighted", lambda: _dense_sql(8, weighted=True))(_dense(8, weighted=True))
+query("q_freq_align", lambda: _dense_sql(8, True))(_dense(8, frequency=True))
+query("q_freq_align_pyramid", lambda: _dense_sql(4, True))(_dense(4, frequency=True))
 
 
-@query("q_dense_field_pyramid")
+def _refine_sql(tile: int) -> str:
+    """Tiles by anti-diagonals: each starts from the seed, halved with the left and then the upper tile's shift."""
+    ctes, n = _search_ctes(tile), -(-SIDE // tile)
+    for k in range(2 * n - 1):
+        tiles = f"(SELECT CAST(a AS INTEGER) AS ty, CAST({k} - a AS INTEGER) AS tx FROM range({max(0, k - n + 1)}, {min(k, n - 1) + 1}) s(a))"
+        if k:
+            half = lambda a, b: f"CAST(trunc(({a} + {b}) / 2.0) AS INTEGER)"
+            by = lambda c: f"CASE WHEN b.frame IS NULL THEN {{0}} ELSE {half('{0}', f'b.{c}')} END".format(f"(CASE WHEN a.frame IS NULL THEN g.{c} ELSE {half(f'g.{c}', f'a.{c}')} END)")
+            at = f"SELECT g.frame, t.ty, t.tx, {by('dy')} AS dy, {by('dx')} AS dx FROM g0 g CROSS JOIN {tiles} t LEFT JOIN w{k - 1} a ON a.frame = g.frame AND a.ty = t.ty AND a.tx = t.tx - 1 LEFT JOIN w{k - 1} b ON b.frame = g.frame AND b.ty = t.ty - 1 AND b.tx = t.tx"
+        else:
+            at = f"SELECT g.frame, t.ty, t.tx, g.dy, g.dx FROM g0 g CROSS JOIN {tiles} t"
+        ctes += [f"wa{k} AS (SELECT f.frame, f.ty, f.tx, CAST(f.dy + s.dy AS INTEGER) AS dy, CAST(f.dx + s.dx AS INTEGER) AS dx, 0 AS o FROM ({at}) f CROSS JOIN {_SHIFTS(3)} s)", _costs("px", f"wc{k}", f"wa{k}", tile, tile, False), _chosen(f"w{k}", f"wc{k}", False)]
+    return _sql(_px(), *ctes, select=" UNION ALL ".join(f"SELECT 0 AS burst, frame, ty, tx, dx, dy FROM w{k}" for k in range(2 * n - 1)))
+
+
+@query("q_refine_wavefront", lambda: _refine_sql(4 if SIDE == 16 else 8))
 def _(spark, d):
-    return align.dense_field(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE)
+    p, refs, n = px(spark, d), _motion_refs(spark), side_of(spark, d)
+    tile = 4 if n == 16 else 8
+    return align.standard_field(p, refs, tile, n, n, seeds=align.global_search(p, refs, tile, n, n))
+
 
+_GRID_FIELD = "field AS (SELECT g.frame, g.idx // 8 AS ty, g.idx % 8 AS tx, CAST(coalesce(p0, 0) % 7 - 3 AS INTEGER) AS dx, CAST(coalesce(p1, 0) % 5 - 2 AS INTEGER) AS dy FROM grid g LEFT JOIN cells USING (frame, idx) WHERE g.idx < 64)"
 
-@query("q_freq_align_pyramid")
+
+def _grid_field(spark, d) -> DataFrame:
+    """An 8x8 motion field of each frame from lineitem's sums by order key."""
+    n = side_of(spark, d) ** 2
+    sums = adapters.read(spark, d, "lineitem").groupBy((F.col("l_linenumber") - 1).alias("frame"), (F.col("l_orderkey") % n).cast("int").alias("idx")).agg(F.sum("l_quantity").alias("p0"), F.sum(F.round(F.col("l_extendedprice") / 1000)).alias("p1")).where("idx < 64")
+    grid = spark.range(7 * 64).select(F.expr("int(id div 64)").alias("frame"), (F.col("id") % 64).cast("int").alias("idx")).join(sums, ["frame", "idx"], "left")
+    part = lambda c, m, k: (F.coalesce(c, F.lit(0.0)) % m - k).cast("int")
+    return grid.select(F.lit(0).alias("burst"), "frame", F.expr("int(idx div 8)").alias("ty"), (F.col("idx") % 8).alias("tx"), part("p0", 7, 3).alias("dx"), part("p1", 5, 2).alias("dy"))
+
+
+@query("q_smooth_field", lambda: _sql(_cells(), _GRID_FIELD, "nb AS (SELECT a.frame, a.ty, a.tx, list(b.dx ORDER BY b.dx) AS xs, list(b.dy ORDER BY b.dy) AS ys FROM field a JOIN field b ON b.frame = a.frame AND abs(b.ty - a.ty) <= 1 AND abs(b.tx - a.tx) <= 1 GROUP BY ALL)", select="SELECT 0 AS burst, frame, ty, tx, xs[len(xs) // 2 + 1] AS dx, ys[len(ys) // 2 + 1] AS dy FROM nb"))
 def _(spark, d):
-    return align.dense_field(px(spark, d), _motion_refs(spark), 4, SIDE, SIDE, frequency=True)
+    return align.smooth_field(_grid_field(spark, d))
 
 
-@query("q_refine_wavefront")
+@query(
+    "q_tile_shift",
+    lambda: _sql(
+        _px(), _GRID_FIELD, "w AS (SELECT frame, y, x, (x + 0.5) / 4 - 1 AS fx, (y + 0.5) / 4 - 1 AS fy FROM px)",
+        "k AS (SELECT w.*, i, j, CAST(floor(fx) AS INTEGER) + i AS ix, CAST(floor(fy) AS INTEGER) + j AS iy FROM w CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j))",
+        "z AS (SELECT k.frame, k.y, k.x, (CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) AS u, f.dx, f.dy FROM k JOIN field f ON f.frame = k.frame AND f.tx = greatest(0, least(7, ix)) AND f.ty = greatest(0, least(7, iy)))",
+        select="SELECT 0 AS burst, frame, y, x, round(sum(u * dx), 6) AS sx, round(sum(u * dy), 6) AS sy FROM z GROUP BY frame, y, x",
+    ),
+)
 def _(spark, d):
-    p, refs = px(spark, d), _motion_refs(spark)
-    return align.standard_field(p, refs, 4, SIDE, SIDE, seeds=align.global_search(p, refs, 4, SIDE, SIDE))
+    return rounded(stencil.tile_shift(px(spark, d), _grid_field(spark, d), 4))
+
 
+_TAU = "2 * pi()"
 
-@query("q_smooth_field", _sql(_FIELD, "nb AS (SELECT a.frame, a.ty, a.tx, list(b.dx ORDER BY b.dx) AS xs, list(b.dy ORDER BY b.dy) AS ys FROM field a JOIN field b ON b.frame = a.frame AND abs(b.ty - a.ty) <= 1 AND abs(b.tx - a.tx) <= 1 GROUP BY ALL)", select="SELECT 0 AS burst, frame, ty, tx, xs[len(xs) // 2 + 1] AS dx, ys[len(ys) // 2 + 1] AS dy FROM nb"))
+
+@query(
+    "q_fourier_shift",
+    lambda: _sql(
+        _px(),
+        "t AS (SELECT frame, y // 8 AS ty, x // 8 AS tx, y % 8 AS yy, x % 8 AS xx, v FROM px)", "b AS (SELECT CAST(f AS INTEGER) AS fy, CAST(g AS INTEGER) AS fx FROM range(8) s(f), range(8) u(g))",
+        f"sp AS (SELECT frame, ty, tx, fy, fx, sum(v * cos({_TAU} * (fy * yy + fx * xx) / 8)) AS re, -sum(v * sin({_TAU} * (fy * yy + fx * xx) / 8)) AS im FROM t CROSS JOIN b GROUP BY ALL)",
+        "sh AS (SELECT CAST(a AS INTEGER) AS iy, CAST(b AS INTEGER) AS ix, (a - 2.5) / 6 AS sy, (b - 2.5) / 6 AS sx FROM range(6) s(a), range(6) u(b))",
+        f"th AS (SELECT c.frame, c.ty, c.tx, sh.iy, sh.ix, sh.sy, sh.sx, r.re AS rr, r.im AS ri, c.re AS cr, c.im AS ci, {_TAU} * (c.fx * sx + c.fy * sy) / 8 AS th FROM sp c JOIN sp r ON r.frame = 3 AND c.frame <> 3 AND r.ty = c.ty AND r.tx = c.tx AND r.fy = c.fy AND r.fx = c.fx CROSS JOIN sh)",
+        "df AS (SELECT frame, ty, tx, iy, ix, any_value(sy) AS sy, any_value(sx) AS sx, sum(pow(rr - cr * cos(th) + ci * sin(th), 2) + pow(ri - cr * sin(th) - ci * cos(th), 2)) AS diff FROM th GROUP BY frame, ty, tx, iy, ix)",
+        select="SELECT frame, ty, tx, round(sx, 6) AS sx, round(sy, 6) AS sy, round(1 / (1 + diff / 64), 6) AS confidence FROM df QUALIFY row_number() OVER (PARTITION BY frame, ty, tx ORDER BY round(diff, 6), iy, ix) = 1",
+    ),
+)
 def _(spark, d):
-    return align.smooth_field(_field(spark.range(7).select(F.lit(0).alias("burst"), F.col("id").cast("int").alias("frame")), 4))
+    cell = px(spark, d).select("frame", F.expr("int(y div 8)").alias("ty"), F.expr("int(x div 8)").alias("tx"), F.struct((F.col("y") % 8).alias("y"), (F.col("x") % 8).alias("x"), "v").alias("k"))
+    tiles = cell.groupBy("frame", "ty", "tx").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: k["v"]).alias("cmp"))  # 64 values
+    pairs = tiles.where("frame <> 3").join(tiles.where("frame = 3").select("ty", "tx", F.col("cmp").alias("ref")), ["ty", "tx"])
+    n = 1 + side_of(spark, d) // 8
+    got = align.fourier_shift(pairs.select(((F.col("frame") * n + F.col("ty")) * n + F.col("tx")).alias("id"), F.lit(8).alias("h"), F.lit(8).alias("w"), "ref", "cmp"))
+    return rounded(got.select(F.expr(f"int(id div {n * n})").alias("frame"), F.expr(f"int(id div {n} % {n})").alias("ty"), (F.col("id") % n).cast("int").alias("tx"), "sx", "sy", "confidence"))
 
 
 # ---------------------------------------------------------------- tone and output
@@ -545,26 +738,26 @@ def _merged(spark, d, planes=1) -> DataFrame:
     return merge.temporal_average(px(spark, d, planes))
 
 
-@query("q_bit_depth", _sql(_px(4), _MERGED, "b AS (SELECT burst, y, x, c, v, v * (4095.0 / 50) + round(2.0 * (4095.0 / 50)) AS v12 FROM mg)", select=f"SELECT {_PIX}, round(v * (255.0 / 50), 6) AS v8, round(v12, 6) AS v12, round(v12 + (CASE c WHEN 0 THEN round((1.5 - 2.0) * (4095.0 / 50)) WHEN 2 THEN round((2.5 - 2.0) * (4095.0 / 50)) ELSE 0 END), 6) AS v12_delta FROM b"))
+@query("q_bit_depth", lambda: _sql(_px(4), _MERGED, "b AS (SELECT burst, y, x, c, v, v * (4095.0 / 50) + round(2.0 * (4095.0 / 50)) AS v12 FROM mg)", select=f"SELECT {_PIX}, round(v * (255.0 / 50), 6) AS v8, round(v12, 6) AS v12, round(v12 + (CASE c WHEN 0 THEN round((1.5 - 2.0) * (4095.0 / 50)) WHEN 2 THEN round((2.5 - 2.0) * (4095.0 / 50)) ELSE 0 END), 6) AS v12_delta FROM b"))
 def _(spark, d):
     v = F.col("v")
     m = _merged(spark, d, 4).select("burst", "y", "x", "c", tone.bit_depth(v, 8, WHITE, BLACK).alias("v8"), tone.bit_depth(v, 12, WHITE, BLACK).alias("v12"))
     return rounded(m.withColumn("v12_delta", tone.black_delta(F.col("v12"), F.col("c"), [1.5, 0.0, 2.5, 2.0], BLACK, 4095.0 / WHITE)))
 
 
-@query("q_exposure_linear", _sql(_px(), _MERGED, "e AS (SELECT burst, y, x, c, greatest(0, v * pow(2, 1.3)) AS v FROM mg)", "t AS (SELECT max(v) AS top FROM e)", select=f"SELECT {_PIX}, round(CASE WHEN top > 50 THEN v * 50 / top ELSE v END, 6) AS v FROM e CROSS JOIN t"))
+@query("q_exposure_linear", lambda: _sql(_px(), _MERGED, "e AS (SELECT burst, y, x, c, greatest(0, v * pow(2, 1.3)) AS v FROM mg)", "t AS (SELECT max(v) AS top FROM e)", select=f"SELECT {_PIX}, round(CASE WHEN top > 50 THEN v * 50 / top ELSE v END, 6) AS v FROM e CROSS JOIN t"))
 def _(spark, d):
     return rounded(tone.exposure_linear(_merged(spark, d), 1.3, WHITE))
 
 
-@query("q_exposure_curve", _sql(_px(), _MERGED, "e AS (SELECT burst, y, x, c, greatest(0, v * pow(2, 1.3)) AS v FROM mg)", select=f"SELECT {_PIX}, round(50 * v / (v + 50), 6) AS v FROM e"))
+@query("q_exposure_curve", lambda: _sql(_px(), _MERGED, "e AS (SELECT burst, y, x, c, greatest(0, v * pow(2, 1.3)) AS v FROM mg)", select=f"SELECT {_PIX}, round(50 * v / (v + 50), 6) AS v FROM e"))
 def _(spark, d):
     return rounded(_merged(spark, d).withColumn("v", tone.exposure_curve(F.col("v"), 1.3, WHITE)))
 
 
 @query(
     "q_reinhard_local",
-    _sql(
+    lambda: _sql(
         _px(4), "m0 AS (SELECT burst, 0 AS frame, y, x, c, avg(v) AS v FROM px GROUP BY ALL)", _stencil("m0", "b1", _BOX(1)),
         "b1v AS (SELECT burst, frame, y, x, c, b AS v FROM b1)", _stencil("b1v", "b2", _BOX(1)),
         "gd AS (SELECT m0.burst, m0.y, m0.x, m0.c, m0.v, max(b2.b) OVER (PARTITION BY m0.y, m0.x) AS g, max(m0.v) OVER () AS top FROM m0 JOIN b2 USING (y, x, c))",
@@ -580,7 +773,7 @@ def _(spark, d):
     return rounded(tone.reinhard_local(_merged(spark, d, 4), 2.0, WHITE, 1.5, BLACK))
 
 
-@query("q_quantize", _sql(_px(), _MERGED, "s AS (SELECT burst, y, x, c, round(v, 4) AS v FROM mg)", select=f"SELECT {_PIX}, CAST(round(greatest(0, least(v, 20))) AS INTEGER) AS raw, CAST(round(greatest(0, least(v * 65535.0 / 50, 65535))) AS INTEGER) AS png16, CAST(round(greatest(0, least(v * 255.0 / 50, 255))) AS INTEGER) AS jpeg8 FROM s"))
+@query("q_quantize", lambda: _sql(_px(), _MERGED, "s AS (SELECT burst, y, x, c, round(v, 4) AS v FROM mg)", select=f"SELECT {_PIX}, CAST(round(greatest(0, least(v, 20))) AS INTEGER) AS raw, CAST(round(greatest(0, least(v * 65535.0 / 50, 65535))) AS INTEGER) AS png16, CAST(round(greatest(0, least(v * 255.0 / 50, 255))) AS INTEGER) AS jpeg8 FROM s"))
 def _(spark, d):
     v = F.round("v", 4)
     return _merged(spark, d).select("burst", "y", "x", "c", tone.quantize(v, 20.0).alias("raw"), tone.quantize(v, WHITE, 65535.0).alias("png16"), tone.quantize(v, WHITE, 255.0).alias("jpeg8"))
@@ -588,20 +781,81 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- sources, lens, frequency merges
 
+_EXTENSIONS = [*files.RAW, *files.RGB, "TXT"]
+
 
 @query(
     "q_classify_inputs",
-    "WITH e AS (SELECT p_size AS burst, lower(regexp_extract(p_brand || '/img' || p_partkey || (CASE p_partkey % 5 WHEN 0 THEN '.DNG' WHEN 1 THEN '.arw' WHEN 2 THEN '.tif' WHEN 3 THEN '.JPG' ELSE '.txt' END), '\\.([^.]*)$', 1)) AS x FROM part), k AS (SELECT burst, x IN ('dng', 'arw') AS raw, x IN ('tif', 'jpg') AS rgb FROM e) SELECT burst, CASE WHEN bool_or(NOT raw AND NOT rgb) THEN 'unknown' WHEN bool_or(raw) AND bool_or(rgb) THEN 'mixed' WHEN bool_or(raw) THEN 'raw' ELSE 'rgb' END AS kind, count(*) FILTER (raw) AS n_raw FROM k GROUP BY burst",
+    lambda: f"""WITH e AS (SELECT p_size AS burst, lower([{', '.join(f"'{x.upper() if i % 3 else x}'" for i, x in enumerate(_EXTENSIONS))}][p_partkey % {len(_EXTENSIONS)} + 1]) AS x FROM part),
+k AS (SELECT burst, x IN ({', '.join(f"'{x}'" for x in files.RAW)}) AS raw, x IN ('jpg', 'jpeg', 'png', 'bmp', 'tif', 'tiff') AS rgb FROM e)
+SELECT burst, CASE WHEN bool_or(NOT raw AND NOT rgb) THEN 'unknown' WHEN bool_or(raw) AND bool_or(rgb) THEN 'mixed' WHEN bool_or(raw) THEN 'raw' ELSE 'rgb' END AS kind, count(*) FILTER (raw) AS n_raw FROM k GROUP BY burst""",
+)
+def _(spark, d):
+    return files.classify(_part_files(spark, d, F.col("p_size")))
+
+
+def _part_files(spark, d, burst) -> DataFrame:
+    end = F.element_at(F.array(*(F.lit(x.upper() if i % 3 else x) for i, x in enumerate(_EXTENSIONS))), (F.col("p_partkey") % len(_EXTENSIONS) + 1).cast("int"))
+    return adapters.read(spark, d, "part").select(burst.alias("burst"), F.concat("p_brand", F.lit("/img"), F.col("p_partkey").cast("string"), F.lit("."), end).alias("path"))
+
+
+@query(
+    "q_input_extensions",
+    lambda: f"""WITH e AS (SELECT lower([{', '.join(f"'{x}'" for x in _EXTENSIONS)}][p_partkey % {len(_EXTENSIONS)} + 1]) AS ext, count(*) AS n FROM part GROUP BY 1)
+SELECT ext, n, position('.' || ext || '.' IN '.dng.arw.cr2.cr3.nef.nrw.orf.raf.rw2.pef.srw.x3f.sr2.srf.kdc.dcr.k25.mdc.mef.mrw.iiq.eip.bay.3fr.fff.mos.') > 0 AS is_raw, position('.' || ext || '.' IN '.jpg.jpeg.png.bmp.tif.tiff.') > 0 AS is_rgb FROM e""",
+)
+def _(spark, d):
+    ext = files.extension(F.col("path"))
+    got = _part_files(spark, d, F.lit(0)).groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    return got.select("ext", "n", F.col("ext").isin(*files.RAW).alias("is_raw"), F.col("ext").isin(*files.RGB).alias("is_rgb"))
+
+
+@query("q_keep_raw", lambda: f"""WITH e AS (SELECT p_partkey, lower([{', '.join(f"'{x}'" for x in _EXTENSIONS)}][p_partkey % {len(_EXTENSIONS)} + 1]) AS x FROM part) SELECT CAST(p_partkey AS VARCHAR) AS name FROM e WHERE x NOT IN ('jpg', 'jpeg', 'png', 'bmp', 'tif', 'tiff', 'txt')""")
+def _(spark, d):
+    return files.keep_raw(_part_files(spark, d, F.lit(0))).select(F.regexp_extract("path", r"img([0-9]+)\.", 1).alias("name"))
+
+
+@query(
+    "q_metadata",
+    lambda: """WITH e AS (SELECT l_orderkey, l_linenumber, l_discount AS time, CAST(l_quantity AS INTEGER) % 3 * 100 AS iso, l_partkey % 4 * 50 AS rating, l_suppkey % 2 * 25 AS standard, round(l_tax * 100) AS f FROM lineitem),
+k AS (SELECT *, CASE WHEN iso > 0 THEN iso WHEN rating > 0 THEN rating WHEN standard > 0 THEN standard ELSE 0 END AS s FROM e),
+z AS (SELECT *, CASE WHEN time > 0 AND s > 0 THEN CASE WHEN f > 0 THEN time * s / (f * f) ELSE time * s END ELSE 0 END AS ev FROM k)
+SELECT l_orderkey, l_linenumber, CAST(s AS BIGINT) AS iso, round(ev, 6) AS ev, CASE WHEN time * 20000 <= 255 THEN 8 WHEN time * 20000 <= 4095 THEN 12 WHEN time * 20000 <= 16383 THEN 14 ELSE 16 END AS depth FROM z""",
+)
+def _(spark, d):
+    t = adapters.read(spark, d, "lineitem")
+    iso = metadata.sensitivity(F.col("l_quantity").cast("int") % 3 * 100, F.col("l_partkey") % 4 * 50, F.col("l_suppkey") % 2 * 25).cast("long")
+    t = t.withColumn("iso", iso)
+    return rounded(t.select("l_orderkey", "l_linenumber", "iso", metadata.exposure_value(F.col("l_discount"), F.col("iso"), F.round(F.col("l_tax") * 100)).alias("ev"), metadata.depth_of_white(F.col("l_discount") * 20000).alias("depth")))
+
+
+@query(
+    "q_levels",
+    lambda: """WITH e AS (SELECT vec_id, [floor(CAST(z AS DOUBLE) * 8) FOR z IN embedding[1:4]] AS b, [CASE WHEN z > 0 THEN floor(CAST(z AS DOUBLE) * 8) + 1 ELSE 0 END FOR z IN embedding[5:7]] AS a FROM embeddings),
+k AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN [b[1], b[1], b[1], b[1]] WHEN vec_id % 3 = 1 THEN [b[1], b[2], 0, 0] ELSE b END AS black, a FROM e)
+SELECT vec_id, round(coalesce(list_avg([x FOR x IN black IF x > 0]), 0), 6) AS mean_black, coalesce(list_min([x FOR x IN black IF x > 0]), 0) AS min_black, round(list_sum(black), 6) AS all_black, round(list_sum([CASE WHEN x <> 0 THEN 1 / x ELSE 1 END FOR x IN a]) + 1, 6) AS factors FROM k""",
 )
 def _(spark, d):
-    p = adapters.read(spark, d, "part")
-    end = F.element_at(F.array(*map(F.lit, (".DNG", ".arw", ".tif", ".JPG", ".txt"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return files.classify(p.select(F.col("p_size").alias("burst"), F.concat("p_brand", F.lit("/img"), F.col("p_partkey").cast("string"), end).alias("path")))
+    e = adapters.read(spark, d, "embeddings")
+    part = lambda at, n: F.transform(F.slice("embedding", at, n), lambda z: F.floor(z.cast("double") * 8).cast("double"))
+    rows, columns = F.when(F.col("vec_id") % 3 == 2, 2).otherwise(1), F.when(F.col("vec_id") % 3 == 0, 1).otherwise(2)
+    balance = F.transform(F.slice("embedding", 5, 3), lambda z: F.when(z > 0, F.floor(z.cast("double") * 8) + 1).otherwise(0).cast("double"))
+    e = e.select("vec_id", metadata.black_levels(part(1, 4), rows, columns).alias("black"), metadata.colour_factors(balance).alias("a"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+    return rounded(e.select("vec_id", stats.mean_positive(F.col("black")).alias("mean_black"), stats.min_positive(F.col("black")).alias("min_black"), total("black").alias("all_black"), total("a").alias("factors")))
 
 
-def _knots(spark, d) -> DataFrame:
-    e = adapters.read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("e"))
-    return e.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * 4096).cast("int")).alias("knots"))
+@query(
+    "q_settings_values",
+    lambda: """SELECT p_partkey, round(greatest(0.2, 0.12 * pow(1.3, 0.5 * (36 - floor(p_size % 30 + 0.5))) - 0.4529822), 6) AS robustness, CASE WHEN p_size % 20 BETWEEN 1 AND 16 THEN pow(2, p_size % 20) - 1 ELSE 1000 END AS white, greatest(16, p_size) AS tile,
+CASE WHEN p_size % 20 <= 8 THEN 8 ELSE 16 END AS png_depth FROM part""",
+)
+def _(spark, d):
+    from .plans.settings import Settings
+
+    known = [(i, stats.robustness(i % 30), tone.target_white(i % 20, 1000.0), Settings(tile=i).tile, tone.snap_depth(i % 20, "png")) for i in range(1, 51)]  # sizes of parts
+    table = spark.createDataFrame(known, "p_size int, robustness double, white double, tile int, png_depth int")
+    return rounded(adapters.read(spark, d, "part").select("p_partkey", "p_size").join(table, "p_size").drop("p_size"))
 
 
 def _knot_parts(spark, d) -> DataFrame:
@@ -611,50 +865,135 @@ def _knot_parts(spark, d) -> DataFrame:
     return e.select("id", F.transform("e", lambda x: F.floor(x.cast("double") * 4096).cast("int")).alias("knots"))
 
 
-def _by_part(fits: DataFrame) -> DataFrame:
+def _by_part(fits: DataFrame, *columns) -> DataFrame:
     part = F.pmod("id", F.lit(4))
-    return fits.select(((F.col("id") - part) / 4).cast("long").alias("vec_id"), part.cast("int").alias("part"), "k")
+    return fits.select(((F.col("id") - part) / 4).cast("long").alias("vec_id"), part.cast("int").alias("part"), *columns)
 
 
-_KNOTS = "kn AS (SELECT vec_id, [CAST(floor(CAST(z AS DOUBLE) * 4096) AS INTEGER) FOR z IN embedding[1:16]] AS k FROM embeddings)"
+_KNOTS = "kn AS (SELECT vec_id, CAST(part AS INTEGER) AS part, [CAST(floor(CAST(z AS DOUBLE) * 4096) AS INTEGER) FOR z IN embedding[part * 16 + 1:part * 16 + 16]] AS k FROM embeddings CROSS JOIN range(4) r(part))"
 
 
 @query(
     "q_lens_distortion_moments",
-    _sql(
-        _KNOTS, "pt AS (SELECT vec_id, pow((i - 1) / 15.0, 2) AS x, (1 + k[i] / 16384.0) / (1 + k[16] / 16384.0) AS y FROM kn CROSS JOIN range(1, 17) r(i))",
-        select="SELECT vec_id, " + ", ".join(f"round(sum(pow(x, {k})), 6) AS s{k}" for k in range(7)) + ", " + ", ".join(f"round(sum(pow(x, {k}) * y), 6) AS t{k}" for k in range(4)) + " FROM pt GROUP BY vec_id",
+    lambda: _sql(
+        _KNOTS, "pt AS (SELECT vec_id, part, pow((i - 1) / 15.0, 2) AS x, (1 + k[i] / 16384.0) / (1 + k[16] / 16384.0) AS y FROM kn CROSS JOIN range(1, 17) r(i))",
+        select="SELECT vec_id, part, " + ", ".join(f"round(sum(pow(x, {k})), 6) AS s{k}" for k in range(7)) + ", " + ", ".join(f"round(sum(pow(x, {k}) * y), 6) AS t{k}" for k in range(4)) + " FROM pt GROUP BY vec_id, part",
     ),
 )
 def _(spark, d):
-    points = _knots(spark, d).select("vec_id", F.explode(lens.distortion_points(F.col("knots"))).alias("p")).select("vec_id", "p.*")
-    return rounded(lens.moments(points, "vec_id", 3))
+    points = _knot_parts(spark, d).select("id", F.explode(lens.distortion_points(F.col("knots"))).alias("p")).select("id", "p.*")
+    return rounded(_by_part(lens.moments(points, "id", 3), *(F.col(f"s{k}") for k in range(7)), *(F.col(f"t{k}") for k in range(4))))
+
+
+def _fit_sql(x: np.ndarray, powers: range, y: str) -> str:
+    """Least squares on fixed abscissas: the pseudo-inverse's rows times the ordinates, to three places."""
+    p = np.linalg.pinv(np.stack([x**k for k in powers], 1))
+    values = ", ".join(f"({j}, {i + 1}, {v:.17e})" for j, row in enumerate(p.tolist()) for i, v in enumerate(row))
+    return _sql(_KNOTS, f"c(term, i, w) AS (VALUES {values})", select=f"SELECT vec_id, part, term, floor(sum(w * {y}) * 1e3 + 0.53) / 1e3 AS k FROM kn CROSS JOIN c GROUP BY vec_id, part, term")
+
+
+def _terms(fits: DataFrame) -> DataFrame:
+    one = _by_part(fits, F.posexplode("k").alias("term", "k"))
+    return one.withColumn("k", F.floor(F.col("k") * 1e3 + 0.53) / 1e3)
 
 
-@query("q_lens_fit_solve")
+@query("q_lens_fit_solve", lambda: _fit_sql((np.arange(16) / 15) ** 2, range(4), "(1 + k[i] / 16384.0) / (1 + k[16] / 16384.0)"))
 def _(spark, d):
     points = _knot_parts(spark, d).select("id", F.explode(lens.distortion_points(F.col("knots"))).alias("p")).select("id", "p.*")
-    return _by_part(lens.solve(lens.moments(points, "id", 3), "id", 3))
+    return _terms(lens.solve(lens.moments(points, "id", 3), "id", 3))
 
 
-@query("q_lens_vignette_solve")
+@query("q_lens_vignette_solve", lambda: _fit_sql((np.arange(15) / 14) ** 2, range(1, 6), "(k[i] - k[1]) / 16384.0"))
 def _(spark, d):
     points = _knot_parts(spark, d).select("id", F.explode(lens.vignette_points(F.col("knots"))).alias("p")).select("id", "p.*")
-    return _by_part(lens.solve(lens.moments(points, "id", 5), "id", 5, constant=False))
+    return _terms(lens.solve(lens.moments(points, "id", 5), "id", 5, constant=False))
 
 
-@query("q_lens_gain", "SELECT event_id, round(1.0 + 0.1 * pow(r, 2) - 0.05 * pow(r, 4), 6) AS warp, round(1 + 0.3 * pow(r, 2) + 0.2 * pow(r, 4), 6) AS gain FROM (SELECT event_id, abs(value) / (1 + abs(value)) AS r FROM events)")
+@query(
+    "q_knot_parse",
+    lambda: "WITH v AS (SELECT vec_id, vec_id % 2 = 0 AS counted, [CAST(floor(CAST(z AS DOUBLE) * 4096) AS INTEGER) FOR z IN embedding[1:16]] AS k FROM embeddings) SELECT vec_id, list_sum(k) AS total, k[1] AS first, k[16] AS last FROM v",
+)
+def _(spark, d):
+    e = adapters.read(spark, d, "embeddings")
+    k = F.array_join(F.transform(F.slice("embedding", 1, 16), lambda z: F.floor(z.cast("double") * 4096).cast("string")), " ")
+    text = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("16  "), k)).otherwise(k)
+    got = e.select("vec_id", lens.parse_knots(text).alias("k"))
+    return got.select("vec_id", F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.get("k", F.lit(0)).alias("first"), F.get("k", F.lit(15)).alias("last"))
+
+
+@query("q_lens_gain", lambda: "SELECT event_id, round(1.0 + 0.1 * pow(r, 2) - 0.05 * pow(r, 4), 6) AS warp, round(1 + 0.3 * pow(r, 2) + 0.2 * pow(r, 4), 6) AS gain FROM (SELECT event_id, abs(value) / (1 + abs(value)) AS r FROM events)")
 def _(spark, d):
     e = adapters.read(spark, d, "events").select("event_id", (F.abs("value") / (1 + F.abs("value"))).alias("r"))
     return rounded(e.select("event_id", lens.warp_factor(F.col("r"), [1.0, 0.1, -0.05]).alias("warp"), lens.vignette_gain(F.col("r"), [0.3, 0.2]).alias("gain")))
 
 
+def _wiener_sql(robust: bool) -> str:
+    """The merge by sums over a Fourier basis: spectra, the best of 49 phases, blending by bin, the inverse, overlap-add."""
+    nr = 13
+    rev = 0.5 * (26.5 - int(nr + 0.5))
+    read, norm, most = (2.0 ** (10 - rev)) ** 1.6, 2.0 ** (7.5 - rev), max(1.0, 1.3 ** (11 - rev))
+    unit = lambda e: f"greatest(0, least({e}, 1))"
+    win = lambda i, n: f"(0.5 - 0.5 * cos({_TAU} * ({i} + 0.5) / {n}))"
+    edge = lambda i: f"(0.5 - 0.17 * cos({_TAU} * ({i} + 0.5) / 8))"
+    tile, bin_ = "y0, x0", "y0, x0, fy, fx"
+    ctes = [
+        _px(4), _FRAMES,
+        f"t AS (SELECT CAST(4 * a AS INTEGER) AS y0, CAST(4 * b AS INTEGER) AS x0, CAST(least(8, {SIDE} - 4 * a) AS INTEGER) AS th, CAST(least(8, {SIDE} - 4 * b) AS INTEGER) AS tw FROM range({SIDE // 4}) s(a), range({SIDE // 4}) u(b))",
+        f"tp AS (SELECT t.*, n.frame, n.ref, n.scale, n.wn, n.c, n.y - y0 AS yy, n.x - x0 AS xx, n.v, {win('(n.y - y0)', 'th')} * {win('(n.x - x0)', 'tw')} AS w FROM t JOIN norm n ON n.y >= y0 AND n.y < y0 + th AND n.x >= x0 AND n.x < x0 + tw)",
+        "bn AS (SELECT CAST(f AS INTEGER) AS fy, CAST(g AS INTEGER) AS fx FROM range(8) s(f), range(8) u(g))",
+        f"sp AS (SELECT {tile}, any_value(th) AS th, any_value(tw) AS tw, frame, any_value(ref) AS ref, any_value(scale) AS scale, any_value(wn) AS wn, c, fy, fx, sum(v * w * cos({_TAU} * (fy * yy / th + fx * xx / tw))) AS re, -sum(v * w * sin({_TAU} * (fy * yy / th + fx * xx / tw))) AS im FROM tp JOIN bn ON fy < th AND fx < tw GROUP BY {tile}, frame, c, fy, fx)",
+        f"rm AS (SELECT {tile}, avg(z) AS rms FROM (SELECT {tile}, c, 0.25 * sqrt(sum(greatest(0, v) * greatest(0, v))) / 8 AS z FROM tp WHERE frame = ref GROUP BY {tile}, c) GROUP BY {tile})",
+        "sh AS (SELECT CAST(a AS INTEGER) AS iy, CAST(b AS INTEGER) AS ix, a / 6.0 AS sy, b / 6.0 AS sx FROM range(-3, 4) s(a), range(-3, 4) u(b))",
+        f"pr AS (SELECT c.*, r.re AS rr, r.im AS ri FROM sp c JOIN sp r ON r.frame = r.ref AND c.frame <> c.ref AND r.y0 = c.y0 AND r.x0 = c.x0 AND r.c = c.c AND r.fy = c.fy AND r.fx = c.fx)",
+        f"co AS (SELECT {tile}, frame, iy, ix, any_value(sy) AS sy, any_value(sx) AS sx, sum(pow(rr - re * cos(ph) - im * sin(ph), 2) + pow(ri - im * cos(ph) + re * sin(ph), 2)) AS cost FROM (SELECT pr.*, sh.*, {_TAU} * (fx * sx / tw + fy * sy / th) AS ph FROM pr CROSS JOIN sh) GROUP BY {tile}, frame, iy, ix)",
+        f"be AS (SELECT {tile}, frame, sy, sx FROM co QUALIFY row_number() OVER (PARTITION BY {tile}, frame ORDER BY cost, iy, ix) = 1)",
+        f"mo AS (SELECT *, re * cos(ph) + im * sin(ph) AS mr, im * cos(ph) - re * sin(ph) AS mi FROM (SELECT pr.*, {_TAU} * (fx * sx / tw + fy * sy / th) AS ph FROM pr JOIN be USING (y0, x0, frame)))",
+    ]
+    if robust:
+        ctes += [
+            f"df AS (SELECT {tile}, frame, any_value(scale) AS scale, sum(u * d) / sum(u) AS diff FROM (SELECT t.y0, t.x0, a.frame, any_value(a.scale) AS scale, {edge('(a.y - t.y0 + 4)')} * {edge('(a.x - t.x0 + 4)')} AS u, avg(abs(a.v - b.v)) AS d FROM t JOIN norm a ON a.frame <> a.ref AND a.y >= t.y0 - 4 AND a.y < t.y0 + 12 AND a.x >= t.x0 - 4 AND a.x < t.x0 + 12 JOIN norm b ON b.frame = b.ref AND b.y = a.y AND b.x = a.x AND b.c = a.c GROUP BY t.y0, t.x0, a.frame, a.y, a.x) GROUP BY {tile}, frame)",
+            f"ms AS (SELECT {tile}, frame, 1 / greatest(1e-6, scale) AS ef, rms, diff / greatest(1e-9, sqrt(0.5 * rms + 0.5 * rms / greatest(1, 1 / greatest(1e-6, scale)) + 1)) AS raw FROM df JOIN rm USING (y0, x0))",
+            f"mm AS (SELECT *, {unit(f'raw * 0.12 / greatest(1e-12, avg(raw) OVER (PARTITION BY {tile}))')} AS m FROM ms)",
+            f"hl AS (SELECT {tile}, frame, avg({unit(f'((top / greatest(1e-6, scale) + {BLACK}) / {WHITE} - 0.5) / 0.49')}) AS clipped FROM (SELECT {tile}, frame, any_value(scale) AS scale, yy, xx, greatest(0, max(v)) AS top FROM tp WHERE frame <> ref GROUP BY {tile}, frame, yy, xx) GROUP BY {tile}, frame)",
+            f"st AS (SELECT mm.*, greatest(0.04 / least(greatest(1, ef), 4), least(pow(1 - clipped, 2), 1)) AS bright, greatest(1, least({most} - (m - 0.02) * {most - 1} / 0.15, {most})) AS motion FROM mm JOIN hl USING (y0, x0, frame))",
+            f"bw AS (SELECT {bin_}, frame, CASE WHEN fx + fy > 0 AND m < 0.3 AND abs(ef - 1) < 1e-3 THEN {unit('1 - 10 * (m - 0.2)')} * greatest(0.5, least(pow(sum(sqrt(mr * mr + mi * mi)) / greatest(1e-12, sum(sqrt(rr * rr + ri * ri))), 4), 3)) ELSE 1 END * least(4, ef) * sqrt(motion) * (rms + {read}) * 64 * {norm} * bright AS noise FROM mo JOIN st USING (y0, x0, frame) GROUP BY {bin_}, frame, m, ef, motion, rms, bright)",
+        ]
+    else:
+        ctes.append(f"bw AS (SELECT DISTINCT {bin_}, frame, (rms + {read}) * 64 * {norm} AS noise FROM mo JOIN rm USING (y0, x0))")
+    ctes += [
+        f"wc AS (SELECT mo.*, (pow(rr - mr, 2) + pow(ri - mi, 2)) / (pow(rr - mr, 2) + pow(ri - mi, 2) + greatest(1e-9, noise)) AS q FROM mo JOIN bw USING (y0, x0, fy, fx, frame))",
+        f"wt AS (SELECT {bin_}, frame, {unit('0.5 * (sum(q) - min(q) - max(q))')} AS g FROM wc GROUP BY {bin_}, frame)",
+        f"ad AS (SELECT {bin_}, c, sum(k * ((1 - g) * mr + g * rr)) AS re, sum(k * ((1 - g) * mi + g * ri)) AS im FROM (SELECT wc.*, g, {'1' if robust else 'wn'} AS k FROM wc JOIN wt USING (y0, x0, fy, fx, frame)) GROUP BY {bin_}, c)",
+        f"to_ AS (SELECT s.y0, s.x0, s.th, s.tw, s.fy, s.fx, s.c, s.re + ad.re AS re, s.im + ad.im AS im FROM sp s JOIN ad USING (y0, x0, fy, fx, c) WHERE s.frame = s.ref)",
+    ]
+    last = "to_"
+    if robust:
+        gains = ", ".join(f"({i}, {v}e0)" for i, v in enumerate(wiener.SHARPEN.tolist()))
+        ctes += [
+            f"mg AS (SELECT {bin_}, sum(sqrt(re * re + im * im)) AS mag FROM to_ GROUP BY {bin_})",
+            f"av AS (SELECT {tile}, avg(m) AS am FROM mm GROUP BY {tile})",
+            f"gs(i, cw) AS (VALUES {gains})",
+            f"ga AS (SELECT mg.*, CASE WHEN fx + fy = 0 OR am >= 0.3 THEN 1 ELSE (1 + {unit('1 - 10 * (am - 0.2)')} * {unit('1.25 - 25 * mag / greatest(1e-12, first_value(mag) OVER (PARTITION BY y0, x0 ORDER BY fy, fx))')} * a.cw) * (1 + {unit('1 - 10 * (am - 0.2)')} * {unit('1.25 - 25 * mag / greatest(1e-12, first_value(mag) OVER (PARTITION BY y0, x0 ORDER BY fy, fx))')} * b.cw) END AS gain FROM mg JOIN av USING (y0, x0) JOIN gs a ON a.i = fx JOIN gs b ON b.i = fy)",
+            "sg AS (SELECT to_.* EXCLUDE (re, im), re * gain AS re, im * gain AS im FROM to_ JOIN ga USING (y0, x0, fy, fx))",
+        ]
+        last = "sg"
+    share = "(SELECT count(*) FROM frames)" if robust else "(SELECT sum(CASE WHEN frame = ref THEN 1 ELSE 1 / scale END) FROM sc)"
+    ctes.append(f"iv AS (SELECT p.y0, p.x0, p.yy, p.xx, s.c, any_value(p.w) AS w, sum(s.re * cos({_TAU} * (s.fy * p.yy / s.th + s.fx * p.xx / s.tw)) - s.im * sin({_TAU} * (s.fy * p.yy / s.th + s.fx * p.xx / s.tw))) / any_value(s.th * s.tw) / {share} AS v FROM {last} s JOIN (SELECT DISTINCT {tile}, yy, xx, w FROM tp WHERE frame = ref AND c = 0) p ON p.y0 = s.y0 AND p.x0 = s.x0 GROUP BY p.y0, p.x0, p.yy, p.xx, s.c)")
+    if robust:
+        ctes.append("ps AS (SELECT oy, ox, y0 + yy AS y, x0 + xx AS x, c, sum(v) / greatest(1e-6, sum(w)) AS v, sum(w) AS w FROM iv JOIN (VALUES (0, 0), (0, 4), (4, 0), (4, 4)) o(oy, ox) ON y0 >= oy AND x0 >= ox GROUP BY ALL)")
+        return _sql(*ctes, select="SELECT 0 AS burst, y, x, c, round(sum(greatest(v, -1)) / greatest(1, count(*) FILTER (w > 1e-6)), 6) AS v FROM ps GROUP BY y, x, c")
+    return _sql(*ctes, select="SELECT 0 AS burst, y0 + yy AS y, x0 + xx AS x, c, round(sum(v) / greatest(1e-6, sum(w)), 6) AS v FROM iv GROUP BY ALL")
+
+
 def _wiener(robust: bool):
     def run(spark, d):
-        return wiener.merge(normal(spark, d, 4), 13, robust, bracketed=not robust, white=WHITE, black=BLACK)
+        return rounded(wiener.merge(normal(spark, d, 4), 13, robust, bracketed=not robust, white=WHITE, black=BLACK))
 
     return run
 
 
-query("q_wiener_std")(_wiener(False))
-query("q_wiener_robust")(_wiener(True))
+query("q_wiener_std", lambda: _wiener_sql(False))(_wiener(False))
+query("q_wiener_robust", lambda: _wiener_sql(True))(_wiener(True))
+
+
+ORACLE_SQL.update(oracle_sql())

@@ -2,22 +2,28 @@
 
 A shift (dx, dy) compares ref[y, x] with cmp[y - dy, x - dx].  Ties go to the
 first shift in dy-major order.  px is a gray burst; refs(burst, ref) names each
-burst's reference.  All joins are equi-joins on computed coordinates.
+burst's reference.  A search runs block by block: one join brings a block's cells
+of the reference and the cells that its shifts meet to a task, which tries all
+candidates in arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import checkpointed
-from . import stencil
+from . import blocks, stencil
 
 OUTSIDE = 65504.0
 
 
 def _sides(px: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    both = px.join(F.broadcast(refs), "burst")  # one row a burst
+    both = px.join(blocks.few(refs), "burst")
     ref = both.where(F.col("frame") == F.col("ref")).select("burst", "y", "x", F.col("v").alias("r"))
     return ref, both.where(F.col("frame") != F.col("ref")).select("burst", "frame", "y", "x", "v")
 
@@ -34,16 +40,34 @@ def _first_best(cost: str) -> Column:
 
 def sparse_sad(px: DataFrame, refs: DataFrame, radius: int, width: int, height: int, step: int = 1, start: DataFrame | None = None) -> DataFrame:
     """Best whole-frame shift of each frame within radius of its start (burst, frame, dx, dy; else zero) by the mean absolute difference over the common area, on a grid of step.  Frames whose shifts leave no common cell have no row."""
-    ref, moved = _sides(px, refs)
+    ref, cmp = _sides(px, refs)
     if start is None:
-        moved = moved.withColumn("x0", F.lit(0)).withColumn("y0", F.lit(0))
-    else:
-        moved = moved.join(start.select("burst", "frame", F.col("dx").alias("x0"), F.col("dy").alias("y0")), ["burst", "frame"])
-    for axis, size in (("y", height), ("x", width)):  # one axis after the other, so that cells off the grid go early
-        moved = moved.withColumn(f"d{axis}", F.explode(F.sequence(F.col(f"{axis}0") - radius, F.col(f"{axis}0") + radius))).withColumn(axis, F.col(axis) + F.col(f"d{axis}"))
-        far = F.abs(f"d{axis}")
-        moved = moved.where((F.col(axis) >= far) & (F.col(axis) < size - far) & ((F.col(axis) - far) % step == 0))
-    cost = moved.join(ref, ["burst", "y", "x"]).groupBy("burst", "frame", "dy", "dx").agg(F.avg(F.abs(F.col("r") - F.col("v"))).alias("sad"))
+        start = cmp.select("burst", "frame").distinct().select("*", F.lit(0).alias("dx"), F.lit(0).alias("dy"))
+    grid = start.select("burst", "frame", F.col("dy").cast("int").alias("y0"), F.col("dx").cast("int").alias("x0"), blocks.block_range(F.lit(0), F.lit(height - 1)).alias("by")).withColumn("bx", blocks.block_range(F.lit(0), F.lit(width - 1)))
+    ends = F.explode(F.array(*(F.struct(F.lit(-1).alias("ty"), F.lit(-1).alias("tx"), (F.col("y0") + k).alias("dy"), (F.col("x0") + k).alias("dx")) for k in (-radius, radius))))
+    asks = grid.select("burst", "frame", "by", "bx", ends.alias("k")).select("burst", "frame", "by", "bx", "k.*", F.lit(0).alias("ord"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = lambda r: blocks.region(*(pdf.loc[pdf.role == r, c].to_numpy() for c in ("y", "x", "v")))
+        own, other, ask = side(0), side(1), pdf[pdf.role == 2]
+        a, y0, x0 = own
+        out = []
+        for dy in range(int(ask.dy.min()), int(ask.dy.max()) + 1):
+            ys = np.arange(y0, y0 + a.shape[0])
+            ys = ys[(ys >= abs(dy)) & (ys < height - abs(dy)) & ((ys - abs(dy)) % step == 0)]
+            for dx in range(int(ask.dx.min()), int(ask.dx.max()) + 1) if len(ys) else ():
+                xs = np.arange(x0, x0 + a.shape[1])
+                xs = xs[(xs >= abs(dx)) & (xs < width - abs(dx)) & ((xs - abs(dx)) % step == 0)]
+                if len(xs):
+                    met = other[0][np.ix_(ys - dy - other[1], xs - dx - other[2])]
+                    out.append((dy, dx, float(np.abs(a[np.ix_(ys - y0, xs - x0)] - met).sum()), len(ys) * len(xs)))
+        got = pd.DataFrame(out, columns=["dy", "dx", "total", "n"])
+        got.insert(0, "frame", pdf.frame.iloc[0])
+        got.insert(0, "burst", pdf.burst.iloc[0])
+        return got
+
+    parts = blocks.with_cells(asks, ref, cmp, 0).groupBy("burst", "frame", "by", "bx").applyInPandas(one, f"burst {dict(px.dtypes)['burst']}, frame {dict(px.dtypes)['frame']}, dy int, dx int, total double, n long")
+    cost = parts.groupBy("burst", "frame", "dy", "dx").agg((F.sum("total") / F.sum("n")).alias("sad"))
     return cost.groupBy("burst", "frame").agg(_first_best("sad").alias("b")).select("burst", "frame", "b.dx", "b.dy", F.col("b.cost").alias("sad"))
 
 
@@ -62,22 +86,60 @@ def global_search(px: DataFrame, refs: DataFrame, tile: int, width: int, height:
     return best.withColumn("confidence", F.coalesce(1 / (1 + F.col("sad")), F.lit(0.0)))
 
 
-def tiles_of(pos: str, tile: int, stride: int, n: int) -> Column:
-    """Indexes of the tiles along an axis that cover a cell."""
-    last = F.least(F.expr(f"int({pos} div {stride})"), F.lit(n - 1))
-    first = F.greatest(F.expr(f"int(({pos} - {tile - 1} + {stride - 1}) div {stride})"), F.lit(0))
-    return F.filter(F.sequence(first, F.greatest(first, last)), lambda t: (t * stride <= F.col(pos)) & (F.col(pos) < t * stride + tile) & (t < n))
+def _tiles(px: DataFrame, refs: DataFrame, candidates: DataFrame, tile: int, stride: int, squared: bool, choose: Callable, columns: str) -> DataFrame:
+    """choose(shifts (n, 2) as dy and dx, costs) of each tile with candidates (burst, frame, ty, tx, dy, dx, by ord if they have one, else dy-major): summed difference, cells outside cost OUTSIDE."""
+    ref, cmp = _sides(px, refs)
+    first = lambda t: F.floor(F.col(t) * stride / blocks.BLOCK).cast("int")
+    own_order = F.min("ord" if "ord" in candidates.columns else F.lit(0)).alias("ord")
+    asks = candidates.groupBy("burst", "frame", "ty", "tx", "dy", "dx").agg(own_order).withColumn("by", first("ty")).withColumn("bx", first("tx"))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = lambda r: blocks.region(*(pdf.loc[pdf.role == r, c].to_numpy() for c in ("y", "x", "v")))
+        own, other, ask = side(0), side(1), pdf[pdf.role == 2].sort_values(["y", "x", "v", "dy", "dx"])
+        out = []
+        for (ty, tx), shifts in ask.groupby(["y", "x"]):
+            shifts = shifts[["dy", "dx"]].to_numpy()
+            r = blocks.cut(own, ty * stride, tx * stride, tile, tile)
+            inside = ~np.isnan(r)
+            low, high = shifts.min(0), shifts.max(0)
+            m = blocks.cut(other, ty * stride - high[0], tx * stride - high[1], tile + high[0] - low[0], tile + high[1] - low[1])
+            costs = np.empty(len(shifts))
+            for i, (dy, dx) in enumerate(shifts.tolist()):
+                at = m[high[0] - dy : high[0] - dy + tile, high[1] - dx : high[1] - dx + tile]
+                d = np.abs(r[inside] - at[inside])
+                d[np.isnan(d)] = OUTSIDE
+                costs[i] = (d * d if squared else d).sum()
+            out.append((ty, tx, *choose(shifts, costs)))
+        got = pd.DataFrame(out, columns=names)
+        got.insert(0, "frame", pdf.frame.iloc[0])
+        got.insert(0, "burst", pdf.burst.iloc[0])
+        return got
+
+    kinds = dict(px.dtypes)
+    return blocks.with_cells(asks, ref, cmp, tile - 1).groupBy("burst", "frame", "by", "bx").applyInPandas(one, f"burst {kinds['burst']}, frame {kinds['frame']}, {columns}")
 
 
 def tile_search(px: DataFrame, refs: DataFrame, candidates: DataFrame, tile: int, stride: int, grid: tuple[int, int], squared: bool = False) -> DataFrame:
-    """Cheapest of the candidate shifts (burst, frame, ty, tx, dy, dx) of each tile: summed difference, cells outside cost OUTSIDE."""
-    ref, cmp = _sides(px, refs)
-    cells = ref.withColumn("ty", F.explode(tiles_of("y", tile, stride, grid[1]))).withColumn("tx", F.explode(tiles_of("x", tile, stride, grid[0])))
-    asked = cells.join(candidates.distinct(), ["burst", "ty", "tx"]).withColumn("sy", F.col("y") - F.col("dy")).withColumn("sx", F.col("x") - F.col("dx"))
-    got = asked.join(cmp.select("burst", "frame", F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["burst", "frame", "sy", "sx"], "left")
-    d = F.coalesce(F.abs(F.col("r") - F.col("v")), F.lit(OUTSIDE))
-    cost = got.groupBy("burst", "frame", "ty", "tx", "dy", "dx").agg(F.sum(d * d if squared else d).alias("cost"))
-    return cost.groupBy("burst", "frame", "ty", "tx").agg(_first_best("cost").alias("b")).select("burst", "frame", "ty", "tx", "b.dx", "b.dy", F.col("b.cost").alias("cost"))
+    """Cheapest of the candidate shifts of each tile; costs that agree to six places tie."""
+
+    def cheapest(shifts: np.ndarray, costs: np.ndarray) -> tuple[int, int, float]:
+        i = int(np.argmin(costs.round(6)))
+        return shifts[i, 1], shifts[i, 0], costs[i]
+
+    inside = (F.col("ty") < grid[1]) & (F.col("tx") < grid[0])
+    return _tiles(px, refs, candidates.where(inside), tile, stride, squared, cheapest, "ty int, tx int, dx int, dy int, cost double")
+
+
+def tile_average(px: DataFrame, refs: DataFrame, candidates: DataFrame, tile: int, stride: int, squared: bool = False) -> DataFrame:
+    """Mean of the candidate shifts of each tile, weighted by the inverse of their squared costs (plus 1e-8), rounded away from zero at halves."""
+
+    def mean(shifts: np.ndarray, costs: np.ndarray) -> tuple[int, int]:
+        w = 1 / (costs * costs + 1e-8)
+        at = (shifts * w[:, None]).sum(0) / w.sum()
+        return tuple(int(v) for v in (np.sign(at) * np.floor(np.abs(at) + 0.5))[::-1])
+
+    return _tiles(px, refs, candidates, tile, stride, squared, mean, "ty int, tx int, dx int, dy int")
 
 
 def around(field: DataFrame, radius: int) -> DataFrame:
@@ -91,7 +153,7 @@ def dense_grid(width: int, height: int, tile: int) -> tuple[int, int]:
 
 
 def zero_field(px: DataFrame, refs: DataFrame, grid: tuple[int, int]) -> DataFrame:
-    frames = px.select("burst", "frame").distinct().join(F.broadcast(refs), "burst").where("frame <> ref")
+    frames = px.select("burst", "frame").distinct().join(blocks.few(refs), "burst").where("frame <> ref")
     return frames.select("burst", "frame", F.explode(F.sequence(F.lit(0), F.lit(grid[1] - 1))).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid[0] - 1))).alias("tx"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))
 
 
@@ -104,30 +166,65 @@ def propagate(field: DataFrame, grid: tuple[int, int], parent: tuple[int, int],
 
 
 def neighbour_candidates(field: DataFrame, grid: tuple[int, int]) -> DataFrame:
-    """Own shift and those of the neighbours on the far side of the parent (even: before, odd: after; clamped)."""
+    """In this order: own shift and those of the neighbours in the row and the column on the far side of the parent (even: before, odd: after; clamped)."""
     side = lambda t, n: F.greatest(F.lit(0), F.least(F.when(F.col(t) % 2 == 0, F.col(t) - 1).otherwise(F.col(t) + 1), F.lit(n - 1)))
-    asks = field.select("burst", "frame", "ty", "tx", F.explode(F.array(F.struct(F.col("ty").alias("ny"), F.col("tx").alias("nx")), F.struct(F.col("ty").alias("ny"), side("tx", grid[0]).alias("nx")), F.struct(side("ty", grid[1]).alias("ny"), F.col("tx").alias("nx")))).alias("k")).select("burst", "frame", "ty", "tx", "k.*")
-    return asks.join(field.select("burst", "frame", F.col("ty").alias("ny"), F.col("tx").alias("nx"), "dx", "dy"), ["burst", "frame", "ny", "nx"]).select("burst", "frame", "ty", "tx", "dy", "dx")
+    near = [(F.col("ty"), F.col("tx")), (F.col("ty"), side("tx", grid[0])), (side("ty", grid[1]), F.col("tx"))]
+    asks = field.select("burst", "frame", "ty", "tx", F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), y.alias("ny"), x.alias("nx")) for i, (y, x) in enumerate(near)))).alias("k")).select("burst", "frame", "ty", "tx", "k.*")
+    return asks.join(field.select("burst", "frame", F.col("ty").alias("ny"), F.col("tx").alias("nx"), "dx", "dy"), ["burst", "frame", "ny", "nx"]).select("burst", "frame", "ty", "tx", "dy", "dx", "ord")
 
 
-def dense_field(px: DataFrame, refs: DataFrame, tile: int, width: int, height: int, frequency: bool = False) -> DataFrame:
-    """Shift of each half-overlapping tile, coarse to fine from zero; squared cost above the finest level.  frequency: absolute cost and no neighbour correction."""
-    levels, sizes = stencil.pyramid(px, width, height, tile), stencil.pyramid_sizes(width, height, tile)
+def cached_pyramid(px: DataFrame, width: int, height: int, tile: int) -> list[DataFrame]:
+    """Pyramid levels of a gray burst, each written once, for several searches against the same frames."""
+    return [checkpointed(x) for x in stencil.pyramid(px, width, height, tile)]
+
+
+def dense_field(px: DataFrame, refs: DataFrame, tile: int, width: int, height: int, frequency: bool = False, weighted: bool = False, levels: list[DataFrame] | None = None) -> DataFrame:
+    """Shift of each half-overlapping tile, coarse to fine from zero; squared cost above the finest level.  frequency: absolute cost and no neighbour correction; weighted: means over the candidates instead of the cheapest; levels: cached_pyramid()."""
+    levels, sizes = levels or stencil.pyramid(px, width, height, tile), stencil.pyramid_sizes(width, height, tile)
     field = parent = None
+
+    def best(level: int, asks: DataFrame, grid: tuple[int, int], squared: bool) -> DataFrame:
+        if weighted:
+            return tile_average(levels[level], refs, asks, tile, tile // 2, squared)
+        return tile_search(levels[level], refs, asks, tile, tile // 2, grid, squared).drop("cost")
+
     for level in reversed(range(len(levels))):
         grid = dense_grid(*sizes[level], tile)
         squared = level > 0 and not frequency
         if field is None:
             field = zero_field(px, refs, grid)
         else:
-            field = propagate(field, grid, parent)
+            field = propagate(field, grid, parent, sizes[level][0] // sizes[level + 1][0])
             if not frequency:
-                field = tile_search(levels[level], refs, neighbour_candidates(field, grid), tile, tile // 2, grid, squared)
-        field = checkpointed(tile_search(levels[level], refs, around(field, 3), tile, tile // 2, grid, squared).select("burst", "frame", "ty", "tx", "dx", "dy"))
+                field = best(level, neighbour_candidates(field, grid), grid, squared)
+        field = checkpointed(best(level, around(field, 3), grid, squared).select("burst", "frame", "ty", "tx", "dx", "dy"))
         parent = grid
     return field
 
 
+def fourier_shift(tiles: DataFrame) -> DataFrame:
+    """Sub-pixel shift of each pair of equal tiles (id, h, w, ref and cmp as rows of values): of 6x6 within half a cell that under which cmp's spectrum comes nearest to ref's; sx, sy, confidence."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for h, w, ref, cmp in zip(b.h, b.w, b.ref, b.cmp, strict=True):
+                r, c = (np.fft.fft2(np.asarray(x, float).reshape(h, w)) for x in (ref, cmp))
+                fy, fx = np.arange(h)[:, None] / h, np.arange(w)[None, :] / w
+                best = None
+                for sy in (np.arange(6) - 2.5) / 6:
+                    for sx in (np.arange(6) - 2.5) / 6:
+                        diff = (np.abs(r - c * np.exp(2j * np.pi * (fx * sx + fy * sy))) ** 2).sum()
+                        if best is None or diff < best[0] - 1e-9:
+                            best = (diff, sx, sy)
+                out.append((best[1], best[2], 1 / (1 + best[0] / (h * w))))
+            got = pd.DataFrame(out, columns=["sx", "sy", "confidence"])
+            got.insert(0, "id", b.id.to_numpy())
+            yield got
+
+    return tiles.select("id", "h", "w", "ref", "cmp").mapInPandas(run, f"id {dict(tiles.dtypes)['id']}, sx double, sy double, confidence double")
+
+
 def smooth_field(field: DataFrame) -> DataFrame:
     """Upper median of each axis over the 3x3 neighbours that exist."""
     near = field.withColumn("o", F.explode(_square(1))).select("burst", "frame", (F.col("ty") + F.col("o.oy")).alias("ty"), (F.col("tx") + F.col("o.ox")).alias("tx"), "dx", "dy")
@@ -142,9 +239,6 @@ def skip(px: DataFrame, refs: DataFrame) -> DataFrame:
 
 def standard_field(px: DataFrame, refs: DataFrame, tile: int, width: int, height: int, search: int = 64, seeds: DataFrame | None = None) -> DataFrame:
     """Tiles without overlap, each searched around the mean of the frame's seed (burst, frame, dx, dy; else zero) and the left and upper tiles' shifts.  The recursion is sequential, so a frame is one task."""
-    import numpy as np
-    import pandas as pd
-
     radius, nx, ny = min(3, max(1, search // 16)), -(-width // tile), -(-height // tile)
     half = lambda a, b: int((a + b) / 2)  # noqa: E731  towards zero
     ref, cmp = _sides(px, refs)
@@ -171,7 +265,7 @@ def standard_field(px: DataFrame, refs: DataFrame, tile: int, width: int, height
                     for ox in range(-radius, radius + 1):
                         sy, sx = ys - dy - oy, xs - dx - ox
                         inside = (sy >= 0) & (sy < height) & (sx >= 0) & (sx < width)
-                        cost = np.abs(a[ys, xs] - b[sy.clip(0, height - 1), sx.clip(0, width - 1)])[inside].sum() + OUTSIDE * (~inside).sum()
+                        cost = round(np.abs(a[ys, xs] - b[sy.clip(0, height - 1), sx.clip(0, width - 1)])[inside].sum() + OUTSIDE * (~inside).sum(), 6)
                         if best is None or cost < best[0]:
                             best = (cost, dy + oy, dx + ox)
                 out[ty, tx] = best[1:]

@@ -36,13 +36,14 @@ def solve(m: DataFrame, key: str, degree: int, constant: bool = True) -> DataFra
 
     def one(batches):
         for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                a = np.array([[r[f"s{i + j}"] for j in range(first, degree + 1)] for i in range(first, degree + 1)])
-                out.append(np.linalg.lstsq(a, np.array([r[f"t{i}"] for i in range(first, degree + 1)]), rcond=None)[0].round(6).tolist())
-            b = b[[key]].copy()
-            b["k"] = out
-            yield b
+            if not len(b):
+                continue
+            s, t = (np.stack([b[f"{m}{i}"].to_numpy() for i in range(n)], 1) for m, n in (("s", 2 * degree + 1), ("t", degree + 1)))
+            i = np.arange(first, degree + 1)
+            a = s[:, i[:, None] + i]
+            got = b[[key]].copy()
+            got["k"] = list((np.linalg.pinv(a) @ t[:, first:, None])[..., 0])
+            yield got
 
     return m.mapInPandas(one, f"{key} {dict(m.dtypes)[key]}, k array<double>")
 
@@ -55,8 +56,9 @@ def vignette_gain(r: Column, k: list[float]) -> Column:
     return 1 + sum(F.lit(c) * F.pow(r, F.lit(2.0 * i + 2)) for i, c in enumerate(k))
 
 
-def opcode_list(distortion: list[float], vignette: list[float], cx: float = 0.5, cy: float = 0.5) -> bytes:
-    """Big-endian opcode list: WarpRectilinear (1) and FixVignetteRadial (3)."""
-    warp = struct.pack(">I6d2d", 1, *distortion[:4], 0.0, 0.0, cx, cy)
-    shade = struct.pack(">5d2d", *vignette[:5], cx, cy)
-    return struct.pack(">I", 2) + b"".join(struct.pack(">IIII", code, 0x01030000, 1, len(body)) + body for code, body in ((1, warp), (3, shade)))
+def opcode_list(distortion: list[float], vignette: list[float] | None = None, cx: float = 0.5, cy: float = 0.5) -> bytes:
+    """Big-endian opcode list: WarpRectilinear (1) and, if there is a vignette, FixVignetteRadial (3)."""
+    parts = [(1, struct.pack(">I6d2d", 1, *distortion[:4], 0.0, 0.0, cx, cy))]
+    if vignette is not None:
+        parts.append((3, struct.pack(">5d2d", *vignette[:5], cx, cy)))
+    return struct.pack(">I", len(parts)) + b"".join(struct.pack(">IIII", code, 0x01030000, 1, len(body)) + body for code, body in parts)

@@ -1,7 +1,8 @@
 """Merges: aggregation across the aligned frames of a burst.
 
 Inputs are pixels joined with frames' ref, scale and wn (see with_frames).  Each
-merge is one shuffle by pixel; gates over channels are windows within a pixel.
+merge is one shuffle by place (burst, y, x), which serves its windows over
+channels and frames and its sums; blurs take one more, by block.
 """
 
 from __future__ import annotations
@@ -10,15 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import stencil
+from . import blocks, stencil
 
 PIXEL = ("burst", "y", "x", "c")
 MIN_WEIGHT, MIN_LINEAR = 0.08, 0.04
 
 
 def with_frames(px: DataFrame, frames: DataFrame) -> DataFrame:
-    """px with ref, scale and wn of each frame (one row a frame: small beside the pixels)."""
-    return px.join(F.broadcast(frames.select("burst", "frame", "ref", "scale", "wn")), ["burst", "frame"])
+    """px with ref, scale and wn of each frame."""
+    return px.join(blocks.few(frames.select("burst", "frame", "ref", "scale", "wn")), ["burst", "frame"])
+
+
+def _by_place(px: DataFrame) -> DataFrame:
+    """Dealt by burst, y and x, which all windows and sums here contain."""
+    return px.repartition("burst", "y", "x")
 
 
 def _is_ref() -> Column:
@@ -51,6 +57,7 @@ def temporal_average_weighted(px: DataFrame, white: float, black: float) -> Data
 
 def temporal_median(px: DataFrame, clip: float | None) -> DataFrame:
     """Median of the reference and the comparisons that are not clipped in any channel; clipped reference values stay."""
+    px = _by_place(px)
     gate = F.lit(True) if clip is None else _top() < clip * F.col("scale")
     kept = F.when(_is_ref() | F.col("ok"), F.col("v"))
     out = px.withColumn("ok", gate).groupBy(*PIXEL).agg(_ref().alias("r"), F.median(kept).alias("m"), F.count(kept).alias("n_kept"))
@@ -59,6 +66,7 @@ def temporal_median(px: DataFrame, clip: float | None) -> DataFrame:
 
 
 def expbracket_average(px: DataFrame, clip: float) -> DataFrame:
+    px = _by_place(px)
     w = F.when(_is_ref(), 1.0).when(F.lit(clip > 0) & (_top() >= clip * F.col("scale")), 0.0).otherwise(F.col("wn"))
     return px.withColumn("w", w).groupBy(*PIXEL).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
@@ -66,14 +74,15 @@ def expbracket_average(px: DataFrame, clip: float) -> DataFrame:
 def spatial(px: DataFrame, noise: float, rho: float, white: float, black: float, multi: bool, linear: bool = False, weighted: bool = False, block: int = 2, chroma: bool = False) -> DataFrame:
     """Robust average: comparisons weigh less the more their smoothed value differs from the reference's.
 
-    One channel compares block means, several the largest difference of blurred
-    channels.  Clipped comparisons weigh 0, highlights are judged more mildly.
+    One channel compares block means (linear: binomial blurs), several the largest
+    difference of blurred channels.  Clipped comparisons weigh 0, highlights are judged more mildly.
     """
     high, clip = 0.92 * (white - black), 0.98 * (white - black)
-    if multi:
-        px = stencil.binomial16(px, out="guide") if linear else stencil.box_blur(px, 2, out="guide")
+    if linear:
+        px = stencil.binomial16(px, out="guide")
     else:
-        px = stencil.block_mean(px, block)
+        px = stencil.box_blur(px, 2, out="guide") if multi else stencil.block_mean(px, block)
+    px = _by_place(px)
     cell = W.partitionBy(*PIXEL)
     px = px.withColumn("ref_guide", F.max(F.when(_is_ref(), F.col("guide"))).over(cell))
     d = F.abs(F.col("guide") - F.col("ref_guide"))
@@ -86,7 +95,7 @@ def spatial(px: DataFrame, noise: float, rho: float, white: float, black: float,
         px = px.withColumn("d", d)
         clipped, bright = F.col("v") / F.col("scale") >= clip, (F.col("guide") >= high) | (F.col("ref_guide") >= high)
     if linear:
-        one = F.greatest(F.lit(0.0), F.least(1 - F.col("d") / max(1.0, noise / rho), F.lit(1.0)))
+        one = F.greatest(F.lit(0.0), F.least(1 - F.col("d") / max(1.0, noise / max(0.001, rho)), F.lit(1.0)))
         mild = F.greatest(F.lit(0.0), F.least(1 - F.col("d") / (2.5 * max(1.0, noise / max(0.001, rho))), F.lit(1.0)))
     else:
         near = lambda n: 1 / (1 + (F.col("d") / n) * (F.col("d") / n) * rho)

@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed
+from . import blocks
 from .reshape import KEY
-from .stencil import line
 
 
-def hot_pixels(px: DataFrame, black: float, step: int = 2, phases: int = 1) -> DataFrame:
-    """(burst, y, x, c, w) weights of hot pixels in the mean frame; a pixel with two flagged channels has none."""
+def _neighbours(step: int, diagonal: float, axis: float):
+    """Kernel: weighted mean of the 8 neighbours `step` cells away; NaN where one is outside."""
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        p = np.pad(a, step, constant_values=np.nan)
+        h, w = a.shape
+        at = lambda dy, dx: p[step + dy : step + dy + h, step + dx : step + dx + w]
+        total = axis * (at(0, -step) + at(0, step) + at(-step, 0) + at(step, 0))
+        if diagonal:
+            total = total + diagonal * (at(-step, -step) + at(-step, step) + at(step, -step) + at(step, step))
+        return total / (4 * (diagonal + axis))
+
+    return kernel
+
+
+def hot_pixels(px: DataFrame, black: float | list[float], step: int = 2, phases: int = 1) -> DataFrame:
+    """(burst, y, x, c, w) weights of hot pixels in the mean frame; a pixel with two flagged channels has none.
+
+    A mosaic of one channel has phases: the mean level is that of the cell's place
+    in the pattern.  black is one level, or one for each channel (or phase).
+    """
     mean = px.groupBy("burst", "y", "x", "c").agg(F.avg("v").alias("v")).withColumn("frame", F.lit(0))
-    for name, k in (("l", -step), ("r", step)):
-        mean = mean.withColumn(name, F.lead("v", k).over(line("x")) if k > 0 else F.lag("v", -k).over(line("x")))
-    up, down = (lambda c: F.lag(c, step).over(line("y"))), (lambda c: F.lead(c, step).over(line("y")))
-    diagonal, axis = up("l") + up("r") + down("l") + down("r"), F.col("l") + F.col("r") + up("v") + down("v")
-    mean = mean.withColumn("around", (diagonal + 2 * axis) / 12)
-    level = F.avg("v").over(W.partitionBy("burst", "c", F.col("y") % phases, F.col("x") % phases))
-    ratio = F.greatest(F.lit(1.0), F.col("v") - black) / F.greatest(F.lit(1.0), F.col("around") - black)
-    mean = mean.withColumn("ratio", ratio).withColumn("level", level)
-    hot = F.col("around").isNotNull() & (F.col("ratio") >= 2) & (F.col("v") >= 2 * F.col("level"))
-    w = F.when(hot, F.greatest(F.lit(0.0), F.least(0.5 * F.least(F.lit(2.0), F.col("ratio") - 2), F.lit(1.0)))).otherwise(0.0)
+    mean = mean.withColumn("phase", F.col("y") % phases * phases + F.col("x") % phases)
+    mean = checkpointed(blocks.filtered(mean, step, _neighbours(step, 1, 2), out="around"))
+    level = blocks.few(mean.groupBy("burst", "c", "phase").agg(F.avg("v").alias("level")))
+    levels = black if isinstance(black, (list, tuple)) else [black]
+    own = F.lit(float(levels[0])) if len(levels) == 1 else F.element_at(F.array(*(F.lit(float(b)) for b in levels)), F.least(F.col("phase") if phases > 1 else F.col("c"), F.lit(len(levels) - 1)) + 1)
+    mean = mean.join(level, ["burst", "c", "phase"])
+    ratio = F.greatest(F.lit(1.0), F.col("v") - own) / F.greatest(F.lit(1.0), F.col("around") - own)
+    inside = F.col("around").isNotNull() & ~F.isnan("around")  # pandas gives NaN as null
+    hot = inside & (ratio >= 2) & (F.col("v") >= 2 * F.col("level"))
+    w = F.when(hot, F.greatest(F.lit(0.0), F.least(0.5 * F.least(F.lit(2.0), ratio - 2), F.lit(1.0)))).otherwise(0.0)
     mean = mean.withColumn("w", w)
     flagged = F.sum((F.col("w") > 0.001).cast("int")).over(W.partitionBy("burst", "y", "x"))
     return mean.withColumn("w", F.when(flagged >= 2, 0.0).otherwise(F.col("w"))).select("burst", "y", "x", "c", "w")
@@ -30,8 +51,7 @@ def hot_pixels(px: DataFrame, black: float, step: int = 2, phases: int = 1) -> D
 
 def repair_hot_pixels(px: DataFrame, weights: DataFrame, step: int = 2) -> DataFrame:
     """Blend each flagged pixel of each frame with the mean of its four uncorrected axis neighbours."""
-    near = F.lag("v", step).over(line("x")) + F.lead("v", step).over(line("x")) + F.lag("v", step).over(line("y")) + F.lead("v", step).over(line("y"))
-    out = px.withColumn("near", near / 4).join(weights, ["burst", "y", "x", "c"])
+    out = blocks.filtered(px, step, _neighbours(step, 0, 1), out="near").join(weights, ["burst", "y", "x", "c"])
     return out.select(*KEY, "c", F.when(F.col("w") > 0.001, F.col("w") * F.col("near") + (1 - F.col("w")) * F.col("v")).otherwise(F.col("v")).alias("v"))
 
 
@@ -46,7 +66,8 @@ def _wide(px: DataFrame, channels: int) -> DataFrame:
 
 
 def _long(wide: DataFrame, channels: int) -> DataFrame:
-    return wide.select(*KEY, F.posexplode(F.array(*(F.col(f"c{c}") for c in range(channels)))).alias("c", "v"))
+    long = wide.select(*KEY, F.posexplode(F.array(*(F.col(f"c{c}") for c in range(channels)))).alias("c", "v"))
+    return long.where("v IS NOT NULL")  # the last row or column of a mosaic may lack some of the planes
 
 
 def recover_linear(px: DataFrame, span: float, f_r: float, f_b: float) -> DataFrame:

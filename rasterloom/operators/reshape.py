@@ -35,7 +35,9 @@ def gray_gamma(px: DataFrame, g: float, white: float) -> DataFrame:
 
 def normalize(px: DataFrame, frames: DataFrame) -> DataFrame:
     """Subtract the mean black (if over 1), then scale frames to the reference's exposure; frames has ref, scale and black."""
-    few = F.broadcast(frames.select("burst", "frame", "ref", "scale", "black"))  # one row a frame, not a pixel
+    from .blocks import few as small
+
+    few = small(frames.select("burst", "frame", "ref", "scale", "black"))
     v = F.when(F.col("black") > 1, F.col("v") - F.col("black")).otherwise(F.col("v"))
     scaled = F.when((F.col("frame") != F.col("ref")) & (F.abs(F.col("scale") - 1) > 0.001), v * F.col("scale")).otherwise(v)
     return px.join(few, ["burst", "frame"]).select(*KEY, "c", scaled.alias("v"))

@@ -1,73 +1,36 @@
-"""Stencils and resampling as windows over rows and columns of a frame."""
+"""Stencils and resampling: kernels over blocks with a border, and joins on computed coordinates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import comb
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blocks
 from .reshape import KEY
 
 
-def line(axis: str):
-    """Window along x (within a row) or y (within a column)."""
-    other = "y" if axis == "x" else "x"
-    return W.partitionBy("burst", "frame", "c", other).orderBy(axis)
-
-
-def _whole(axis: str):
-    return line(axis).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
-
-def tap(v: str, offset: int, axis: str, replicate: bool = True) -> Column:
-    """The value offset cells along an axis; past the edge the edge cell's, or null."""
-    w = line(axis)
-    got = F.lead(v, offset).over(w) if offset > 0 else F.lag(v, -offset).over(w) if offset < 0 else F.col(v)
-    if not replicate or not offset:
-        return got
-    edge = F.last(v).over(_whole(axis)) if offset > 0 else F.first(v).over(_whole(axis))
-    return F.coalesce(got, edge)
-
-
 def box_blur(px: DataFrame, r: int, v: str = "v", out: str = "v") -> DataFrame:
-    """Mean of (2r+1)**2 cells, edges replicated: running sums, plus the edge cells as often as the window sticks out."""
+    """Mean of (2r+1)**2 cells, edges replicated."""
     if r <= 0:
         return px.withColumn(out, F.col(v))
-    for axis, src in (("x", v), ("y", "__b")):
-        near = F.sum(src).over(line(axis).rowsBetween(-r, r))
-        size = F.max(axis).over(_whole(axis)) + 1
-        before = F.greatest(r - F.col(axis), F.lit(0)) * F.first(src).over(_whole(axis))
-        after = F.greatest(F.col(axis) + r - (size - 1), F.lit(0)) * F.last(src).over(_whole(axis))
-        px = px.withColumn("__b", (near + before + after) / (2 * r + 1))
-    return px.withColumn(out, F.col("__b")).drop("__b")
+    return blocks.filtered(px, r, blocks.box(r), v, out)
 
 
 def large_blur(px: DataFrame, r: int, v: str = "v", out: str = "v") -> DataFrame:
     return box_blur(box_blur(px, r, v, "__l"), r, "__l", out).drop("__l")
 
 
-def _separable(px: DataFrame, weights: dict[int, float], renormalise: bool, v: str, out: str) -> DataFrame:
-    for axis, src in (("x", v), ("y", "__s")):
-        taps = {k: tap(src, k, axis, not renormalise) for k in weights}
-        if renormalise:
-            total = sum(F.when(t.isNotNull(), F.lit(weights[k])).otherwise(0.0) for k, t in taps.items())
-            value = sum(F.coalesce(t, F.lit(0.0)) * weights[k] for k, t in taps.items()) / total
-        else:
-            value = sum(t * weights[k] for k, t in taps.items()) / sum(weights.values())
-        px = px.withColumn("__s", value)
-    return px.withColumn(out, F.col("__s")).drop("__s")
-
-
 def binomial5(px: DataFrame, v: str = "v", out: str = "v") -> DataFrame:
     """[1 4 6 4 1] / 16 along both axes, edges replicated."""
-    return _separable(px, {-2: 1, -1: 4, 0: 6, 1: 4, 2: 1}, False, v, out)
+    return blocks.filtered(px, 2, blocks.separable({-2: 1, -1: 4, 0: 6, 1: 4, 2: 1}, False), v, out)
 
 
 def binomial16(px: DataFrame, v: str = "v", out: str = "v", radius: int = 5) -> DataFrame:
     """Weights of the 32nd binomial row around its middle, cropped to the frame and renormalised."""
-    from math import comb
-
-    return _separable(px, {k: float(comb(32, 16 + k)) for k in range(-radius, radius + 1)}, True, v, out)
+    return blocks.filtered(px, radius, blocks.separable({k: float(comb(32, 16 + k)) for k in range(-radius, radius + 1)}, True), v, out)
 
 
 def block_mean(px: DataFrame, b: int, out: str = "guide") -> DataFrame:
@@ -119,15 +82,27 @@ def warp_translate(px: DataFrame, dx: float, dy: float, width: int, height: int)
 
 def warp_aligned(px: DataFrame, field: DataFrame, spacing: int, width: int, height: int) -> DataFrame:
     """Blend of the four samples that the surrounding tiles' shifts point at; field(burst, frame, ty, tx, dx, dy)."""
-    size = F.broadcast(field.groupBy("burst", "frame").agg((F.max("tx") + 1).alias("ntx"), (F.max("ty") + 1).alias("nty")))
-    at = px.select(*KEY, "c").join(size, ["burst", "frame"])
-    for axis in ("x", "y"):
-        f = (F.col(axis) + 0.5) / spacing - 1
-        at = at.withColumn(f"{axis}0", F.floor(f).cast("int")).withColumn(f"{axis}t", f - F.floor(f))
-    inside = lambda v, n: F.greatest(F.lit(0), F.least(v, n - 1))
-    corners = F.explode(F.array(*(F.struct(inside(F.col("y0") + j, F.col("nty")).alias("ty"), inside(F.col("x0") + i, F.col("ntx")).alias("tx"), ((F.col("yt") if j else 1 - F.col("yt")) * (F.col("xt") if i else 1 - F.col("xt"))).alias("w")) for j in (0, 1) for i in (0, 1))))
-    at = at.select(*KEY, "c", corners.alias("k")).select(*KEY, "c", "k.*").join(field, ["burst", "frame", "ty", "tx"])
+    size = blocks.few(field.groupBy("burst", "frame").agg((F.max("tx") + 1).alias("ntx"), (F.max("ty") + 1).alias("nty")))
+    at = _corners(px.select(*KEY, "c").join(size, ["burst", "frame"]), spacing).select(*KEY, "c", "k.*").join(field, ["burst", "frame", "ty", "tx"])
     clamp = lambda v, n: F.greatest(F.lit(0), F.least(v, F.lit(n - 1)))
     at = at.withColumn("sy", clamp(F.col("y") - F.col("dy"), height)).withColumn("sx", clamp(F.col("x") - F.col("dx"), width))
     src = px.select("burst", "frame", F.col("y").alias("sy"), F.col("x").alias("sx"), "c", "v")
     return at.join(src, ["burst", "frame", "sy", "sx", "c"]).groupBy(*KEY, "c").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def tile_shift(at: DataFrame, field: DataFrame, spacing: int) -> DataFrame:
+    """Shift at each cell (burst, frame, y, x): the bilinear blend of the four tiles around it, indexes clamped; sx and sy."""
+    size = blocks.few(field.groupBy("burst", "frame").agg((F.max("tx") + 1).alias("ntx"), (F.max("ty") + 1).alias("nty")))
+    corners = _corners(at.select(*KEY).distinct().join(size, ["burst", "frame"]), spacing)
+    blend = lambda c: F.sum(F.col("w") * F.col(c))
+    return corners.select(*KEY, "k.*").join(field, ["burst", "frame", "ty", "tx"]).groupBy(*KEY).agg(blend("dx").alias("sx"), blend("dy").alias("sy"))
+
+
+def _corners(at: DataFrame, spacing: int) -> DataFrame:
+    """A row k (ty, tx, w) for each of the four tiles around a cell, with its bilinear weight."""
+    for axis in ("x", "y"):
+        f = (F.col(axis) + 0.5) / spacing - 1
+        at = at.withColumn(f"{axis}0", F.floor(f).cast("int")).withColumn(f"{axis}t", f - F.floor(f))
+    inside = lambda v, n: F.greatest(F.lit(0), F.least(v, n - 1))
+    corners = F.array(*(F.struct(inside(F.col("y0") + j, F.col("nty")).alias("ty"), inside(F.col("x0") + i, F.col("ntx")).alias("tx"), ((F.col("yt") if j else 1 - F.col("yt")) * (F.col("xt") if i else 1 - F.col("xt"))).alias("w")) for j in (0, 1) for i in (0, 1)))
+    return at.withColumn("k", F.explode(corners))

@@ -34,7 +34,7 @@ def black_delta(v: Column, c: Column, blacks: list[float], mean: float, k: float
 
 def exposure_linear(px: DataFrame, stops: float, white: float) -> DataFrame:
     px = px.withColumn("v", F.greatest(F.lit(0.0), F.col("v") * 2.0**stops))
-    top = F.broadcast(px.groupBy("burst").agg(F.max("v").alias("top")))  # one row a burst
+    top = px.groupBy("burst").agg(F.max("v").alias("top"))  # small ones are broadcast at run time
     return px.join(top, "burst").withColumn("v", F.when(F.col("top") > white, F.col("v") * (white / F.col("top"))).otherwise(F.col("v"))).drop("top")
 
 
@@ -45,7 +45,7 @@ def exposure_curve(v: Column, stops: float, white: float) -> Column:
 
 def reinhard_local(px: DataFrame, stops: float, white: float, black_min: float, black_mean: float, radius: int = 1) -> DataFrame:
     """Local Reinhard curve with a doubly box-blurred luminance guide; px has one frame a burst."""
-    top = F.broadcast(px.groupBy("burst").agg(F.max("v").alias("top")))
+    top = px.groupBy("burst").agg(F.max("v").alias("top"))  # small ones are broadcast at run time
     px = stencil.large_blur(px.withColumn("frame", F.lit(0)), radius, out="guide").join(top, "burst")
     rescale = max(1.0, white - black_min)
     unit = lambda v: F.greatest(F.lit(0.0), F.least(v, F.lit(1.0)))
