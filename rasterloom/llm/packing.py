@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import chunked, encoder, vocabulary_path
-from .common import Scratch, record_batch, table
+from .common import Scratch, record_batch, shuffle_partitions, table
 
 #: (n, groups): lengths over capacity / n are large and form so many groups.
 CAPACITY, GROUPINGS = 2048, ((2, 24), (3, 48), (2, 0))
@@ -223,7 +223,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, chunk_rows: int | None = None) -> DataFrame:
     """pieces() with sequence_id and offset of each."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -232,6 +232,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, chu
     for length, n in cut.groupBy("length").count().collect():  # at most capacity rows
         counts[length] = n
     found = placements(plan(counts, capacity), capacity)
+    chunk_rows = chunk_rows or min(CHUNK_ROWS, max(1024, int(counts.sum()) // (4 * shuffle_partitions(spark))))
     chunks = -(-counts // chunk_rows)
     first = np.cumsum(chunks) - chunks  # number of each length's first chunk
     several = np.flatnonzero(chunks > 1)
