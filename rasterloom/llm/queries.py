@@ -18,6 +18,24 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # all windows as strings; words under a window that starts twice or more
+    "op2_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), twice AS (
+  SELECT k FROM win GROUP BY k HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT rid, i + j AS pos FROM win JOIN twice USING (k) CROSS JOIN range(35) r(j)
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY pos) AS text FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) ANTI JOIN gone USING (rid, pos) GROUP BY rid
+), n AS (
+  SELECT rid, count(*) AS n FROM gone GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+""",
     # blocks of integer inner products; ties to the smaller id
     "op10_topk": """
 WITH flat AS (
