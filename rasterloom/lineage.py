@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df read back from the cluster's checkpoint folder; a session that names none (tests) gets a local one."""
+    """df read back from the cluster's checkpoint folder; a local session that names none (tests) gets a local one, any other is refused."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rasterloom-"))
     return df.checkpoint()

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import few
 from . import codecs
 
 # The file extensions of camera raw and of plain images.
@@ -39,8 +40,8 @@ def scan(spark: SparkSession, folder: str | None = None, files: list[str] = ())
     paths = [r.path for r in names.collect()]
     got = spark.read.format("binaryFile").load(paths)
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    few = F.broadcast(names.select(plain(F.col("path")).alias("__name"), "frame"))  # a row for each file of a burst
-    return got.withColumn("__name", plain(F.col("path"))).join(few, "__name").drop("__name")
+    names_ = few(names.select(plain(F.col("path")).alias("__name"), "frame"))
+    return got.withColumn("__name", plain(F.col("path"))).join(names_, "__name").drop("__name")
 
 
 def extension(path: Column) -> Column:
@@ -102,8 +103,8 @@ def jpeg_pixels(spark: SparkSession, names: DataFrame) -> DataFrame:
     paths = [r.path for r in names.select("path").collect()]  # a burst's files
     got = spark.read.format("image").load(paths).select("image.*")
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    few = F.broadcast(names.select(plain(F.col("path")).alias("name"), "burst", "frame"))
-    got = got.withColumn("name", plain(F.col("origin"))).join(few, "name")
+    named = few(names.select(plain(F.col("path")).alias("name"), "burst", "frame"))
+    got = got.withColumn("name", plain(F.col("origin"))).join(named, "name")
     schema = pa.schema([("burst", pa.int32()), ("frame", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), ("c", pa.int32()), ("v", pa.float64()), ("white", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +138,8 @@ def images(spark: SparkSession, names: DataFrame, burst: int = 0) -> DataFrame:
         rest = [r.path for r in names.where(~is_jpeg).orderBy("frame").collect()]
         got = scan(spark, files=rest).drop("frame")
         plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        few = F.broadcast(names.select(plain(F.col("path")).alias("name"), "burst", "frame"))
-        out = out.unionByName(pixels(got.withColumn("name", plain(F.col("path"))).join(few, "name")))
+        named = few(names.select(plain(F.col("path")).alias("name"), "burst", "frame"))
+        out = out.unionByName(pixels(got.withColumn("name", plain(F.col("path"))).join(named, "name")))
     return out
 
 
