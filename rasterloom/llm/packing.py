@@ -10,9 +10,12 @@ sequences are kept as one type with a count, so the plan's size follows the
 number of distinct lengths, not of documents.
 
 Null texts are empty documents (one end token).  Repeated rows are documents of
-their own.  Rows of equal length are interchangeable: they are numbered within
-(length, chunk), chunks being a hash of the row, so a length that most rows
-share is dealt over all tasks.
+their own; very long texts are cut like others.  An empty table gives an empty
+result; other columns are not read.  Rows of equal length are interchangeable:
+they are numbered within (length, chunk), chunks being a hash of the row, so a
+length that most rows share is dealt over all tasks: a chunk holds about a quarter
+of a shuffle partition's share of the rows, but no more than CHUNK_ROWS.  The
+driver holds a number for each chunk.
 """
 
 from __future__ import annotations
