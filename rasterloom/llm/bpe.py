@@ -23,6 +23,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import WORKER_CACHES, byte_sizes, empty_caches, record_batch, slices, table, texts
 
-CACHE_WORDS = 600_000  # distinct words that a worker remembers
+CACHE_WORDS = 900_000  # distinct words that a worker remembers
 _CHUNK = 2 << 20
 _STOP, _GONE = 65_534, 65_535
 _NO_RANK = 1 << 30
+_SLOT_BITS = 17
+_SHIFT = np.uint32(32 - _SLOT_BITS)
+_MULTIPLIERS = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)  # odd numbers that spread the high bits
 #: str.split() takes these for white space, the vocabulary does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Beyond these code points the library's own Unicode tables decide, as versions differ.
@@ -79,6 +83,7 @@ class PairIndexBpe:
         self.ranked = rank_of.get
         self.pair_keys = np.array(sorted(rank_of), np.uint32)
         self.pair_ranks = np.array([rank_of[k] for k in self.pair_keys.tolist()], np.int32)
+        self.place_pairs()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -163,9 +168,30 @@ class PairIndexBpe:
 
     def ranks_at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = (a << np.uint32(16)) | b
-        where = np.searchsorted(self.pair_keys, keys)
-        where[where == len(self.pair_keys)] = 0
-        return np.where(self.pair_keys[where] == keys, self.pair_ranks[where], np.int32(_NO_RANK))
+        one, two = (keys * m >> _SHIFT for m in _MULTIPLIERS)
+        other = self.slots[1]
+        return np.where(self.slots[0][one] == keys, self.slot_ranks[0][one], np.where(other[two] == keys, self.slot_ranks[1][two], np.int32(_NO_RANK)))
+
+    def place_pairs(self) -> None:
+        """A table of two places for each pair, of which it takes one: pairs that find theirs taken push the one there to its other place."""
+        places = [(self.pair_keys * m >> _SHIFT).tolist() for m in _MULTIPLIERS]
+        held: list[dict[int, int]] = [{}, {}]
+        for i in range(len(self.pair_keys)):
+            side, pair = 0, i
+            for _ in range(1000):
+                at = places[side][pair]
+                pair, held[side][at] = held[side].get(at, -1), pair
+                if pair < 0:
+                    break
+                side = 1 - side
+            else:
+                raise ValueError("pairs do not fit their table")
+        self.slots = [np.zeros(1 << _SLOT_BITS, np.uint32) for _ in range(2)]
+        self.slot_ranks = [np.full(1 << _SLOT_BITS, _NO_RANK, np.int32) for _ in range(2)]
+        for slots, ranks, own in zip(self.slots, self.slot_ranks, held, strict=True):
+            at = np.array(list(own), np.int64)
+            pairs = np.array(list(own.values()), np.int64)
+            slots[at], ranks[at] = self.pair_keys[pairs], self.pair_ranks[pairs]
 
     def merge_words(self, words: list[str]) -> None:
         """Encode distinct words together and put their ids into the cache."""
@@ -222,11 +248,16 @@ class PairIndexBpe:
 
     def learn(self, tokens: list[str], in_rounds: bool) -> None:
         """Put the ids of new white-space separated pieces of text into the cache."""
-        split = [self.split_words(t) for t in tokens]
+        low = [t.lower() if t.isascii() else "" for t in tokens]
+        plain = [w.isalpha() for w in low]  # pieces that are one word
+        rest = [t for t, one in zip(tokens, plain, strict=True) if not one]
+        split = list(map(self.split_words, rest))
+        words = set(compress(low, plain)).union(*split)
         self.cache_words: dict[str, bytes] = {}
-        (self.merge_in_rounds if in_rounds else self.merge_words)(list({w for words in split for w in words}))
+        (self.merge_in_rounds if in_rounds else self.merge_words)(list(words))
         get = self.cache_words.__getitem__
-        self.cache.update((t, b"".join(map(get, words))) for t, words in zip(tokens, split, strict=True))
+        self.cache.update(zip(compress(tokens, plain), map(get, compress(low, plain)), strict=True))
+        self.cache.update(zip(rest, [b"".join(map(get, w)) for w in split], strict=True))
 
     def forget(self) -> None:
         """Empty the cache of words."""
