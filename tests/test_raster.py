@@ -44,6 +44,26 @@ def test_oracle(spark, db, name):
     assert got and got == want
 
 
+LARGE = "/root/testdata/sf0.1"  # over 200,000 rows of lineitem
+
+
+@pytest.fixture(scope="module")
+def large_db():
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{LARGE}/lineitem.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["q_binomial16"])
+def test_registered_sql_on_larger_tables(spark, large_db, name):
+    df = catalog.QUERIES[name](spark, LARGE)
+    cols = sorted(df.columns)
+    r = large_db.execute(catalog.ORACLE_SQL[name])
+    names = [d[0] for d in r.description]
+    want = sorted((tuple(x[names.index(c)] for c in cols) for x in r.fetchall()), key=str)
+    assert want and sorted((tuple(r) for r in df.select(cols).collect()), key=str) == want
+
+
 def stack(spark, frames, scales=None, ref=0):
     """frames: for each frame the channel values of one pixel."""
     rows = [(0, f, 0, 0, c, float(v), ref, (scales or {}).get(f, 1.0), 1 / (scales or {}).get(f, 1.0)) for f, vs in enumerate(frames) for c, v in enumerate(vs)]
