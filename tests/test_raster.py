@@ -54,7 +54,7 @@ def large_db():
     return c
 
 
-@pytest.mark.parametrize("name", ["q_binomial16", "q_bit_depth", "q_box_blur", "q_dense_field"])
+@pytest.mark.parametrize("name", ["q_binomial16", "q_bit_depth", "q_box_blur", "q_dense_field", "q_dense_field_weighted"])
 def test_registered_sql_on_larger_tables(spark, large_db, name):
     df = catalog.QUERIES[name](spark, LARGE)
     cols = sorted(df.columns)
