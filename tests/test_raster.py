@@ -54,7 +54,7 @@ def large_db():
     return c
 
 
-@pytest.mark.parametrize("name", ["q_binomial16", "q_bit_depth", "q_box_blur", "q_dense_field", "q_dense_field_weighted", "q_downsample2", "q_expbracket_average", "q_exposure_linear", "q_fourier_shift", "q_freq_align", "q_global_search", "q_highlight_bayer", "q_highlight_mosaic"])
+@pytest.mark.parametrize("name", ["q_binomial16", "q_bit_depth", "q_box_blur", "q_dense_field", "q_dense_field_weighted", "q_downsample2", "q_expbracket_average", "q_exposure_linear", "q_fourier_shift", "q_freq_align", "q_global_search", "q_highlight_bayer", "q_highlight_mosaic", "q_hot_pixel_mono"])
 def test_registered_sql_on_larger_tables(spark, large_db, name):
     df = catalog.QUERIES[name](spark, LARGE)
     cols = sorted(df.columns)
