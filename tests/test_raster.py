@@ -64,6 +64,27 @@ def test_registered_sql_on_larger_tables(spark, large_db, name):
     assert want and sorted((tuple(r) for r in df.select(cols).collect()), key=str) == want
 
 
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Three rows for each cell; quantities with NaN, infinities and values beyond 64-bit millionths, in frames of their own."""
+    d = tmp_path_factory.mktemp("odd")
+    c = duckdb.connect()
+    c.execute(f"""copy (select CAST(i + 1024 * k AS BIGINT) AS l_orderkey, CAST(f + 1 AS INTEGER) AS l_linenumber,
+      CASE WHEN i % 97 > 0 THEN (i * 7 + f * 13) % 50 WHEN f = 1 THEN 'nan'::DOUBLE WHEN f = 2 THEN 'inf'::DOUBLE WHEN f = 4 THEN -1e14 ELSE 1e14 END AS l_quantity,
+      CAST((i * 11 + f * 3 + k) % 50 * 1000 AS DOUBLE) AS l_extendedprice, i % 11 / 100 AS l_discount, (i + k) % 9 / 100 AS l_tax
+      from range(7) a(f), range(1024) b(i), range(3) c(k)) to '{d}/lineitem.parquet' (format parquet)""")
+    c.execute(f"create view lineitem as select * from '{d}/lineitem.parquet'")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", ["q_box_blur"])
+def test_registered_sql_on_odd_values(spark, odd, name):
+    df = catalog.QUERIES[name](spark, odd[0])
+    r = odd[1].execute(catalog.ORACLE_SQL[name])
+    assert [d[0] for d in r.description] == df.columns
+    assert sorted(map(str, r.fetchall())) == sorted(str(tuple(x)) for x in df.collect())
+
+
 def stack(spark, frames, scales=None, ref=0):
     """frames: for each frame the channel values of one pixel."""
     rows = [(0, f, 0, 0, c, float(v), ref, (scales or {}).get(f, 1.0), 1 / (scales or {}).get(f, 1.0)) for f, vs in enumerate(frames) for c, v in enumerate(vs)]
