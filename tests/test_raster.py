@@ -85,6 +85,18 @@ def test_registered_sql_on_odd_values(spark, odd, name):
     assert sorted(map(str, r.fetchall())) == sorted(str(tuple(x)) for x in df.collect())
 
 
+@pytest.mark.parametrize("name", ["q_freq_align"])
+def test_registered_sql_on_tiny_values(spark, tmp_path, name):
+    """Costs that are less than a millionth apart."""
+    c = duckdb.connect()
+    c.execute(f"""copy (select CAST(i + 1024 * k AS BIGINT) AS l_orderkey, CAST(f + 1 AS INTEGER) AS l_linenumber, (i * i * 31 + i * 7 + f * f * 5) % 50 * 1e-9 AS l_quantity,
+      1e3 AS l_extendedprice, 0.01 AS l_discount, 0.02 AS l_tax
+      from range(7) a(f), range(1024) b(i), range(3) c(k)) to '{tmp_path}/lineitem.parquet' (format parquet)""")
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = c.execute(catalog.ORACLE_SQL[name]).fetchall()
+    assert sorted(want) == sorted(tuple(x) for x in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+
+
 def stack(spark, frames, scales=None, ref=0):
     """frames: for each frame the channel values of one pixel."""
     rows = [(0, f, 0, 0, c, float(v), ref, (scales or {}).get(f, 1.0), 1 / (scales or {}).get(f, 1.0)) for f, vs in enumerate(frames) for c, v in enumerate(vs)]
