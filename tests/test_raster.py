@@ -97,6 +97,14 @@ def test_registered_sql_on_tiny_values(spark, tmp_path, name):
     assert sorted(want) == sorted(tuple(x) for x in catalog.QUERIES[name](spark, str(tmp_path)).collect())
 
 
+def test_tile_costs_tie_as_in_the_sql(spark):
+    cells = [(0, 0, 0, 0, 0.0), (0, 0, 0, 1, 0.0), (0, 1, 0, 0, 1.0000002), (0, 1, 0, 1, 1.00000048)]
+    px = spark.createDataFrame([(b, f, y, x, 0, v) for b, f, y, x, v in cells], "burst int, frame int, y int, x int, c int, v double")
+    asks = spark.createDataFrame([(0, 1, 0, 0, 0, -1), (0, 1, 0, 0, 0, 0)], "burst int, frame int, ty int, tx int, dy int, dx int")
+    refs = spark.createDataFrame([(0, 0)], "burst int, ref int")
+    assert [r.dx for r in align.tile_search(px, refs, asks, 1, 1, (1, 1)).collect()] == [0]
+
+
 def stack(spark, frames, scales=None, ref=0):
     """frames: for each frame the channel values of one pixel."""
     rows = [(0, f, 0, 0, c, float(v), ref, (scales or {}).get(f, 1.0), 1 / (scales or {}).get(f, 1.0)) for f, vs in enumerate(frames) for c, v in enumerate(vs)]
