@@ -105,6 +105,11 @@ def test_tile_costs_tie_as_in_the_sql(spark):
     assert [r.dx for r in align.tile_search(px, refs, asks, 1, 1, (1, 1)).collect()] == [0]
 
 
+def test_frame_costs_tie_as_in_the_sql(spark):
+    costs = spark.createDataFrame([(0, -1, 1.00000048), (0, 1, 1.0000002), (0, 2, 1.00000019)], "dy int, dx int, sad double")
+    assert costs.agg(align._first_best("sad").alias("b")).first().b.dx == 1
+
+
 def stack(spark, frames, scales=None, ref=0):
     """frames: for each frame the channel values of one pixel."""
     rows = [(0, f, 0, 0, c, float(v), ref, (scales or {}).get(f, 1.0), 1 / (scales or {}).get(f, 1.0)) for f, vs in enumerate(frames) for c, v in enumerate(vs)]
