@@ -77,7 +77,7 @@ def odd(spark, tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["q_box_blur", "q_downsample2", "q_expbracket_average", "q_exposure_linear", "q_highlight_bayer", "q_highlight_mosaic"])
+@pytest.mark.parametrize("name", ["q_box_blur", "q_downsample2", "q_expbracket_average", "q_exposure_linear", "q_fourier_shift", "q_highlight_bayer", "q_highlight_mosaic"])
 def test_registered_sql_on_odd_values(spark, odd, name):
     df = catalog.QUERIES[name](spark, odd[0])
     r = odd[1].execute(catalog.ORACLE_SQL[name])
