@@ -64,6 +64,30 @@ def test_registered_sql_on_larger_tables(spark, large_db, name):
     assert want and sorted((tuple(r) for r in df.select(cols).collect()), key=str) == want
 
 
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    """Tables of lineitem around 20,000 rows, from which on queries without a side of their own change the grid, and one of five rows."""
+    tables = {}
+    for n in (5, 19_999, 20_000):
+        d, c = tmp_path_factory.mktemp(f"rows{n}"), duckdb.connect()
+        c.execute(f"copy (select * from '{LARGE}/lineitem.parquet' limit {n}) to '{d}/lineitem.parquet' (format parquet)")
+        c.execute(f"create view lineitem as select * from '{d}/lineitem.parquet'")
+        tables[n] = str(d), c
+    return tables
+
+
+@pytest.mark.parametrize("rows", [5, 19_999, 20_000])
+@pytest.mark.parametrize("name", ["q_binomial16"])
+def test_registered_sql_at_any_size(spark, small, name, rows):
+    d, c = small[rows]
+    df = catalog.QUERIES[name](spark, d)
+    cols = sorted(df.columns)
+    r = c.execute(catalog.ORACLE_SQL[name])
+    names = [x[0] for x in r.description]
+    want = sorted((tuple(x[names.index(q)] for q in cols) for x in r.fetchall()), key=str)
+    assert want and sorted((tuple(r) for r in df.select(cols).collect()), key=str) == want
+
+
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     """Three rows for each cell; quantities with NaN, infinities and values beyond 64-bit millionths, in frames of their own."""
