@@ -77,7 +77,7 @@ def small(tmp_path_factory):
 
 
 @pytest.mark.parametrize("rows", [5, 19_999, 20_000])
-@pytest.mark.parametrize("name", ["q_binomial16", "q_bit_depth", "q_box_blur", "q_downsample2", "q_expbracket_average", "q_exposure_linear", "q_fourier_shift", "q_highlight_bayer", "q_highlight_mosaic"])
+@pytest.mark.parametrize("name", ["q_binomial16", "q_bit_depth", "q_box_blur", "q_downsample2", "q_expbracket_average", "q_exposure_linear", "q_fourier_shift", "q_highlight_bayer", "q_highlight_mosaic", "q_hot_pixel_mono"])
 def test_registered_sql_at_any_size(spark, small, name, rows):
     d, c = small[rows]
     df = catalog.QUERIES[name](spark, d)
